@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import bytebpe, idstore, packing, quality, sharding
-from barline.llm.shared import shared_dir
+from barline.llm import audio, bytebpe, idstore, licenses, packing, quality, secrets, sharding, simhash, warc
+from barline.llm.shared import shared_dir, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,21 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of all pages and a replica in which some were damaged, as WARC files; the audit of the two."""
+    pages, path = _table(spark, sf_dir, "pages"), shared_dir(spark)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rotten = F.when((F.col("page_id") % 97 == 13) & (F.length("html") > 0), F.overlay("html", F.lit("?"), F.lit(1))).otherwise(F.col("html"))
+    warc.write_archive(pages, f"{path}/one", files)
+    one = written(warc.read_archive(spark, f"{path}/one"))
+    # The replica holds the same records in the same files, so it is made from the archive's own order.
+    place = one.select("page_id", "segment", "seq")
+    damaged = pages.select("page_id", "url", rotten.alias("html")).join(place, "page_id")
+    warc.write_segments(damaged, f"{path}/two", files)
+    two = written(warc.read_archive(spark, f"{path}/two"))
+    return warc.fixity(one, two).select("page_id", "length", "digest", "status")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bytebpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -31,11 +46,30 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = audio.store_audio(_table(spark, sf_dir, "documents"))
+    read = audio.audio_features(stored)
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shards(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     idstore.write_store(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -44,9 +78,18 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_fixity": op2_fixity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality": op4_quality,
+    "op5_audio": op5_audio,
+    "op6_secrets": op6_secrets,
+    "op7_licenses": op7_licenses,
     "op8_shards": op8_shards,
+    "op9_simhash": op9_simhash,
     "op10_id_store": op10_id_store,
 }
-ORACLE: dict[str, str] = {}
+_RECORD = "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"
+ORACLE: dict[str, str] = {
+    "op2_fixity": f"SELECT page_id, CAST(strlen({_RECORD}) AS BIGINT) AS length, sha256({_RECORD}) AS digest, CASE WHEN page_id % 97 = 13 AND length(html) > 0 THEN 'altered' ELSE 'intact' END AS status FROM pages",
+    "op7_licenses": licenses.license_sql(),
+}
