@@ -64,13 +64,16 @@ def rules(text: str = "text") -> list[Rule]:
     letters = F.char_length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\\P{L}+", ""))
     shouted = F.char_length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\\P{Lu}+", ""))
     stops = F.size(F.array_intersect(F.transform(F.slice("__words", 1, F.size("__words")), lambda w: F.lower(w)), F.array(*map(F.lit, STOP_WORDS))))
+    following = F.slice("__words", 2, F.greatest(F.size("__words") - 1, F.lit(0)))
+    again = F.size(F.array_remove(F.zip_with("__words", following, lambda a, b: F.coalesce(a == b, F.lit(False))), False))
     return [
         Rule("word_length", lambda: (chars > 12 * n_words) | (chars < 2 * n_words)),
         Rule("symbols", lambda: 10 * F.col("n_symbols") > n_words),
-        Rule("duplicate_lines", lambda: 100 * F.col("n_dup_lines") > 30 * F.size("__lines")),
+        Rule("duplicate_lines", lambda: 100 * F.col("n_dup_lines") > 60 * F.size("__lines")),
         Rule("letters", lambda: 10 * letters < 6 * chars),
         Rule("capitals", lambda: 2 * shouted > letters),
         Rule("distinct_words", lambda: 20 * F.size(F.array_distinct("__words")) < n_words),
+        Rule("stutter", lambda: 2 * again > n_words),
         Rule("stop_words", lambda: (n_words >= 50) & (stops < 1)),
     ]
 
