@@ -66,43 +66,73 @@ class BkForest:
     """
 
     def __init__(self, prints: np.ndarray, groups: np.ndarray):
-        """groups: equal numbers stand together."""
-        n = len(prints)
-        self.prints = prints
+        """prints: rows of unsigned 64-bit words. groups: equal numbers stand together."""
+        n, self.prints, self.edges = len(prints), prints, 64 * prints.shape[1] + 1
         first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
         self.root = np.repeat(first, np.diff(np.append(first, n)))
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # children and their parents
         rest = np.setdiff1d(np.arange(n), first, assume_unique=True)
-        parent, keys, children = self.root[rest], [], []
+        parent, keys = self.root[rest], []
         while len(rest):
-            key = parent * 65 + np.bitwise_count(prints[rest] ^ prints[parent]).astype(np.int64)
+            key = parent * self.edges + self.far(rest, parent)
             order = np.argsort(key, kind="stable")
             rest, key = rest[order], key[order]
             new = np.concatenate([[True], key[1:] != key[:-1]])
             keys.append(key[new])
-            children.append(rest[new])
+            self.levels.append((rest[new], key[new] // self.edges))
             parent = np.repeat(rest[new], np.diff(np.append(np.flatnonzero(new), len(rest))))[~new]
             rest = rest[~new]
         every = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        self.children = np.concatenate(children)[np.argsort(every)] if keys else every
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(every, minlength=65 * n))])
+        self.children = np.concatenate([c for c, _ in self.levels])[np.argsort(every)] if keys else every
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(every, minlength=self.edges * n), dtype=np.int32)])
 
-    def links(self, queries: np.ndarray, radius: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows within the radius of each query row, in its group; edges outside the radius are not followed.
+    def far(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Differing bits of rows left and right."""
+        return np.bitwise_count(self.prints[left] ^ self.prints[right]).sum(axis=1, dtype=np.int64)
 
-        ``most`` (query, node) pairs are held at once.
+    def label(self, radius: int, most: int = 1_000_000) -> np.ndarray:
+        """The least row of each row's component under links within the radius, groups apart.
+
+        Every row is looked up, and edges outside the radius are not followed. Lookups come in growing batches;
+        between them each node learns whether all below it are one component, and a row of that component need not
+        go there, so a group of thousands of copies of each other costs little more than one look at each.
+        ``most`` (row, node) pairs are held at once.
         """
-        waiting = [(queries, self.root[queries])]
+        n = len(self.prints)
+        label, start, size = np.arange(n), 0, 256
+        # Rows of large groups take turns, so that each batch has a few of every group.
+        place = np.arange(n) - self.root
+        queries = np.argsort(place, kind="stable")
+        while start < n:
+            low, high = label.copy(), label.copy()
+            for child, parent in reversed(self.levels):
+                np.minimum.at(low, parent, low[child])
+                np.maximum.at(high, parent, high[child])
+            one = low == high
+            batch = queries[start : start + size]
+            for left, right in self._links(batch, radius, most, label, low, one):
+                label = merge_labels(label, left, right)
+            start, size = start + size, size * 2
+        return label
+
+    def _links(self, batch: np.ndarray, radius: int, most: int, label: np.ndarray, below: np.ndarray, one: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own = label.copy()  # labels at the start, as below and one are
+        waiting = [(batch, self.root[batch])]
         while waiting:
             query, node = waiting.pop()
             if len(query) > most:
                 waiting += [(query[k : k + most], node[k : k + most]) for k in range(0, len(query), most)]
                 continue
-            far = np.bitwise_count(self.prints[query] ^ self.prints[node]).astype(np.int64)
+            open_ = ~(one[node] & (below[node] == own[query]))
+            query, node = query[open_], node[open_]
+            if not len(query):
+                continue
+            far = self.far(query, node)
             near = (far <= radius) & (query != node)
             if near.any():
                 yield query[near], node[near]
-            low, high = self.begin[node * 65 + np.maximum(far - radius, 0)], self.begin[node * 65 + np.minimum(far + radius, 64) + 1]
-            count = high - low
+            low, high = self.begin[node * self.edges + np.maximum(far - radius, 0)], self.begin[node * self.edges + np.minimum(far + radius, self.edges - 1) + 1]
+            count = (high - low).astype(np.int64)
             ends = np.cumsum(count)
             start = 0
             while start < len(query):  # children of so many pairs at once
@@ -133,10 +163,7 @@ def merge_labels(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.n
 def link_prints(prints: DataFrame, radius: int = 4, most: int = 20_000, rows_at_once: int = 100_000) -> DataFrame:
     """Links u, v between distinct fingerprints (column print) that connect all those within the radius.
 
-    Each print goes to one shard for each key of shard_keys(); a shard's BK-tree is built in its task and every
-    print of the shard is looked up in it. A shard of over ``most`` prints is cut into parts: each part's tree is
-    sent to every later part's prints, so no task holds more than two parts. Of the links found, a spanning
-    forest leaves the task, never all pairs.
+    Each print goes to one shard for each key of shard_keys(), so no link is lost; see link_shards().
     """
     n = prints.count()
     keys = shard_keys(n, radius)
@@ -152,6 +179,16 @@ def link_prints(prints: DataFrame, radius: int = 4, most: int = 20_000, rows_at_
         return out
 
     keyed = prints.select("print", F.explode(F.array(*(F.struct(F.lit(i).alias("set"), bits(w).alias("value")) for i, w in enumerate(keys)))).alias("k")).select("print", "k.set", "k.value")
+    return link_shards(keyed.select("print", "set", "value", F.array("print").alias("words")), radius, most, rows_at_once)
+
+
+def link_shards(keyed: DataFrame, radius: int, most: int, rows_at_once: int) -> DataFrame:
+    """Links u, v between prints that share a key (set, value) and whose words (array of long) are within the radius.
+
+    A shard is all prints of one key. Its BK-tree is built in the task that holds it and every print of the shard is
+    looked up. A shard of over ``most`` prints is cut into parts: each part's tree goes to every later part's prints,
+    so no task holds more than two parts. Of the links found a spanning forest leaves the task, never all pairs.
+    """
     large = keyed.groupBy("set", "value").count().where(F.col("count") > most).withColumn("parts", F.ceil(F.col("count") / (most // 2)).cast("int")).drop("count")
     own = F.pmod(F.xxhash64("print"), F.col("parts")).cast("int")
     dealt = (
@@ -164,31 +201,31 @@ def link_prints(prints: DataFrame, radius: int = 4, most: int = 20_000, rows_at_
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(groups: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-            forest = BkForest(values.view(np.uint64), groups)
-            label = np.arange(len(values))
-            for left, right in forest.links(np.arange(len(values)), radius):
-                label = merge_labels(label, left, right)
+        def linked(groups: np.ndarray, values: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+            label = BkForest(words.view(np.uint64), groups).label(radius)
             moved = np.flatnonzero(label != np.arange(len(values)))
             yield pa.RecordBatch.from_arrays([pa.array(values[moved]), pa.array(values[label[moved]])], ["u", "v"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if not batch.num_rows:
+                continue
+            words = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), words))
             size += batch.num_rows
             if size >= rows_at_once:
-                groups, values = (np.concatenate(x) for x in zip(*held, strict=True))
+                groups, values, words = (np.concatenate(x) for x in zip(*held, strict=True))
                 whole = int(np.searchsorted(groups, groups[-1]))  # the last shard may go on
                 if whole:
-                    yield from linked(groups[:whole], values[:whole])
-                held, size = [(groups[whole:], values[whole:])], size - whole
+                    yield from linked(groups[:whole], values[:whole], np.ascontiguousarray(words[:whole]))
+                held, size = [(groups[whole:], values[whole:], words[whole:])], size - whole
         if size:
-            groups, values = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from linked(groups, values)
+            groups, values, words = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from linked(groups, values, np.ascontiguousarray(words))
 
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.select("shard", "print").repartition(parts, "shard").sortWithinPartitions("shard", "print").mapInArrow(run, "u long, v long")
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.select("shard", "print", "words").repartition(parts, "shard").sortWithinPartitions("shard", "print").mapInArrow(run, "u long, v long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -218,6 +255,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def grouped(held: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """doc, print and component (the least doc reachable) from rows (doc, print), distinct (print, least) and links."""
+    roots = components(links)
+    rooted = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    leasts = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    by_print = written(rooted.join(leasts, "root").select("print", "component"))
+    return held.join(by_print, "print").select("doc", "print", "component")
+
+
 def near_groups(docs: DataFrame, radius: int = 4, words: int = 4, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """{doc}, print (signed long) and component of every row.
 
@@ -229,19 +275,95 @@ def near_groups(docs: DataFrame, radius: int = 4, words: int = 4, doc: str = "do
     """
     held = written(fingerprints(docs, words, doc, text))
     distinct = written(held.groupBy("print").agg(F.min("doc").alias("least")))
-    roots = components(link_prints(distinct.select("print"), radius))
-    rooted = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    leasts = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_print = written(rooted.join(leasts, "root").select("print", "component"))
-    return held.join(by_print, "print").select(F.col("doc").alias(doc), "print", "component")
+    out = grouped(held, distinct, link_prints(distinct.select("print"), radius))
+    return out.select(F.col("doc").alias(doc), "print", "component")
+
+
+#: Bits of a wide print, and of the print whose bits make its keys.
+WIDE, PAIR_BITS = 256, 128
+
+
+def bit_counts(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` 64-bit prints in a row: each takes the hashes, mixed anew, and the majority of each bit."""
+    out = np.empty(words, np.uint64)
+    for w in range(words):
+        mixed = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * w)
+        mixed ^= mixed >> np.uint64(31)
+        mixed = mixed * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        ones = np.zeros(64, np.int64)
+        for k in range(0, len(mixed), 100_000):
+            ones += np.unpackbits(mixed[k : k + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = int.from_bytes(np.packbits(2 * ones > len(mixed), bitorder="little").tobytes(), "little")
+    return out
+
+
+def key_plan(n: int, similarity: float, words: int = 5, miss: float = 0.01) -> list[list[int]]:
+    """Bits of the pair print that make each key.
+
+    At the similarity in shingles of ``words`` words, (1 - s) / (1 + s) of those shingles differ and 2 / words as
+    many word pairs, which gives the chance p that a bit agrees. A key has as many bits as make an average shard of
+    n prints hold about 64, 12 at least; there are so many keys that all of them miss with chance ``miss``.
+    """
+    differ = (1 - similarity) / (1 + similarity) * 2 / words
+    p = 1 - np.arccos(1 - differ) / np.pi
+    bits = min(40, max(12, int(np.ceil(np.log2(max(n, 1) / 64)))))
+    keys = int(np.ceil(np.log(miss) / np.log(1 - p**bits)))
+    rng = np.random.default_rng(SEED)
+    return [rng.choice(PAIR_BITS, bits, replace=False).tolist() for _ in range(keys)]
+
+
+def wide_prints(docs: DataFrame, plan: list[list[int]], words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, words (the wide print, array of long) and keys (array of long) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        def shingles(found: list[bytes], k: int) -> np.ndarray:
+            joined, last = b" ".join(found), max(0, len(found) - k)
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+            starts = np.concatenate([[0], ends[:last] + 1]).tolist()
+            stops = ends[min(k, len(found)) - 1 :].tolist()
+            return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
+
+        where = np.array(plan)
+        weight = np.uint64(1) << np.arange(where.shape[1], dtype=np.uint64)
+        for batch in batches:
+            prints, keys = [], []
+            for t in batch.column(1):
+                found = (t.as_py() or "").encode().lower().split()
+                prints.append(bit_counts(shingles(found, words), WIDE // 64) if found else np.zeros(WIDE // 64, np.uint64))
+                pairs = bit_counts(shingles(found, 2), PAIR_BITS // 64) if found else np.zeros(PAIR_BITS // 64, np.uint64)
+                bits = np.unpackbits(pairs.view(np.uint8), bitorder="little")
+                keys.append((bits[where] * weight).sum(axis=1, dtype=np.uint64))
+            arrays = [pa.array([x.view(np.int64) for x in some], pa.list_(pa.int64())) for some in (prints, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc", "words", "keys"])
+
+    return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, words array<long>, keys array<long>")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """{doc}, print and component of every row, where rows link at about ``similarity`` or more in word shingles.
+
+    The similarity of two sets of shingles is read off 256-bit prints: s makes a cosine of 2s / (1 + s), whose angle
+    is a share of the bits; that many bits, rounded up, are the radius. Shards are keys from bits of a second print
+    over word pairs, which a changed word touches less (see key_plan). Other cases as in near_groups().
+    """
+    plan = key_plan(docs.count(), similarity, words)
+    radius = int(np.ceil(WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+    held = written(wide_prints(docs, plan, words, doc, text).withColumn("print", F.xxhash64("words", "keys")))
+    distinct = written(held.groupBy("print").agg(F.min("doc").alias("least"), F.first("words").alias("words"), F.first("keys").alias("keys")))
+    keyed = distinct.select("print", "words", F.posexplode("keys").alias("set", "value")).select("print", "set", "value", "words")
+    out = grouped(held.select("doc", "print"), distinct.select("print", "least"), link_shards(keyed, radius, most=10_000, rows_at_once=20_000))
+    return out.select(F.col("doc").alias(doc), "print", "component")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, words: int = 4, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without near copies: of each group the row with the least id stays, with all its columns.
+def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without near copies: of each of similar_groups() the row with the least id stays, with all its columns.
 
     Of rows that share that id one stays. Rows with a null id cannot be told apart and all stay.
     """
-    groups = near_groups(docs.select(doc, text), radius, words, doc, text)
+    groups = similar_groups(docs.select(doc, text), similarity, words, doc, text)
     stay = written(groups.where(F.col(doc) == F.col("component")).groupBy(doc).count())
     once = docs.join(stay.where("count = 1").select(doc), doc, "left_semi")
     more = docs.join(stay.where("count > 1").select(doc), doc, "left_semi").dropDuplicates([doc])
