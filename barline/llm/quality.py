@@ -55,7 +55,10 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     symbols = F.octet_length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SYMBOLS, ""))
     out = out.withColumns({"n_repeat_words": covered.cast("long"), "__lines": lines, "n_symbols": symbols.cast("long")})
     out = out.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-    return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    # A later filter is not pushed below a column that is not deterministic; pushed, it would repeat the expressions
+    # above for each use and run lambdas within lambdas.
+    out = out.withColumn("__held", F.monotonically_increasing_id())
+    return out.withColumn("base_failed", (F.col("__held") >= 0) & ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))))
 
 
 def rules(text: str = "text") -> list[Rule]:
@@ -112,6 +115,6 @@ def quality(docs: DataFrame, text: str = "text", sample_rows: int = 200) -> Data
     cascade = F.when(F.col("base_failed"), F.lit("base"))
     for rule, _, _ in rule_order(docs, rules(text), sample_rows, text):
         cascade = cascade.when(rule.rejects(), F.lit(rule.name))
-    judged = measured.withColumn("failed_rule", cascade)
-    hidden = [c for c in measured.columns if c.startswith("__")]
-    return judged.withColumn("kept", F.col("failed_rule").isNull()).drop(*hidden)
+    judged = measured.withColumns({"failed_rule": cascade, "__judged": F.monotonically_increasing_id()})
+    hidden = [c for c in judged.columns if c.startswith("__")]
+    return judged.withColumn("kept", F.col("failed_rule").isNull() & (F.col("__judged") >= 0)).drop(*hidden)
