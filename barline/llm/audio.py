@@ -102,7 +102,7 @@ def log_mel(x: np.ndarray) -> np.ndarray:
 
 def segments(mel: np.ndarray) -> list[tuple[float, float]]:
     """Time spans of raised energy: one opens at half a deviation over the mean and closes at half below it."""
-    energy = mel.astype(np.float64) @ np.full(BANDS, 1 / BANDS)
+    energy = np.log(np.exp(mel.astype(np.float64)).sum(axis=1))
     mean, spread = energy.mean(), energy.std()
     mark = np.where(energy >= mean + spread / 2, 1, np.where(energy < mean - spread / 2, 0, -1))
     last = np.maximum.accumulate(np.where(mark >= 0, np.arange(len(mark)), -1))
