@@ -35,10 +35,10 @@ def write_archive(pages: DataFrame, path: str, files: int, page: str = "page_id"
     ordered.select(record_text(F.col(page), F.col(url), F.col(body)).alias("value")).write.option("lineSep", BREAK).option("compression", "gzip").text(path)
 
 
-def write_segments(placed: DataFrame, path: str, files: int, page: str = "page_id", url: str = "url", body: str = "html") -> None:
-    """Writes pages that have a place (segment, seq) in an archive to those places, one file a segment."""
-    ordered = placed.repartitionByRange(files, "segment").sortWithinPartitions("segment", "seq")
-    ordered.select(F.col("segment").alias("file"), record_text(F.col(page), F.col(url), F.col(body)).alias("value")).write.partitionBy("file").option("lineSep", BREAK).option("compression", "gzip").text(path)
+def write_copy(records: DataFrame, path: str) -> None:
+    """Writes records (segment, seq, record text without the closing lines) as they stood: one file a segment."""
+    ordered = records.select("segment", "seq", "record").repartition("segment").sortWithinPartitions("segment", "seq")
+    ordered.select(F.col("segment").alias("file"), F.col("record").alias("value")).write.partitionBy("file").option("lineSep", BREAK).option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[int, bytes]]:
@@ -52,10 +52,10 @@ def parse_records(data: bytes) -> Iterator[tuple[int, bytes]]:
         at = stop
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     """segment (file name without its run-specific part), seq, offset, length, page_id and digest of every record.
 
-    Each file is read by one task, so files are to be of a size that a task can hold.
+    content adds record, the text without the closing lines. Each file is read by one task, so files are to be of a size that a task can hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,13 +66,15 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                 segment, rows = int((re.search(r"/file=(\d+)/", name) or re.search(r"part-(\d+)", name))[1]), []
                 for k, (at, record) in enumerate(parse_records(data)):
                     found = re.search(rb"<urn:page:(-?\d+)>", record[:400])
-                    rows.append((segment, k, at, len(record), int(found[1]) if found else None, hashlib.sha256(record).digest()))
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                for start in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[start : start + 10_000], strict=True), kinds, strict=True)], ["segment", "seq", "offset", "length", "page_id", "digest"])
+                    rows.append((segment, k, at, len(record), int(found[1]) if found else None, hashlib.sha256(record).digest(), *([record[:-4].decode()] if content else [])))
+                kinds, names = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["segment", "seq", "offset", "length", "page_id", "digest"]
+                if content:
+                    kinds, names = [*kinds, pa.string()], [*names, "record"]
+                for start in range(0, len(rows), 1000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[start : start + 1000], strict=True), kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, "segment int, seq long, offset long, length long, page_id long, digest binary")
+    return files.mapInArrow(run, "segment int, seq long, offset long, length long, page_id long, digest binary" + ", record string" * content)
 
 
 def merkle_levels(records: DataFrame, levels: int, fanout: int) -> list[DataFrame]:
