@@ -52,7 +52,7 @@ def ticker(asset: Column) -> Column:
 def crypto_flag(panel: DataFrame, universe: DataFrame) -> DataFrame:
     """Adds is_crypto: listed so in the universe (asset, is_crypto), or a name that ends with USD."""
     listed = universe.where("is_crypto").select("asset", F.lit(True).alias("listed")).distinct()
-    return panel.join(F.broadcast(listed), "asset", "left").withColumn("is_crypto", F.coalesce("listed", F.lit(False)) | F.col("asset").endswith("USD")).drop("listed")
+    return panel.join(listed, "asset", "left").withColumn("is_crypto", F.coalesce("listed", F.lit(False)) | F.col("asset").endswith("USD")).drop("listed")
 
 
 def stack(frames: list[DataFrame]) -> DataFrame:

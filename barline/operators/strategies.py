@@ -37,8 +37,8 @@ def signal_returns(signals: DataFrame, r: str = "r") -> DataFrame:
 
 
 def weighted_returns(returns: DataFrame, weights: DataFrame, r: str = "r") -> DataFrame:
-    """portfolio, date and r for weights (portfolio, asset, weight), a list small by its nature."""
-    return returns.join(F.broadcast(weights), "asset").groupBy("portfolio", "date").agg(F.coalesce(F.sum(F.col("weight") * F.col(r)), F.lit(0.0)).alias("r"))
+    """portfolio, date and r for weights (portfolio, asset, weight)."""
+    return returns.join(weights, "asset").groupBy("portfolio", "date").agg(F.coalesce(F.sum(F.col("weight") * F.col(r)), F.lit(0.0)).alias("r"))
 
 
 def wide(panel: DataFrame, assets: list[str], value: str = "close") -> DataFrame:
