@@ -6,7 +6,7 @@ import base64
 import heapq
 import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barline.llm.wordcodec import text_groups
+
 # Symbols: what a code point is, given the one or two after it.
 END, LETTER, NUMBER, OTHER, SHORT, LONG, JOIN, SPACE, LAST = range(9)
 # States before a code point. ONE and TWO: so many letters of a contraction are still due.
@@ -323,18 +325,6 @@ class RankMerger:
         return b"".join(map(self.tokens.__getitem__, numbers[a:b].tolist()))[start - skipped : stop - skipped]
 
 
-def _groups(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each has about ``most`` bytes of text at most, or one row."""
-    for batch in batches:
-        sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0), dtype=np.int64))
-        start = 0
-        while start < batch.num_rows:
-            stop = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, "right"))
-            stop = max(start + 1, stop)
-            yield batch.slice(start, stop - start)
-            start = stop
-
-
 def encode_decode(docs: DataFrame, ranks: str, doc: str = "doc_id", text: str = "text", batch_bytes: int = 4_000_000) -> DataFrame:
     """Ids of every whole text by the rank file ``ranks``, and the bytes that they decode to.
 
@@ -349,7 +339,7 @@ def encode_decode(docs: DataFrame, ranks: str, doc: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = RankMerger.of(ranks)
-        for batch in _groups(batches, batch_bytes):
+        for batch in text_groups(batches, 1, batch_bytes):
             ids = merger.encode([t or "" for t in batch.column(1).to_pylist()])
             ends = [merger.offsets(x) for x in ids]
             decoded = [merger.decode(x, e) for x, e in zip(ids, ends, strict=True)]

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.wordcodec import WordCodec
+from barline.llm.wordcodec import WordCodec, text_groups
 
 PIECES = "{doc} long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -103,9 +103,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, b
                 yield pa.RecordBatch.from_arrays(columns, names)
             base += used
 
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = codec.encode(t.as_py() or "") + end
+        for batch in text_groups(batches, 1):
+            for d, coded in zip(batch.column(0).to_pylist(), codec.encode_all([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids = coded + end
                 held.append((d, ids))
                 size += len(ids) // 4
                 if size >= block_tokens:

@@ -10,7 +10,11 @@ import json
 import os
 import unicodedata
 from array import array
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import regex
 
 #: A cut that holds beside runs of white space too.
@@ -82,25 +86,38 @@ class WordCodec:
         return b"".join(map(self._piece, self.split(word)))
 
     def encode(self, text: str) -> bytes:
+        if self.lower and "Σ" not in text:  # its lower case depends on the letters around it
+            text = text.lower()
         words = _CUT.split(text) if "  " in text else text.split(" ")
-        head = b""
+        head, lead, known = b"", "", self.words
         if self.spaced:  # the first word has no space before it
-            head, words = self._word(words[0]), words[1:]
-        known = self.words
-        try:
-            return head + b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
+            head, lead, words = self._word(words[0]), " ", words[1:]
         if len(known) > self.limit:
             known.clear()
         if len(self.pieces) > self.limit:
             self.pieces.clear()
-        found, lead = [], " " if self.spaced else ""
-        for word in words:
-            ids = known.get(word)
+        found, at = list(map(known.get, words)), -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            word = words[at]
+            ids = known.get(word)  # met earlier in this text
             if ids is None:
                 ids = self._word(lead + word)
                 if len(word) <= 48:
                     known[word] = ids
-            found.append(ids)
+            found[at] = ids
         return head + b"".join(found)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return list(map(self.encode, texts))
+
+
+def text_groups(batches: Iterable[pa.RecordBatch], column: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has about ``most`` bytes of text in a column at most, or one row."""
+    for batch in batches:
+        sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
