@@ -365,6 +365,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc: str
     """
     groups = similar_groups(docs.select(doc, text), similarity, words, doc, text)
     stay = written(groups.where(F.col(doc) == F.col("component")).groupBy(doc).count())
-    once = docs.join(stay.where("count = 1").select(doc), doc, "left_semi")
+    # Ids hash to their partitions and meet the texts there, at every size alike; a broadcast would end with growth.
+    once = docs.join(stay.where("count = 1").select(doc).hint("shuffle_hash"), doc, "left_semi")
     more = docs.join(stay.where("count > 1").select(doc), doc, "left_semi").dropDuplicates([doc])
     return once.unionByName(more).unionByName(docs.where(F.col(doc).isNull()))
