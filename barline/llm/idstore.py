@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,34 +20,43 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.llm.shared import discard, written
-from barline.llm.wordcodec import WordCodec
+from barline.llm.wordcodec import WordCodec, text_groups
 
 #: The rolling hash spans so many ids; its least bits choose the cuts.
 SPAN = 16
 RECIPE = "row long, doc long, n_tokens long, chunks array<struct<digest:binary,n:int>>, data array<binary>"
 
 
-def cut_points(ids: np.ndarray, mean: int, least: int, most: int) -> list[int]:
-    """Ends of content-defined chunks: where the hash of the last SPAN ids has zero in its low bits.
-
-    A chunk has least to most ids; the last may be shorter. mean is a power of two.
-    """
-    n = len(ids)
-    if n <= least:
-        return [n] if n else []
+def rolling_marks(ids: np.ndarray, mean: int) -> np.ndarray:
+    """Places after which a chunk may end: where the hash of the last SPAN ids has zero in its low bits."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
-    rolled, factor = np.zeros(n, np.uint64), 1
-    for back in range(SPAN):  # a polynomial over the window, so that it depends on the window alone
+    rolled, factor, n = np.zeros(len(ids), np.uint64), 1, len(ids)
+    for back in range(min(SPAN, n)):  # a polynomial over the window, so that it depends on the window alone
         rolled[back:] += mixed[: n - back] * np.uint64(factor)
         factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
-    cuts = np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(mean - 1) == 0) + 1
-    ends, start = [], 0
-    for cut in [*cuts.tolist(), n]:
+    return np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(mean - 1) == 0) + 1
+
+
+def cut_points(ids: np.ndarray, mean: int, least: int, most: int) -> list[int]:
+    """Ends of the content-defined chunks of one sequence, of least to most ids; the last may be shorter.
+
+    mean is a power of two; least is SPAN or more.
+    """
+    return document_cuts(rolling_marks(ids, mean).tolist(), 0, len(ids), least, most)
+
+
+def document_cuts(marks: list[int], begin: int, stop: int, least: int, most: int) -> list[int]:
+    """The same for ids begin to stop of a longer sequence, from the marks in that range.
+
+    A chunk has SPAN ids or more, so a mark that is used depends on the document's own ids alone.
+    """
+    ends, start = [], begin
+    for cut in [*marks, stop]:
         while cut - start > most:
             start += most
             ends.append(start)
-        if cut - start >= least or cut == n and cut > start:
+        if cut - start >= least or cut == stop and cut > start:
             ends.append(cut)
             start = cut
     return ends
@@ -98,25 +108,32 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, mean: i
         codec, seen = WordCodec.of(tokenizer), set()
         end = np.array([end_id], "<u4").tobytes()
         kind = "<u2" if max(codec.library.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                rows, recipes, datas, counts = batch.slice(start, 1000), [], [], []
-                for t in rows.column(2).to_pylist():
-                    ids = np.frombuffer(codec.encode(t or "") + end, "<u4")
-                    recipe, data, a = [], [], 0
-                    for b in cut_points(ids, mean, least, most):
-                        raw = ids[a:b].astype(kind).tobytes()
-                        digest = hashlib.sha256(raw).digest()
-                        recipe.append({"digest": digest, "n": b - a})
-                        data.append(None if digest in seen else raw)
+        for rows in text_groups(batches, 2):
+            coded = [c + end for c in codec.encode_all([t or "" for t in rows.column(2).to_pylist()])]
+            ids = np.frombuffer(b"".join(coded), "<u4")
+            raw, width = memoryview(ids.astype(kind).tobytes()), np.dtype(kind).itemsize
+            edges = np.cumsum([0, *(len(c) // 4 for c in coded)])
+            marks = rolling_marks(ids, mean)
+            inside = np.searchsorted(marks, edges, "right")
+            marks, digests, datas, sizes, offsets, a = marks.tolist(), [], [], [], [0], 0
+            for k, (begin, stop) in enumerate(pairwise(edges.tolist())):
+                for b in document_cuts(marks[inside[k] : inside[k + 1]], begin, stop, least, most):
+                    chunk = raw[width * a : width * b]
+                    digest = hashlib.sha256(chunk).digest()
+                    digests.append(digest)
+                    sizes.append(b - a)
+                    if digest in seen:
+                        datas.append(None)
+                    else:
+                        datas.append(bytes(chunk))
                         seen.add(digest)
-                        a = b
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    recipes.append(recipe)
-                    datas.append(data)
-                    counts.append(len(ids))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(counts, pa.int64()), pa.array(recipes, pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())]))), pa.array(datas, pa.list_(pa.binary()))], ["row", "doc", "n_tokens", "chunks", "data"])
+                    a = b
+                offsets.append(len(sizes))
+            if len(seen) > 500_000:
+                seen.clear()
+            place = pa.array(offsets, pa.int32())
+            recipes = pa.ListArray.from_arrays(place, pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32())], ["digest", "n"]))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(edges)), recipes, pa.ListArray.from_arrays(place, pa.array(datas, pa.binary()))], ["row", "doc", "n_tokens", "chunks", "data"])
 
     staged = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, RECIPE))
     chunks = staged.select(F.explode(F.arrays_zip(F.col("chunks.digest").alias("digest"), F.col("data").alias("ids"))).alias("c")).select("c.digest", "c.ids").where("ids IS NOT NULL")
