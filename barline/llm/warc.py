@@ -80,15 +80,16 @@ def read_archive(spark: SparkSession, path: str, content: bool = False) -> DataF
 def merkle_levels(records: DataFrame, levels: int, fanout: int) -> list[DataFrame]:
     """Tables (segment, node, start, stop, hash) from the records (level 0) up to one root a segment.
 
-    A node's hash covers its children's hashes in order and the byte range they span.
+    A node's hash covers its children's hashes in order and the byte range they span. Each level is written, so that
+    the plan of an audit does not repeat the levels below at every step.
     """
-    level = records.select("segment", F.col("seq").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"), F.sha2(F.concat("digest", F.col("offset").cast("string").cast("binary"), F.lit(b":"), F.col("length").cast("string").cast("binary")), 256).alias("hash"))
+    level = written(records.select("segment", F.col("seq").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"), F.sha2(F.concat("digest", F.col("offset").cast("string").cast("binary"), F.lit(b":"), F.col("length").cast("string").cast("binary")), 256).alias("hash")))
     out = [level]
     for _ in range(levels):
         children = F.array_sort(F.collect_list(F.struct("node", "start", "stop", "hash")))
         grouped = level.groupBy("segment", F.floor(F.col("node") / fanout).alias("node")).agg(children.alias("c"))
         start, stop = F.col("c")[0]["start"], F.element_at("c", -1)["stop"]
-        level = grouped.select("segment", "node", start.alias("start"), stop.alias("stop"), F.sha2(F.concat_ws(",", F.array_join(F.transform("c", lambda x: x["hash"]), ""), start, stop), 256).alias("hash"))
+        level = written(grouped.select("segment", "node", start.alias("start"), stop.alias("stop"), F.sha2(F.concat_ws(",", F.array_join(F.transform("c", lambda x: x["hash"]), ""), start, stop), 256).alias("hash")))
         out.append(level)
     return out
 
@@ -112,7 +113,7 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = 16) -> DataFrame:
             parent = suspect.select("segment", F.col("node").alias("parent"))
             mine = mine.withColumn("parent", F.floor(F.col("node") / fanout)).join(parent, ["segment", "parent"], "left_semi").drop("parent")
             theirs = theirs.withColumn("parent", F.floor(F.col("node") / fanout)).join(parent, ["segment", "parent"], "left_semi").drop("parent")
-        suspect = mine.join(theirs, ["segment", "node"], "full").where(~F.col("left_hash").eqNullSafe(F.col("right_hash")))
+        suspect = written(mine.join(theirs, ["segment", "node"], "full").where(~F.col("left_hash").eqNullSafe(F.col("right_hash"))))
     found = suspect.select("segment", F.col("node").alias("seq"))
     mine = left.join(found, ["segment", "seq"], "left_semi").select("segment", "seq", "offset", "length", "page_id", F.lower(F.hex("digest")).alias("left_digest"))
     theirs = right.join(found, ["segment", "seq"], "left_semi").select("segment", "seq", F.col("offset").alias("o2"), F.col("length").alias("l2"), F.col("page_id").alias("p2"), F.lower(F.hex("digest")).alias("right_digest"))
