@@ -284,11 +284,13 @@ def near_groups(docs: DataFrame, radius: int = 4, words: int = 4, doc: str = "do
     return out.select(F.col("doc").alias(doc), "print", "component")
 
 
-#: Bits of a wide print, and of the print whose bits make its keys.
-WIDE, PAIR_BITS = 256, 128
+#: Bits of a wide print.
+WIDE = 256
 #: Differing bits of wide prints up to which two sets of shingles are compared. At a similarity of 0.8, 39 are expected
 #: with a deviation of 5.7 (48 for sets of a few shingles); unrelated sets differ in 128 with a deviation of 8.
 NEAR = 80
+#: Shingles are counted in so many buckets, by the upper bits of their hash.
+BUCKET_BITS = 16
 
 
 def bit_counts(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -306,50 +308,73 @@ def bit_counts(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def key_plan(n: int, similarity: float, words: int = 5, miss: float = 0.01) -> list[list[int]]:
-    """Bits of the pair print that make each key.
-
-    At the similarity in shingles of ``words`` words, (1 - s) / (1 + s) of those shingles differ and 2 / words as
-    many word pairs, which gives the chance p that a bit agrees. A key has as many bits as make an average shard of
-    n prints hold about 64, 12 at least; there are so many keys that all of them miss with chance ``miss``.
-    """
-    differ = (1 - similarity) / (1 + similarity) * 2 / words
-    p = 1 - np.arccos(1 - differ) / np.pi
-    bits = min(40, max(12, int(np.ceil(np.log2(max(n, 1) / 64)))))
-    keys = int(np.ceil(np.log(miss) / np.log(1 - p**bits)))
-    rng = np.random.default_rng(SEED)
-    return [rng.choice(PAIR_BITS, bits, replace=False).tolist() for _ in range(keys)]
-
-
-def wide_prints(docs: DataFrame, plan: list[list[int]], words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, words (the wide print), keys and shingles (hashes of the distinct ones) of every row, arrays of long."""
+def wide_prints(docs: DataFrame, words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, words (the wide print) and shingles (hashes of the distinct ones) of every row, arrays of long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        def shingles(found: list[bytes], k: int) -> np.ndarray:
-            joined, last = b" ".join(found), max(0, len(found) - k)
+        def shingles(found: list[bytes]) -> np.ndarray:
+            joined, last = b" ".join(found), max(0, len(found) - words)
             ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
             starts = np.concatenate([[0], ends[:last] + 1]).tolist()
-            stops = ends[min(k, len(found)) - 1 :].tolist()
+            stops = ends[min(words, len(found)) - 1 :].tolist()
             return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
 
-        where = np.array(plan)
-        weight = np.uint64(1) << np.arange(where.shape[1], dtype=np.uint64)
-        none = np.zeros(0, np.uint64)
         for batch in batches:
-            prints, keys, sets = [], [], []
+            prints, sets = [], []
             for t in batch.column(1):
                 found = (t.as_py() or "").encode().lower().split()
-                sets.append(shingles(found, words) if found else none)
+                sets.append(shingles(found) if found else np.zeros(0, np.uint64))
                 prints.append(bit_counts(sets[-1], WIDE // 64) if found else np.zeros(WIDE // 64, np.uint64))
-                pairs = bit_counts(shingles(found, 2), PAIR_BITS // 64) if found else np.zeros(PAIR_BITS // 64, np.uint64)
-                bits = np.unpackbits(pairs.view(np.uint8), bitorder="little")
-                keys.append((bits[where] * weight).sum(axis=1, dtype=np.uint64))
-            arrays = [pa.array([x.view(np.int64) for x in some], pa.list_(pa.int64())) for some in (prints, keys, sets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc", "words", "keys", "shingles"])
+            arrays = [pa.array([x.view(np.int64) for x in some], pa.list_(pa.int64())) for some in (prints, sets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc", "words", "shingles"])
+
+    return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, words array<long>, shingles array<long>")
 
-    return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, words array<long>, keys array<long>, shingles array<long>")
+
+def bucket_counts(held: DataFrame) -> np.ndarray:
+    """How many shingles of all rows fall in each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            tokens = batch.column(0).flatten().to_numpy().view(np.uint64)
+            total += np.bincount((tokens >> np.uint64(64 - BUCKET_BITS)).view(np.int64), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    for bucket, n in held.select("shingles").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
+        out[bucket] = n
+    return out
+
+
+def prefix_keys(held: DataFrame, similarity: float) -> DataFrame:
+    """print and value: shingles of each set such that two sets with ``similarity`` or more have one in common.
+
+    In one order of all shingles, sets that share s of their n share one of the first n - s + 1 of each. The order is
+    by the count of a shingle's bucket and then by hash, so that common shingles come last; any order is as right.
+    Values of one print alone are left out.
+    """
+    counts = bucket_counts(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, first = np.unique(batch.column(0).to_numpy(), return_index=True)  # copies in a batch once
+            values = []
+            for k in first.tolist():
+                tokens = batch.column(1)[k].values.to_numpy()
+                n = len(tokens)
+                size = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+                often = counts[(tokens.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).view(np.int64)]
+                values.append(tokens[np.lexsort((tokens, often))[:size]])
+            if values:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(prints, [len(v) for v in values])), pa.array(np.concatenate(values))], ["print", "value"])
+
+    keys = held.select("print", "shingles").mapInArrow(run, "print long, value long")
+    shared = keys.groupBy("value").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low <> high").select("value")
+    return keys.join(shared, "value").select("print", "value").distinct()
 
 
 def set_links(prints: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -425,15 +450,14 @@ def confirmed(held: DataFrame, links: DataFrame, similarity: float, most: int =
 def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """{doc}, print and component of every row, where rows link at ``similarity`` or more in word shingles.
 
-    Candidates are sets whose 256-bit prints differ in NEAR bits or fewer; each link is then confirmed by the Jaccard
-    similarity of the whole sets. Shards are keys from bits of a second print over word pairs, which a changed word
-    touches less (see key_plan). Other cases as in near_groups().
+    Candidates share a key of prefix_keys(), which loses none, and their 256-bit prints differ in NEAR bits or fewer;
+    each link is then confirmed by the Jaccard similarity of the whole sets. Other cases as in near_groups().
     """
-    plan = key_plan(docs.count(), similarity, words)
-    held = written(wide_prints(docs, plan, words, doc, text).withColumn("print", F.xxhash64("shingles")))
-    distinct = written(held.groupBy("print").agg(F.min("doc").alias("least"), F.first("words").alias("words"), F.first("keys").alias("keys")))
-    keyed = distinct.select("print", "words", F.posexplode("keys").alias("set", "value")).select("print", "set", "value", "words")
-    links = confirmed(held, link_shards(keyed, NEAR, most=10_000, rows_at_once=20_000), similarity)
+    held = written(wide_prints(docs, words, doc, text).withColumn("print", F.xxhash64("shingles")))
+    distinct = written(held.groupBy("print").agg(F.min("doc").alias("least"), F.first("words").alias("words")))
+    keys = prefix_keys(held, similarity).join(distinct.select("print", "words"), "print")
+    keyed = keys.select("print", F.lit(0).alias("set"), "value", "words")
+    links = confirmed(held, link_shards(written(keyed), NEAR, most=10_000, rows_at_once=20_000), similarity)
     out = grouped(held.select("doc", "print"), distinct.select("print", "least"), links)
     return out.select(F.col("doc").alias(doc), "print", "component")
 

@@ -49,13 +49,13 @@ def edited(rng, share, scattered):
     return " ".join(text), " ".join(near)
 
 
-def test_no_pair_below_the_similarity_joins(spark):
-    rng, texts = np.random.default_rng(11), {}
-    for k in range(120):
-        texts[2 * k], texts[2 * k + 1] = edited(rng, rng.uniform(0.1, 0.35), k % 2)
-    assert 20 < len(links(texts)) < 110
-    exact = brute_force(texts)
-    assert not {d for d, c in found(spark, texts).items() if c != d and exact[d] == d}
+def test_pairs_about_the_similarity_link_exactly_from_it_on(spark):
+    for n in (20, 400):
+        rng, texts = np.random.default_rng(11), {}
+        for k in range(n):
+            texts[2 * k], texts[2 * k + 1] = edited(rng, rng.uniform(0.1, 0.35), k % 2)
+        assert 0.1 * n < len(links(texts)) < 0.9 * n
+        assert found(spark, texts) == brute_force(texts)
 
 
 def test_sets_cut_into_parts_link_alike(spark):
