@@ -14,11 +14,23 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}"
 KEY_ID = r"^(AKIA|ASIA)[A-Z0-9]{16}$"
 HOST_TOKEN = r"^gh[pousr]_[A-Za-z0-9]{36}$"
 TELLING = r"(?i)(passw(or)?d|secret|token|api_?key|access_?key|credential)s?[ \t]*[=:]+[ \t]*[\"']?$"
-HARMLESS = r"(?i)(example|sample|dummy|test|changeme|xxxx|0000000)"
+#: Words that mark a value as no secret: whole words, also between digits and signs, but not letters.
+HARMLESS = r"(?i)((?<![a-z])(example|sample|dummy|test|changeme)s?(?![a-z])|xxxx|0000000)"
+#: The name that a value is assigned to; what belongs to an e-mail, a host or a path is none.
+ASSIGNED_NAME = r"(?<![A-Za-z0-9_.@/\-])([A-Za-z0-9_\-]*)[\"']?[ \t]*[=:]+[ \t]*[\"']?$"
 FEATURES = ["length", "digits", "upper", "lower", "signs", "transitions", "coverage", "hex_only", "assigned", "telling_word", "quoted", "harmless", "path_harmless"]
 REDACTED = "[SECRET]"
 
 
+def harmless(c: Column) -> Column:
+    """Whether a harmless word stands in the value or in the name that it is assigned to.
+
+    E-mails, hosts and other words before the assignment do not count.
+    """
+    name = F.regexp_extract(c["before"], ASSIGNED_NAME, 1)
+    return c["value"].rlike(HARMLESS) | name.rlike(HARMLESS)
+
+
 def candidates(text: Column, context: int = 40) -> Column:
     """Distinct candidates of a text: array of struct(value, start, before, after).
 
@@ -58,7 +70,7 @@ def features(c: Column, path: Column, dictionary: list[str]) -> list[Column]:
         flag(c["before"].rlike(r"[=:][ \t]*[\"']?$")),
         flag(c["before"].rlike(r"(?i)(passw|secret|token|key|credential|auth)")),
         flag(c["before"].rlike("[\"']$") & c["after"].rlike("^[\"']")),
-        flag(c["before"].rlike(HARMLESS) | value.rlike(HARMLESS)),
+        flag(harmless(c)),
         flag(path.rlike(r"(?i)(^|[/_.-])(tests?|examples?|docs?|samples?)([/_.-]|$)")),
     ]
 
@@ -67,7 +79,7 @@ def labelled(c: Column) -> Column:
     """True for findings of the detectors that are not marked harmless."""
     value = c["value"]
     sure = value.rlike(KEY_ID) | value.rlike(HOST_TOKEN) | (c["before"].rlike(TELLING) & (F.char_length(value) >= 12))
-    return sure & ~value.rlike(HARMLESS) & ~c["before"].rlike(HARMLESS)
+    return sure & ~harmless(c)
 
 
 @dataclass(frozen=True)
