@@ -84,7 +84,10 @@ def labelled(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class Forest:
-    """Trees as nested tuples (feature, threshold, left, right) or leaf votes, and the dictionary of the features."""
+    """Trees as nested tuples (feature, threshold, left, right) or leaf votes, and the dictionary of the features.
+
+    Without trees the detectors decide.
+    """
 
     trees: list
     dictionary: list[str]
@@ -111,24 +114,27 @@ def dictionary_of(docs: DataFrame, rows: int, words: int = 200, text: str = "tex
 
 
 def train_forest(docs: DataFrame, rows: int = 4000, trees: int = 15, depth: int = 4, seed: int = 7, text: str = "text", path: str = "source") -> Forest:
-    """A forest from the labelled candidates of the first ``rows`` candidates, the bound of the sample.
+    """A forest from labelled candidates: of each class up to half of ``rows``, drawn from all by a hash.
 
     Candidates that the detectors confirm are the secrets, the other candidates are not. The forest sees lengths,
-    transitions, coverage, path and neighbouring words only. If the sample has one class alone, every tree is that
-    class; without any candidate, nothing is a secret.
+    transitions, coverage, path and neighbouring words only. Both classes weigh alike, so few secrets are not
+    outvoted. If one class is missing, the forest has no trees and the detectors decide.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     words = dictionary_of(docs, 200, text=text)
-    found = docs.select(F.explode(candidates(F.col(text))).alias("c"), F.col(path).cast("string").alias("path"))
-    measured = found.select(labelled(F.col("c")).cast("double").alias("label"), *(f.alias(n) for n, f in zip(FEATURES, features(F.col("c"), F.col("path"), words), strict=True)))
-    table = docs.sparkSession.createDataFrame(measured.take(rows), measured.schema).persist()
+    described = docs.select(F.explode(candidates(F.col(text))).alias("c"), F.col(path).cast("string").alias("path"))
+    found = described.select(F.struct("c.value", "c.before", "c.after").alias("c"), "path").distinct().withColumn("sure", labelled(F.col("c")))
+    drawn = [r for sure in (True, False) for r in found.where(F.col("sure") == sure).orderBy(F.xxhash64("c", "path"), "c.value", "c.before", "c.after", "path").limit(rows // 2).collect()]
+    secret = sum(r["sure"] for r in drawn)
+    if secret in (0, len(drawn)):
+        return Forest([], words)
+    weight = F.when(F.col("label") == 1, (len(drawn) - secret) / secret).otherwise(1.0)
+    sample = docs.sparkSession.createDataFrame(drawn, found.schema)
+    table = sample.select(F.col("sure").cast("double").alias("label"), *(f.alias(n) for n, f in zip(FEATURES, features(F.col("c"), F.col("path"), words), strict=True))).withColumn("weight", weight).persist()
     try:
-        classes = [r["label"] for r in table.select("label").distinct().collect()]
-        if len(classes) < 2:
-            return Forest([*(classes or [0.0])], words)
-        fitted = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="vector").fit(VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(table))
+        fitted = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="vector", weightCol="weight").fit(VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(table))
     finally:
         table.unpersist()
 
@@ -142,9 +148,13 @@ def train_forest(docs: DataFrame, rows: int = 4000, trees: int = 15, depth: int
 
 def findings(text: Column, path: Column, forest: Forest) -> Column:
     """All candidates of a text with score and secret (half the trees or more): no row leaves its place."""
-    measured = F.transform(candidates(text), lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), F.array(*features(c, path, forest.dictionary)).alias("f")))
-    scored = F.transform(measured, lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), forest.score([c["f"][i] for i in range(len(FEATURES))]).alias("score")))
-    return F.transform(scored, lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), c["score"].alias("score"), (c["score"] >= 0.5).alias("secret")))
+    held = lambda c: [c["value"].alias("value"), c["start"].alias("start")]
+    if forest.trees:
+        measured = F.transform(candidates(text), lambda c: F.struct(*held(c), F.array(*features(c, path, forest.dictionary)).alias("f")))
+        scored = F.transform(measured, lambda c: F.struct(*held(c), forest.score([c["f"][i] for i in range(len(FEATURES))]).alias("score")))
+    else:
+        scored = F.transform(candidates(text), lambda c: F.struct(*held(c), F.coalesce(labelled(c), F.lit(False)).cast("double").alias("score")))
+    return F.transform(scored, lambda c: F.struct(*held(c), c["score"].alias("score"), (c["score"] >= 0.5).alias("secret")))
 
 
 def secret_scan(docs: DataFrame, forest: Forest | None = None, doc: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:

@@ -25,3 +25,19 @@ def test_harmless_words_count_in_the_value_and_its_name_alone(spark):
     assert found == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False, 6: False, 7: False, 8: False, 9: True}
     label = docs.select("doc_id", F.explode(secrets.candidates(F.col("text"))).alias("c")).select("doc_id", secrets.labelled(F.col("c")).alias("sure"))
     assert {r["doc_id"] for r in label.collect() if r["sure"]} == {0, 1, 2, 9}
+
+
+def test_secrets_behind_thousands_of_other_candidates_are_found(spark):
+    rows = [f"see commit {token(k)} there" for k in range(4500)] + [f"token = '{token(-k)}'" for k in range(1, 4)]
+    docs = table(spark, rows).coalesce(1)
+    told = {r["doc_id"] for r in secrets.secret_scan(docs).where("secret").collect()}
+    assert told == {4500, 4501, 4502}
+
+
+def test_detectors_decide_without_both_classes(spark):
+    only = table(spark, [f"password={token(1)}"])
+    none = table(spark, [f"see commit {token(2)} there"])
+    assert [r["secret"] for r in secrets.secret_scan(only).collect()] == [True]
+    fitted = secrets.train_forest(none)
+    key = table(spark, ["AKIA" + "ABCD1234" * 2, f"see {token(3)}"])
+    assert {r["doc_id"]: r["secret"] for r in secrets.secret_scan(key, fitted).collect()} == {0: True, 1: False}
