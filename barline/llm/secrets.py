@@ -104,11 +104,9 @@ class Forest:
         return sum((tree(t) for t in self.trees[1:]), tree(self.trees[0])) / len(self.trees)
 
 
-def dictionary_of(docs: DataFrame, rows: int, words: int = 200, text: str = "text") -> list[str]:
-    """The most frequent lower-case words of 3 letters or more in the first ``rows`` rows, ``words`` at most."""
-    # take() stops at the first partitions that have enough; limit() would send rows of all of them to one task.
-    sample = docs.sparkSession.createDataFrame(docs.select(F.col(text).cast("string").alias("text")).take(rows), "text string")
-    split = sample.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where(F.char_length("w") >= 3)
+def dictionary_of(docs: DataFrame, words: int = 200, text: str = "text") -> list[str]:
+    """The most frequent lower-case words of 3 letters or more in all documents, ``words`` at most."""
+    split = docs.select(F.explode(F.split(F.lower(F.col(text).cast("string")), r"[^\p{L}]+")).alias("w")).where(F.char_length("w") >= 3)
     top = split.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words)
     return sorted(r["w"] for r in top.collect())
 
@@ -123,7 +121,7 @@ def train_forest(docs: DataFrame, rows: int = 4000, trees: int = 15, depth: int
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    words = dictionary_of(docs, 200, text=text)
+    words = dictionary_of(docs, text=text)
     described = docs.select(F.explode(candidates(F.col(text))).alias("c"), F.col(path).cast("string").alias("path"))
     found = described.select(F.struct("c.value", "c.before", "c.after").alias("c"), "path").distinct().withColumn("sure", labelled(F.col("c")))
     drawn = [r for sure in (True, False) for r in found.where(F.col("sure") == sure).orderBy(F.xxhash64("c", "path"), "c.value", "c.before", "c.after", "path").limit(rows // 2).collect()]

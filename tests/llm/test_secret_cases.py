@@ -41,3 +41,8 @@ def test_detectors_decide_without_both_classes(spark):
     fitted = secrets.train_forest(none)
     key = table(spark, ["AKIA" + "ABCD1234" * 2, f"see {token(3)}"])
     assert {r["doc_id"]: r["secret"] for r in secrets.secret_scan(key, fitted).collect()} == {0: True, 1: False}
+
+
+def test_the_dictionary_is_of_all_documents(spark):
+    docs = table(spark, ["erste zeilen"] * 300 + ["later rows"] * 301 + [None]).coalesce(1)
+    assert secrets.dictionary_of(docs, words=2) == ["later", "rows"]
