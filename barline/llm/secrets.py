@@ -32,19 +32,27 @@ def harmless(c: Column) -> Column:
 
 
 def candidates(text: Column, context: int = 40) -> Column:
-    """Distinct candidates of a text: array of struct(value, start, before, after).
+    """Candidates of a text at all their places: array of struct(value, start, before, after).
 
-    start counts characters from 1; before and after are up to ``context`` characters beside the first occurrence.
+    start counts characters from 1; before and after are up to ``context`` characters beside this place.
     """
     body = F.coalesce(text, F.lit(""))
-    found = F.array_distinct(F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)))
+    found = F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0))
+    # What stands before each candidate; the part after the last one has a null value.
+    gaps = F.zip_with(found, F.split(body, CANDIDATE, -1), lambda v, gap: F.struct(v.alias("value"), F.char_length(gap).alias("gap"), F.coalesce(F.char_length(v), F.lit(0)).alias("length")))
+    none = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<value:string,start:int>>").alias("out"))
 
-    def described(value: Column) -> Column:
-        start = F.position(value, body)
+    def placed(held: Column, x: Column) -> Column:
+        start = held["next"] + x["gap"]
+        return F.struct((start + x["length"]).alias("next"), F.concat(held["out"], F.array(F.struct(x["value"].alias("value"), start.alias("start")))).alias("out"))
+
+    def described(c: Column) -> Column:
+        value, start = c["value"], c["start"]
         begin = F.greatest(start - context, F.lit(1))
         return F.struct(value.alias("value"), start.alias("start"), F.substring(body, begin, start - begin).alias("before"), F.substring(body, start + F.char_length(value), F.lit(context)).alias("after"))
 
-    return F.transform(found, described)
+    places = F.aggregate(gaps, none, placed, lambda held: held["out"])
+    return F.transform(F.filter(places, lambda c: c["value"].isNotNull()), described)
 
 
 def features(c: Column, path: Column, dictionary: list[str]) -> list[Column]:
@@ -156,7 +164,7 @@ def findings(text: Column, path: Column, forest: Forest) -> Column:
 
 
 def secret_scan(docs: DataFrame, forest: Forest | None = None, doc: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """{doc}, start, value, score and secret for each distinct candidate of each whole text.
+    """{doc}, start, value, score and secret for each place of each candidate of each whole text.
 
     A null text has no candidates, a null path counts as harmless in nothing. Repeated rows are scanned each; an
     empty table gives no rows. Nothing is shuffled. ``forest`` is fitted on docs if not given.
@@ -167,11 +175,14 @@ def secret_scan(docs: DataFrame, forest: Forest | None = None, doc: str = "doc_i
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, text: str = "text", path: str = "source") -> DataFrame:
-    """docs with every occurrence of each secret found in a text replaced by [SECRET]; other columns as they are."""
+    """docs with every occurrence of each secret found in a text replaced by [SECRET]; other columns as they are.
+
+    A value is replaced at all its places if it is a secret at one of them.
+    """
     fitted = forest or train_forest(docs, text=text, path=path)
     secret = F.filter(findings(F.col(text), F.col(path).cast("string"), fitted), lambda c: c["secret"])
     # Longest first, so that no secret is cut by one that it contains.
-    values = F.transform(F.sort_array(F.transform(secret, lambda c: F.struct(F.char_length(c["value"]).alias("n"), c["value"].alias("value"))), asc=False), lambda c: c["value"])
+    values = F.transform(F.sort_array(F.array_distinct(F.transform(secret, lambda c: F.struct(F.char_length(c["value"]).alias("n"), c["value"].alias("value")))), asc=False), lambda c: c["value"])
     held = docs.withColumn("__secrets", values)
     clean = F.when(F.size("__secrets") > 0, F.aggregate("__secrets", F.col(text), lambda t, v: F.replace(t, v, F.lit(REDACTED)))).otherwise(F.col(text))
     return held.withColumn(text, clean).select(*docs.columns)

@@ -1,6 +1,7 @@
 """Secrets in contexts, orders and places that a forest could lose."""
 
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -46,3 +47,15 @@ def test_detectors_decide_without_both_classes(spark):
 def test_the_dictionary_is_of_all_documents(spark):
     docs = table(spark, ["erste zeilen"] * 300 + ["later rows"] * 301 + [None]).coalesce(1)
     assert secrets.dictionary_of(docs, words=2) == ["later", "rows"]
+
+
+def test_every_place_of_a_value_is_judged(spark):
+    twice = f"👍 test: '{token(1)}' and é token = '{token(1)}' {token(1)}x {token(2)}"
+    docs = table(spark, [twice, f"{token(3)} {token(3)}", "no value", "", None])
+    rows = secrets.secret_scan(docs, FOREST).collect()
+    pattern = secrets.CANDIDATE
+    texts = {0: twice, 1: f"{token(3)} {token(3)}"}
+    assert sorted((r["doc_id"], r["start"], r["value"]) for r in rows) == sorted((d, m.start() + 1, m[0]) for d, t in texts.items() for m in re.finditer(pattern, t))
+    assert [r["secret"] for r in sorted(rows, key=lambda r: r["start"]) if r["value"] == token(1)] == [False, True]
+    clean = secrets.redact(docs, FOREST).where("doc_id = 0").first()["text"]
+    assert token(1) not in clean
