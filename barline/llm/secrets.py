@@ -167,7 +167,8 @@ def secret_scan(docs: DataFrame, forest: Forest | None = None, doc: str = "doc_i
     """{doc}, start, value, score and secret for each place of each candidate of each whole text.
 
     A null text has no candidates, a null path counts as harmless in nothing. Repeated rows are scanned each; an
-    empty table gives no rows. Nothing is shuffled. ``forest`` is fitted on docs if not given.
+    empty table gives no rows. The scan shuffles nothing; ``forest`` is fitted on docs if not given, which shuffles
+    words and candidates.
     """
     fitted = forest or train_forest(docs, text=text, path=path)
     out = docs.select(F.col(doc).alias(doc), F.explode(findings(F.col(text), F.col(path).cast("string"), fitted)).alias("c"))
