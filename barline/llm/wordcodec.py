@@ -13,6 +13,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute
 import regex
@@ -23,8 +24,8 @@ _CUT = regex.compile(r"(?<=\S) (?=\S)")
 _BEYOND_LATIN = regex.compile(r"[^\u0000-ɏ]")
 #: Four bytes, least first, on the machines Spark runs on.
 _UINT32 = "I"
-#: Fixed value: how byte-level files split a text.
-_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Signs behind a word that both files keep as one piece; an apostrophe begins another only before letters.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_characters() -> dict[int, int]:
@@ -38,33 +39,39 @@ class WordCodec:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     spaced: a word's piece has its leading space (byte-level files); else white space and case are dropped by the file.
+    plain: the file's special tokens in a text are ordinary text; else they are their ids, as the library has it.
     limit: words kept; beyond it the cache starts anew.
     """
 
-    _held: dict[str, WordCodec] = {}
+    _held: dict[tuple[str, bool], WordCodec] = {}
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, plain: bool = False, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain
         self.model = self.library.model
         spec = json.load(open(path, encoding="utf-8"))
         steps = spec["pre_tokenizer"].get("pretokenizers", [])
         patterns = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split"]
         self.spaced = not patterns
-        self.split = regex.compile(patterns[0] if patterns else _BYTE_LEVEL).findall
+        self.split = regex.compile(patterns[0] if patterns else public_tokenizers.PATTERN).findall
         self.lower = bool(patterns)
+        added = [] if plain else [t["content"] for t in spec.get("added_tokens", [])]
+        #: Finds texts that may hold an added token; the library takes those whole.
+        self.added = regex.compile("|".join(map(regex.escape, added)), regex.IGNORECASE).search if added else None
+        #: What such a text holds: the tokens' first characters, which is quicker to see; a letter has two cases.
+        self.probes = ["" if t[0].isalpha() else t[0] for t in added]
         self.table = _byte_characters()
         self.limit, self.words, self.pieces = limit, {}, {}
 
     @classmethod
-    def of(cls, path: str) -> WordCodec:
+    def of(cls, path: str, plain: bool = False) -> WordCodec:
         """One for each file and Python worker."""
-        if path not in cls._held:
-            cls._held[path] = cls(path)
-        return cls._held[path]
+        if (path, plain) not in cls._held:
+            cls._held[path, plain] = cls(path, plain)
+        return cls._held[path, plain]
 
     def _piece(self, piece: str) -> bytes:
         known = self.pieces.get(piece)
@@ -81,11 +88,14 @@ class WordCodec:
             return array(_UINT32, self.library.encode(word, add_special_tokens=False).ids).tobytes()
         if self.lower:
             word = word.lower()
-        if word.isalpha() or self.spaced and word[1:].isalpha() and word[0] == " ":
-            return self._piece(word)
+        head = word.rstrip(_SIGNS)
+        if head.isalpha() or self.spaced and head[1:].isalpha() and head[0] == " ":
+            return self._piece(head) if len(head) == len(word) else self._piece(head) + self._piece(word[len(head) :])
         return b"".join(map(self._piece, self.split(word)))
 
     def encode(self, text: str) -> bytes:
+        if self.added and any(p in text for p in self.probes) and self.added(text):
+            return array(_UINT32, self.library.encode(text, add_special_tokens=False).ids).tobytes()
         if self.lower and "Σ" not in text:  # its lower case depends on the letters around it
             text = text.lower()
         words = _CUT.split(text) if "  " in text else text.split(" ")

@@ -1,6 +1,7 @@
 """Packing, byte-level BPE and the id store against the libraries and brute force."""
 
 import base64
+import json
 import random
 import zlib
 
@@ -27,13 +28,14 @@ def own():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def library(path):
+def library(path, plain=False):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    if plain:
+        t.encode_special_tokens = True
     return t
 
 
-PARTS = ["'", "s", "t", "re", "ve", "ll", "m", "d", " ", "  ", "\n", "\t", "a", "é", "B", "1", "²", "!", ",", " ", "　", "漢", "👍", "\x1c", "́", "\r\n", "<|endoftext|>", "Σ", "İ", "\U000323b0"]
+PARTS = ["'", "s", "t", "re", "ve", "ll", "m", "d", " ", "  ", "\n", "\t", "a", "é", "B", "1", "²", "!", ",", " ", "　", "漢", "👍", "\x1c", "́", "\r\n", "<|endoftext|>", "<|", "word", "rock'n'", "n't.", "_", "§", "Σ", "İ", "\U000323b0"]
 TEXTS = st.lists(st.sampled_from(PARTS), max_size=30).map("".join) | st.text(max_size=40).map(lambda t: t.encode("utf-8", "ignore").decode())
 
 
@@ -65,9 +67,17 @@ def test_scan_composes_in_order():
         assert bytebpe.FUNCTIONS[bytebpe.scan(numbers), 0].tolist() == out
 
 
+def test_special_tokens_are_ids_as_the_library_loads_them():
+    for path in (BYTE, WORD):
+        for text in ("hello <|endoftext|> world", "a<|ENDOFTEXT|>b", "<|startoftext|><|endoftext|>", "x <| y"):
+            for plain in (False, True):
+                assert np.frombuffer(WordCodec.of(path, plain).encode(text), "<u4").tolist() == library(path, plain).encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_word_codec_equals_the_library(path):
-    codec, whole = WordCodec(path, limit=50), library(path)
+@pytest.mark.parametrize("plain", [False, True])
+def test_word_codec_equals_the_library(path, plain):
+    codec, whole = WordCodec(path, plain, limit=50), library(path, plain)
 
     @settings(max_examples=300, deadline=None)
     @given(TEXTS)
@@ -153,9 +163,20 @@ def test_cuts_depend_on_content():
 
 def test_crc_of_parts():
     rng = random.Random(1)
-    for _ in range(50):
-        a, b = rng.randbytes(rng.randrange(300)), rng.randbytes(rng.randrange(300))
-        assert idstore.combine_crc32(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    rows = [[rng.randbytes(rng.choice([0, 1, 4, 300, 70_000])) for _ in range(rng.randrange(1, 6))] for _ in range(60)]
+    parts, first = [p for row in rows for p in row], np.cumsum([0] + [len(row) for row in rows])[:-1]
+    found = idstore.joined_crc32(np.array([zlib.crc32(p) for p in parts]), np.array([len(p) for p in parts]), first)
+    assert found.tolist() == [zlib.crc32(b"".join(row)) for row in rows]
+    assert idstore.joined_crc32(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
+def test_marks_are_those_of_a_polynomial_over_the_window():
+    ids, factor = np.random.default_rng(4).integers(0, 50_000, 300), 0xD6E8FEB86659FD93
+    mixed = [(int(x) + 1) * 0x9E3779B97F4A7C15 % 2**64 for x in ids]
+    mixed = [m ^ m >> 29 for m in mixed]
+    hashes = [sum(mixed[i - b] * factor**b for b in range(min(16, i + 1))) % 2**64 for i in range(len(ids))]
+    for n in (0, 1, 5, 15, 16, 17, 300):
+        assert idstore.rolling_marks(ids[:n], 8).tolist() == [i + 1 for i in range(n) if hashes[i] >> 40 & 7 == 0]
 
 
 def test_id_store_round_trip(spark, docs, edge_docs, no_docs):
@@ -193,3 +214,23 @@ def test_damage_is_found(spark, docs):
     assert [r["kind"] for r in idstore.verify_store(spark, other).collect()] == ["chunk"]
     with pytest.raises(Exception, match="damaged"):
         idstore.document_sums(spark, other).collect()
+    moved = shared_dir(spark)
+    for name in ("chunks", "manifest"):
+        spark.read.parquet(f"{path}/{name}").write.parquet(f"{moved}/{name}")
+    idstore.read_recipes(spark, path).withColumn("doc", F.when(F.col("doc") == 7, F.lit(8)).otherwise(F.col("doc"))).write.parquet(f"{moved}/recipes")
+    with pytest.raises(Exception, match="differ from the manifest"):
+        idstore.document_sums(spark, moved).collect()
+
+
+def test_ids_of_large_vocabularies_take_four_bytes(spark, docs, tmp_path):
+    spec = json.load(open(WORD, encoding="utf-8"))
+    spec["model"]["vocab"] |= {f"unused{k}</w>": k for k in range(60_000, 70_000)}
+    spec["added_tokens"] = []
+    large = str(tmp_path / "large.json")
+    json.dump(spec, open(large, "w", encoding="utf-8"))
+    path, end = shared_dir(spark), 69_999
+    idstore.write_store(docs.limit(20), path, large, end_id=end, parts=2)
+    whole = library(large)
+    expected = {r["doc_id"]: np.array([*whole.encode(r["text"] or "", add_special_tokens=False).ids, end], "<u4").tobytes() for r in docs.limit(20).collect()}
+    assert idstore.id_width(spark, path) == 4
+    assert {r["doc"]: (r["n_tokens"], r["ids_crc32"]) for r in idstore.document_sums(spark, path).collect()} == {d: (len(x) // 4, zlib.crc32(x)) for d, x in expected.items()}
