@@ -4,7 +4,8 @@ A store is a folder of three Parquet tables.
 
 chunks    digest (SHA-256 of the ids), ids (little-endian unsigned 16-bit, or 32-bit for larger vocabularies)
 recipes   part, row, doc, n_tokens, chunks [digest, n]; files and rows lie in ascending document order
-manifest  part, n_docs, n_tokens, base (ids in all parts before), root (Merkle root over the part's recipes)
+manifest  part, n_docs, n_tokens, base (ids in all parts before), width (bytes of an id), root (Merkle root over the
+          part's recipes)
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -29,12 +31,12 @@ RECIPE = "row long, doc long, n_tokens long, chunks array<struct<digest:binary,n
 
 def rolling_marks(ids: np.ndarray, mean: int) -> np.ndarray:
     """Places after which a chunk may end: where the hash of the last SPAN ids has zero in its low bits."""
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    rolled, factor, n = np.zeros(len(ids), np.uint64), 1, len(ids)
-    for back in range(min(SPAN, n)):  # a polynomial over the window, so that it depends on the window alone
-        rolled[back:] += mixed[: n - back] * np.uint64(factor)
-        factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
+    rolled = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    rolled ^= rolled >> np.uint64(29)
+    span, factor = 1, 0xD6E8FEB86659FD93
+    while span < SPAN:  # a polynomial over the window, so that it depends on the window alone: 2, 4, 8, 16 ids
+        rolled[span:] += rolled[:-span] * np.uint64(factor)
+        span, factor = 2 * span, factor * factor % (1 << 64)
     return np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(mean - 1) == 0) + 1
 
 
@@ -62,36 +64,46 @@ def document_cuts(marks: list[int], begin: int, stop: int, least: int, most: int
     return ends
 
 
-def combine_crc32(first: int, second: int, second_bytes: int) -> int:
-    """The CRC-32 of two byte strings in turn from that of each, by powers of the polynomial's shift."""
-    return _times(_shift(second_bytes), first) ^ second
-
-
-def _times(a: int, b: int) -> int:
-    """a * b in the field of CRC-32, bits reflected."""
-    out, bit = 0, 1 << 31
-    while a:
-        if a & bit:
-            out ^= b
-            a ^= bit
-        bit >>= 1
-        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+def _times_x(value: np.ndarray) -> np.ndarray:
+    """value * x in the field of CRC-32, bits reflected."""
+    return value >> np.uint32(1) ^ np.where(value & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+
+
+@cache
+def _shift_tables() -> list[np.ndarray]:
+    """For each k, the CRC of what a byte at each of 4 places adds once 2 ** k zero bytes follow: 4 by 256 a table."""
+    bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    for _ in range(8):
+        bits = _times_x(bits)
+    out = []
+    for _ in range(40):
+        table = np.zeros((4, 256), np.uint32)
+        for place in range(4):
+            for bit in range(8):
+                table[place, 1 << bit : 2 << bit] = table[place, : 1 << bit] ^ bits[8 * place + bit]
+        out.append(table)
+        bits = _shifted(bits, table)
     return out
 
 
-_shifts: dict[int, int] = {0: 1 << 31}
+def _shifted(crc: np.ndarray, table: np.ndarray) -> np.ndarray:
+    low, high = np.uint32(255), np.uint32(8)
+    return table[0, crc & low] ^ table[1, crc >> high & low] ^ table[2, crc >> np.uint32(16) & low] ^ table[3, crc >> np.uint32(24)]
 
 
-def _shift(n_bytes: int) -> int:
-    """x to the power of 8 * n_bytes."""
-    if n_bytes not in _shifts:
-        base, power, left = 1 << 23, 1 << 31, n_bytes  # x ** 8
-        while left:
-            if left & 1:
-                power = _times(base, power)
-            base, left = _times(base, base), left >> 1
-        _shifts[n_bytes] = power
-    return _shifts[n_bytes]
+def joined_crc32(crcs: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The CRC-32 of byte strings in turn from that of each, for many rows of strings at once.
+
+    crcs and sizes (bytes) lie end to end, ``first`` is where each row begins; a row has one string or more. A
+    string's CRC is shifted by the bytes that follow it in its row, and the shifted ones are added.
+    """
+    ends = np.cumsum(sizes, dtype=np.int64)
+    counts = np.diff(np.append(first, len(crcs)))
+    rest, held = np.repeat(ends[first + counts - 1], counts) - ends, crcs.astype(np.uint32)
+    for k in range(int(rest.max(initial=0)).bit_length()):
+        at = np.flatnonzero(rest >> k & 1)
+        held[at] = _shifted(held[at], _shift_tables()[k])
+    return np.bitwise_xor.reduceat(held, first) if len(first) else held
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, mean: int = 256, least: int = 64, most: int = 2048, parts: int | None = None, doc: str = "doc_id", text: str = "text") -> None:
@@ -102,16 +114,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, mean: i
     first; repeated rows each have a recipe, in a fixed order. Only digests are sorted and joined; ids move once,
     to the file of their digest, after repeats within a task are dropped.
     """
-    spark = docs.sparkSession
+    spark, width = docs.sparkSession, 2 if max(*WordCodec.of(tokenizer).library.get_vocab().values(), end_id) < 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, seen = WordCodec.of(tokenizer), set()
         end = np.array([end_id], "<u4").tobytes()
-        kind = "<u2" if max(codec.library.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for rows in text_groups(batches, 2):
             coded = [c + end for c in codec.encode_all([t or "" for t in rows.column(2).to_pylist()])]
             ids = np.frombuffer(b"".join(coded), "<u4")
-            raw, width = memoryview(ids.astype(kind).tobytes()), np.dtype(kind).itemsize
+            raw = memoryview(ids.astype(f"<u{width}").tobytes())
             edges = np.cumsum([0, *(len(c) // 4 for c in coded)])
             marks = rolling_marks(ids, mean)
             inside = np.searchsorted(marks, edges, "right")
@@ -137,15 +148,26 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, mean: i
 
     staged = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, RECIPE))
     chunks = staged.select(F.explode(F.arrays_zip(F.col("chunks.digest").alias("digest"), F.col("data").alias("ids"))).alias("c")).select("c.digest", "c.ids").where("ids IS NOT NULL")
-    chunks.groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks.repartition(n, "digest").mapInArrow(first_of_each, "digest binary, ids binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
     ordered = staged.select("row", "doc", "n_tokens", "chunks").repartitionByRange(n, F.col("doc").asc_nulls_first(), F.col("row"))
     ordered.sortWithinPartitions(F.col("doc").asc_nulls_first(), "row").select(F.spark_partition_id().alias("part"), "row", "doc", "n_tokens", "chunks").write.option("compression", "zstd").parquet(f"{path}/recipes")
     discard(staged)
     recipes = read_recipes(spark, path)
     totals = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).join(merkle_roots(recipes), "part", "left")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
-    totals.select("part", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"), "root").coalesce(1).write.parquet(f"{path}/manifest")
+    totals.select("part", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"), F.lit(width).alias("width"), "root").coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (digest, ids) of one partition without repeats of a digest; the digests of the partition are held."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        new = []
+        for digest in batch.column(0).to_pylist():
+            new.append(digest not in seen)
+            seen.add(digest)
+        yield batch if all(new) else batch.filter(pa.array(new))
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -173,8 +195,17 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.lit("part").alias("kind"), F.col("part").cast("string").alias("name")).union(bad.select(F.lit("chunk"), F.hex("digest")))
 
 
-def chunk_sums(spark: SparkSession, path: str, kind: str = "<u2") -> DataFrame:
-    """digest, n and crc32 (of the ids as unsigned 32-bit) of every stored chunk, from its bytes, digest checked."""
+def id_width(spark: SparkSession, path: str) -> int:
+    """Bytes of an id in a store, as its manifest says; 2 for a store without documents."""
+    return spark.read.parquet(f"{path}/manifest").agg(F.max("width")).first()[0] or 2
+
+
+def chunk_sums(spark: SparkSession, path: str) -> DataFrame:
+    """digest, n and crc32 (of the ids as unsigned 32-bit) of every stored chunk, from its bytes.
+
+    A chunk whose bytes do not have its digest is an error.
+    """
+    kind = f"<u{id_width(spark, path)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,39 +215,42 @@ def chunk_sums(spark: SparkSession, path: str, kind: str = "<u2") -> DataFrame:
                     raise ValueError(f"chunk {digest.hex()} is damaged")
                 ids = np.frombuffer(raw, kind)
                 counts.append(len(ids))
-                sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.array(sums, pa.int64())], ["digest", "n", "crc"])
+                sums.append(zlib.crc32(ids.astype("<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), pa.array(sums, pa.int64())], ["digest", "n", "crc"])
 
     return spark.read.parquet(f"{path}/chunks").select("digest", "ids").mapInArrow(run, "digest binary, n int, crc long")
 
 
-def document_sums(spark: SparkSession, path: str, kind: str = "<u2") -> DataFrame:
+def document_sums(spark: SparkSession, path: str) -> DataFrame:
     """Per document, read back from a store: doc, start (ids of all documents before it), n_tokens, crc32 of its ids.
 
     Each stored chunk is read and summed once; documents join the sums by digest and combine them in order, so no
-    ids are shuffled, and a chunk that a third of the documents share is a skewed join that Spark splits.
+    ids are shuffled, and a chunk that a third of the documents share is a skewed join that Spark splits. Errors
+    are a chunk that is missing or differs from its digest, and a part whose recipes differ from the manifest's
+    Merkle root. A null id stays null and comes first; repeated rows come back each; an empty store gives no rows.
     """
     recipes = read_recipes(spark, path)
     uses = recipes.select("part", "row", "doc", F.posexplode("chunks").alias("k", "c")).select("part", "row", "doc", "k", F.col("c.digest").alias("digest"))
-    summed = uses.join(chunk_sums(spark, path, kind), "digest", "left")
+    summed = uses.join(chunk_sums(spark, path), "digest", "left")
     per_doc = summed.groupBy("part", "row", "doc").agg(F.sort_array(F.collect_list(F.struct("k", "n", "crc"))).alias("sums"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, sums = [], []
-            for parts in batch.column(3).to_pylist():
-                total, crc = 0, 0
-                for p in parts:
-                    if p["n"] is None:
-                        raise ValueError("a chunk of a recipe is not in the store")
-                    crc, total = combine_crc32(crc, p["crc"], 4 * p["n"]), total + p["n"]
-                counts.append(total)
-                sums.append(crc)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], ["part", "row", "doc", "n_tokens", "ids_crc32"])
+            lists = batch.column(3)
+            sizes, sums = lists.flatten().field("n"), lists.flatten().field("crc")
+            if sizes.null_count:
+                raise ValueError("a chunk of a recipe is not in the store")
+            first = np.asarray(lists.offsets)[:-1].astype(np.int64) - lists.offsets[0].as_py()
+            counts = np.asarray(sizes).astype(np.int64)
+            total = np.add.reduceat(counts, first) if len(first) else counts
+            crc = joined_crc32(np.asarray(sums), 4 * counts, first)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(total), pa.array(crc.astype(np.int64))], ["part", "row", "doc", "n_tokens", "ids_crc32"])
 
     back = per_doc.mapInArrow(run, "part int, row long, doc long, n_tokens long, ids_crc32 long")
     earlier = Window.partitionBy("part").orderBy(F.col("doc").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, -1)
-    base = spark.read.parquet(f"{path}/manifest").select("part", "base")
+    found = spark.read.parquet(f"{path}/manifest").join(merkle_roots(recipes).withColumnRenamed("root", "found"), "part", "left")
+    whole = F.when(F.col("root").eqNullSafe(F.col("found")), F.col("base")).otherwise(F.raise_error(F.concat(F.lit("the recipes of part "), "part", F.lit(" differ from the manifest"))))
+    base = found.select("part", whole.alias("base"))  # one row a part
     return back.withColumn("local", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))).join(F.broadcast(base), "part").select("doc", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
