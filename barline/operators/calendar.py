@@ -9,9 +9,12 @@ from barline.functions.columns import backward_fill, forward_fill
 
 
 def sessions(bounds: DataFrame, start: str = "start", end: str = "end", holidays: DataFrame | None = None) -> DataFrame:
-    """Monday to Friday between the dates of the one row of ``bounds``, without ``holidays`` (column date)."""
+    """Monday to Friday between the dates of the one row of ``bounds``, without ``holidays`` (column date).
+
+    The holidays within the bounds are at most one row a day, whatever the table has.
+    """
     days = bounds.select(F.explode(F.sequence(start, end)).alias("date")).where(F.weekday("date") < 5)
-    return days if holidays is None else days.join(F.broadcast(holidays.select("date")), "date", "left_anti")
+    return days if holidays is None else days.join(holidays.select("date").distinct(), "date", "left_anti")
 
 
 def sessions_of(panel: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
@@ -34,8 +37,8 @@ def align(panel: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def daily_last(ticks: DataFrame, columns: list[str], ts: str = "ts") -> DataFrame:
-    """The last non-missing value of each column by asset and day."""
-    return ticks.groupBy("asset", F.to_date(ts).alias("date")).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in columns))
+    """The last non-missing value of each column by asset and day; of values at one instant the greatest."""
+    return ticks.groupBy("asset", F.to_date(ts).alias("date")).agg(*(F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("ts"), F.col(c).alias("last"))))["last"].alias(c) for c in columns))
 
 
 def fill(panel: DataFrame, columns: list[str], how: str = "ffill", key: str = "asset") -> DataFrame:

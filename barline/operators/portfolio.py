@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STATE = "portfolio_id string, date date, asset string, value double, cash double, fees double, q double, p_exec double, shares double, weight double"
+from barline.functions.columns import not_nan
+
+STATE = "portfolio_id string, date date, asset string, value double, cash double, fees double, vol_slip double, q double, p_exec double, shares double, weight double"
 
 
 def target_weights(raw: DataFrame, short: bool = False, weight: str = "weight") -> DataFrame:
@@ -19,38 +21,45 @@ def target_weights(raw: DataFrame, short: bool = False, weight: str = "weight")
     return raw.withColumn("__w", floor).withColumn(weight, F.col("__w") / F.greatest(total, F.lit(1e-12))).drop("__w")
 
 
-def rebalance(targets: DataFrame, prices: DataFrame, cash: float = 1e6, bps: float = 5.0, price: str = "close", spread: str = "bid_ask_spread_corwin_schultz") -> DataFrame:
+def rebalance(targets: DataFrame, prices: DataFrame, cash: float = 1e6, bps: float = 5.0, mark: str = "close", reference: str = "execution_price_t_plus_1_open", spread: str = "bid_ask_spread_corwin_schultz", sigma: str | None = None, k: float = 0.0) -> DataFrame:
     """The state of each portfolio after each date's rebalancing to targets (portfolio_id, date, asset, weight).
 
-    A date's value at its prices sets target shares; the trade fills at half the spread and pays fees on its
-    notional. Cash and shares carry over, so a portfolio is a fold in date order, one task each; memory holds one
-    portfolio, dates times assets.
+    A date's value at ``mark`` sets target shares; the trade fills at ``reference`` and half the spread on it (at
+    ``mark`` if prices have no such column) and pays fees on its notional and, with ``sigma`` (a column, in basis
+    points), slippage of k times sigma. Without a reference price an asset is not traded that day, with a mark of
+    zero its target is no shares; an asset without a row has no part in the day. A portfolio whose value is not
+    positive trades no more that day. Cash and shares carry over, so a portfolio is a fold in date order, one task
+    each; memory holds one portfolio, dates times assets of seven numbers.
     """
-    width = F.col(spread) if spread in prices.columns else F.lit(0.0)
-    rows = targets.join(prices.select("date", "asset", F.col(price).alias("price"), F.greatest(F.coalesce(width, F.lit(0.0)), F.lit(0.0)).alias("spread")), ["date", "asset"])
+    zero = F.lit(0.0)
+    width = F.col(spread) if spread in prices.columns else zero
+    known = prices.select("date", "asset", F.coalesce(mark, zero).alias("mark"), F.col(reference if reference in prices.columns else mark).alias("ref"), F.greatest(F.coalesce(width, zero), zero).alias("spread"), (F.coalesce(sigma, zero) if sigma else zero).alias("sigma"))
+    rows = targets.select("portfolio_id", "date", "asset", F.coalesce("weight", zero).alias("weight")).join(known, ["date", "asset"])
 
     def fold(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values(["date", "asset"], ignore_index=True)
         codes, assets = pd.factorize(table.asset)
-        prices, spreads, weights = (table[c].fillna(0.0).to_numpy() for c in ("price", "spread", "weight"))
+        marks, refs, spreads, sigmas, weights = (table[c].to_numpy(float) for c in ("mark", "ref", "spread", "sigma", "weight"))
         days = np.append(np.flatnonzero(~table.date.duplicated()), len(table))
         money, held = cash, np.zeros(len(assets))
-        made = {c: np.empty(len(table)) for c in ("value", "cash", "fees", "q", "p_exec", "shares", "weight")}
+        made = {c: np.empty(len(table)) for c in ("value", "cash", "fees", "vol_slip", "q", "p_exec", "shares", "weight")}
         for a, b in pairwise(days.tolist()):
-            here, price = codes[a:b], prices[a:b]
+            here, price, ref = codes[a:b], marks[a:b], refs[a:b]
             value = money + held[here] @ price
             goal = np.divide(weights[a:b] * value, price, out=np.zeros(b - a), where=price != 0)
-            q = goal - held[here]
-            fill = price * (1 + spreads[a:b] / 2 * np.where(q >= 0, 1.0, -1.0))
-            fees = np.abs(q * fill).sum() * bps / 1e4
-            money -= q @ fill + fees
-            held[here] = goal
-            worth = money + goal @ price
-            for name, x in (("value", worth), ("cash", money), ("fees", fees), ("q", q), ("p_exec", fill), ("shares", goal), ("weight", goal * price / max(worth, 1e-12))):
+            q = np.where(np.isnan(ref) | (value <= 0), 0.0, goal - held[here])
+            fill = ref * (1 + spreads[a:b] / 2 * np.where(q >= 0, 1.0, -1.0))
+            traded = np.where(q == 0, 0.0, np.abs(q))
+            fees = np.nansum(traded * fill) * bps / 1e4
+            slip = np.nansum(traded * ref * sigmas[a:b]) * k / 1e4
+            money -= np.nansum(q * fill) + fees + slip
+            held[here] += q
+            worth = money + held[here] @ price
+            for name, x in (("value", worth), ("cash", money), ("fees", fees), ("vol_slip", slip), ("q", q), ("p_exec", fill), ("shares", held[here]), ("weight", held[here] * price / max(worth, 1e-12))):
                 made[name][a:b] = x
         return pd.DataFrame({"portfolio_id": table.portfolio_id, "date": table.date, "asset": table.asset, **made})
 
-    return rows.groupBy("portfolio_id").applyInPandas(fold, STATE)
+    return rows.groupBy("portfolio_id").applyInPandas(fold, STATE).withColumn("p_exec", not_nan(F.col("p_exec")))
 
 
 def mark_to_market(positions: DataFrame, prices: DataFrame, price: str = "close") -> DataFrame:

@@ -3,12 +3,12 @@
 Over the rows with a value, smoothing without adjustment is y = a * y_before + b: after a gap of k rows
 a = d / (d + alpha) and b = alpha * x / (d + alpha) with d = (1 - alpha) ** k; the first value has a = 0, b = x.
 Rows are cut into blocks before the product of a leaves double range. In a block y = A * carry + S with running
-sums; the blocks' last (A, S), one row each, are folded for each key into the carries.
+sums. A row's carry is a fold over the ends (A, S) of the blocks before it in a group of blocks, and over the ends
+of the groups before; windows bring those to the row, so the input is read once and nothing is joined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +18,8 @@ from barline.functions.columns import by_time, so_far
 
 #: The decay that a block may have, as a natural logarithm; with one gap's clamp it stays in double range.
 SPAN = 300.0
+#: Blocks in a group.
+GROUP = 64
 
 
 @dataclass(frozen=True)
@@ -30,17 +32,19 @@ class Smoothing:
     least: int
 
 
-def _step(product: str, total: str) -> Callable[[Column, Column], Column]:
-    return lambda carry, block: block[product] * carry + block[total]
+def _after(first: Column, then: Column) -> Column:
+    """The step (A, S), which is y -> A * y + S, of two steps in turn."""
+    return F.struct((then["A"] * first["A"]).alias("A"), (then["A"] * first["S"] + then["S"]).alias("S"))
 
 
 def smooth(df: DataFrame, specs: list[Smoothing], key: str = "asset", order: str = "date") -> DataFrame:
-    """Adds all of ``specs`` in one pass: two windows by key, one by key and block, and a join of the carries.
+    """Adds all of ``specs`` in one pass: windows by key that share one exchange, in two sort orders.
 
     A missing value decays the weight of what came before and shows the last result, as a series' own smoothing does.
     """
     w, running = by_time(key, order), so_far(key, order)
     hidden = lambda name, i: f"__{name}{i}"
+    every = range(len(specs))
     out = df.withColumn("__row", F.row_number().over(w))
     for i, s in enumerate(specs):
         out = out.withColumns({hidden("seen", i): F.count(s.value).over(running), hidden("last", i): F.max(F.when(F.col(s.value).isNotNull(), F.col("__row"))).over(w.rowsBetween(Window.unboundedPreceding, -1))})
@@ -53,20 +57,22 @@ def smooth(df: DataFrame, specs: list[Smoothing], key: str = "asset", order: str
                 hidden("b", i): F.when(present, F.when(first, F.col(s.value)).otherwise(s.alpha * F.col(s.value) / (decay + s.alpha))).otherwise(0.0),
             }
         )
-    decline = F.greatest(*(-F.col(hidden("lna", i)) for i in range(len(specs))), F.lit(0.0))
-    out = out.withColumn("__decline", decline)
+    out = out.withColumn("__decline", F.greatest(*(-F.col(hidden("lna", i)) for i in every), F.lit(0.0)))
     out = out.withColumn("__block", F.floor(F.sum("__decline").over(running) / SPAN))
-    inside = Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumns({hidden("A", i): F.exp(F.sum(hidden("lna", i)).over(inside)) for i in range(len(specs))})
-    out = out.withColumns({hidden("S", i): F.col(hidden("A", i)) * F.sum(F.col(hidden("b", i)) / F.col(hidden("A", i))).over(inside) for i in range(len(specs))})
-    ends = out.groupBy(key, "__block").agg(*(F.max_by(F.struct(hidden("A", i), hidden("S", i)), order).alias(hidden("end", i)) for i in range(len(specs))))
-    whole = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carries = []
-    for i in range(len(specs)):
-        # As many blocks as 300 / alpha rows each: thousands for ten million rows of one key.
-        before = F.collect_list(hidden("end", i)).over(whole)
-        carries.append(F.aggregate(before, F.lit(0.0), _step(hidden("A", i), hidden("S", i))).alias(hidden("carry", i)))
-    blocks = ends.select(key, "__block", *carries)
-    joined = out.join(blocks, [key, "__block"])
+    out = out.withColumns({"__next": F.lead("__block", 1).over(w), "__group": F.floor(F.col("__block") / GROUP)})
+    # From here on rows are sorted by key, group, block and time.
+    inside = Window.partitionBy(key, "__group", "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns({hidden("A", i): F.exp(F.sum(hidden("lna", i)).over(inside)) for i in every})
+    out = out.withColumns({hidden("S", i): F.col(hidden("A", i)) * F.sum(F.col(hidden("b", i)) / F.col(hidden("A", i))).over(inside) for i in every})
+    step = lambda i: F.struct(F.col(hidden("A", i)).alias("A"), F.col(hidden("S", i)).alias("S"))
+    none = F.struct(F.lit(1.0).alias("A"), F.lit(0.0).alias("S"))
+    ends = F.col("__next").isNull() | (F.col("__next") != F.col("__block"))
+    before = Window.partitionBy(key, "__group").orderBy("__block", order).rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumns({hidden("blocks", i): F.aggregate(F.collect_list(F.when(ends, step(i))).over(before), none, _after) for i in every})
+    # A group ends where its last block does; ten million rows of one key are some dozens of groups.
+    tops = F.col("__next").isNull() | (F.floor(F.col("__next") / GROUP) != F.col("__group"))
+    earlier = Window.partitionBy(key).orderBy("__group", "__block", order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = lambda i: F.aggregate(F.collect_list(F.when(tops, _after(F.col(hidden("blocks", i)), step(i)))).over(earlier), F.lit(0.0), lambda y, x: x["A"] * y + x["S"])
+    out = out.withColumns({hidden("carry", i): _after(F.struct(F.lit(0.0).alias("A"), whole(i).alias("S")), F.col(hidden("blocks", i)))["S"] for i in every})
     results = {s.out: F.when(F.col(hidden("seen", i)) >= s.least, F.col(hidden("A", i)) * F.col(hidden("carry", i)) + F.col(hidden("S", i))) for i, s in enumerate(specs)}
-    return joined.select(*df.columns, *(v.alias(k) for k, v in results.items()))
+    return out.select(*df.columns, *(v.alias(k) for k, v in results.items()))

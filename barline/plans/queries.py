@@ -12,7 +12,7 @@ from barline.operators import calendar as cal
 from barline.operators import cash, checks, execution, features, indicators, kpis, normalize, portfolio, strategies
 from barline.plans import clean, sql
 from barline.sources import fixtures, manifest, provider, tables
-from barline.sources.scratch import shared_dir
+from barline.sources.scratch import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,10 +101,13 @@ def a4(s, d):
     return provider.crypto_bars(files).select("asset", normalize.parse_date(F.col("date")).alias("date"), "close", "volume")
 
 
-@registered("a5_land_batch", "SELECT DISTINCT asset FROM bars WHERE asset <> 'NF'", "bars")
+@registered("a5_land_batch", "SELECT asset, date, open, high, low, close, volume FROM bars WHERE asset <> 'NF'", "bars")
 def a5(s, d):
-    files = _month_files(s, d).withColumn("payload", F.when(F.col("asset") == "NF", "{broken").otherwise(F.col("payload")))
-    return provider.land(provider.equity_bars(files), shared_dir(s))
+    """The rows landed of the assets that land() lists."""
+    path, files = shared_dir(s), _month_files(s, d).withColumn("payload", F.when(F.col("asset") == "NF", "{broken").otherwise(F.col("payload")))
+    landed = provider.land(provider.equity_bars(files), path)
+    rows = tables.load_parquet(s, path).join(landed, "asset", "left_semi")
+    return rows.select("asset", normalize.parse_date(F.col("date")).alias("date"), "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"))
 
 
 @registered("a6_rate_json", "SELECT date, CASE WHEN day(date) % 5 <> 0 THEN percent END AS percent FROM rates", "rates")
@@ -126,10 +129,24 @@ def a8(s, d):
     return manifest.sha256_files(s, f"{d}/lineitem.parquet").select("sha256")
 
 
-@registered("a9_manifest")
+_SUMMARY = "count(*) AS {0}_rows, CAST({1} AS BIGINT) AS {0}_cols, CAST(min(date) AS VARCHAR) AS {0}_from, CAST(max(date) AS VARCHAR) AS {0}_to, CAST(64 AS INTEGER) AS {0}_hash_length"
+
+
+@registered(
+    "a9_manifest",
+    "SELECT 'clean' AS stage, 'v2' AS dataset_id, '2024-01-01T00:00:00+00:00' AS created_at, 'abc1234' AS git_commit, 'XNYS' AS calendar, '1992-01-01' AS start, '4' AS engine, i.*, o.* "
+    f"FROM (SELECT {_SUMMARY.format('input', 2)} FROM rates) i, (SELECT {_SUMMARY.format('output', 7)} FROM bars) o",
+    "bars",
+    "rates",
+)
 def a9(s, d):
-    inputs = manifest.table_summary(tables.load_parquet(s, f"{d}/lineitem.parquet"), "lineitem")
-    return manifest.manifest("clean", inputs, manifest.table_summary(bars(s, d), "bars"), {"start": "1992-01-01"})
+    """The manifest of a stage that read rates and wrote bars, both as files, laid out flat."""
+    source, target = shared_dir(s), shared_dir(s)
+    tables.save_parquet(fixtures.rates(s, d), source)
+    tables.save_parquet(bars(s, d), target)
+    row = manifest.manifest("clean", manifest.file_summary(s, source), manifest.file_summary(s, target), {"start": "1992-01-01"}, {"engine": "4"}, "v2", "2024-01-01T00:00:00+00:00", "abc1234")
+    side = lambda name: [F.col(f"{name}s")[0][c].alias(f"{name}_{n}") for n, c in (("rows", "n_rows"), ("cols", "n_cols"), ("from", "date_min"), ("to", "date_max"))] + [F.length(F.col(f"{name}s")[0]["sha256"]).alias(f"{name}_hash_length")]
+    return row.select("stage", "dataset_id", "created_at", "git_commit", "calendar", F.col("spec")["start"].alias("start"), F.col("env")["engine"].alias("engine"), *side("input"), *side("output"))
 
 
 @registered("a10_universe", "SELECT upper(trim(n_name)) AS asset, min(n_nationkey) AS ord FROM nation GROUP BY 1")
@@ -383,38 +400,42 @@ def e2(s, d):
     return _cuts(panel(s, d).withColumn("sma", indicators.sma(F.col("close"), 20)), KEYS, {"sma": 3})
 
 
-def _ema(name: str, value: str, span: int, source: str = "bars") -> dict[str, str]:
+def _ema(name: str, value: str, span: int, source: str = "panel") -> dict[str, str]:
     return sql.smoothed(name, source, value, f"(2.0::DOUBLE / {span + 1})")
 
 
-def _wilder(name: str, value: str, source: str = "moves", n: int = 14) -> dict[str, str]:
+def _wilder(name: str, value: str, source: str = "panel_moves", n: int = 14) -> dict[str, str]:
     return sql.smoothed(name, source, value, f"(1.0::DOUBLE / {n})")
 
 
-def _on_bars(*names: str) -> str:
-    return "FROM bars b" + "".join(f" LEFT JOIN {n} ON b.asset = {n}.asset AND b.date = {n}.date" for n in names)
+def _on(source: str, *names: str) -> str:
+    return f"FROM {source} b" + "".join(f" LEFT JOIN {n} ON b.asset = {n}.asset AND b.date = {n}.date" for n in names)
 
 
-@registered("e3_ema", _sql_cuts("b.asset, b.date", {"ema": ("CASE WHEN e12.rn >= 12 THEN e12.y END", 3)}) + " " + _on_bars("e12"), "bars", extra=_ema("e12", "close", 12))
+@registered("e3_ema", _sql_cuts("b.asset, b.date", {"ema": ("CASE WHEN e12.rn >= 12 THEN e12.y END", 3)}) + " " + _on("panel", "e12"), "panel", extra=_ema("e12", "close", 12))
 def e3(s, d):
-    return _cuts(indicators.ema(bars(s, d), 12, out="ema"), KEYS, {"ema": 3})
+    return _cuts(indicators.ema(panel(s, d), 12, out="ema"), KEYS, {"ema": 3})
 
 
 _RSI = "CASE WHEN up14.rn >= 14 THEN 100 - 100 / (1 + up14.y / nullif(down14.y, 0)) END"
 
 
-@registered("e4_rsi", _sql_cuts("b.asset, b.date", {"relative_strength_index_14": (_RSI, 4)}) + " " + _on_bars("up14", "down14"), "bars", "moves", extra=_wilder("up14", "up") | _wilder("down14", "down"))
+@registered("e4_rsi", _sql_cuts("b.asset, b.date", {"relative_strength_index_14": (_RSI, 4)}) + " " + _on("panel", "up14", "down14"), "panel_moves", extra=_wilder("up14", "up") | _wilder("down14", "down"))
 def e4(s, d):
-    return _cuts(indicators.rsi(bars(s, d)), KEYS, {"relative_strength_index_14": 4})
+    return _cuts(indicators.rsi(panel(s, d)), KEYS, {"relative_strength_index_14": 4})
+
+
+def _macd(source: str) -> dict[str, str]:
+    line = "SELECT e12.asset, e12.date, CASE WHEN e26.rn >= 26 THEN e12.y - e26.y END AS v FROM e12 JOIN e26 ON e12.asset = e26.asset AND e12.date = e26.date"
+    return _ema("e12", "close", 12, source) | _ema("e26", "close", 26, source) | {"line": line} | _ema("sig", "v", 9, "line")
 
 
-_MACD = _ema("e12", "close", 12) | _ema("e26", "close", 26) | {"line": "SELECT e12.asset, e12.date, e12.y - e26.y AS v FROM e12 JOIN e26 ON e12.asset = e26.asset AND e12.date = e26.date WHERE e26.rn >= 26"} | _ema("sig", "v", 9, "line")
 _SIGNAL = "CASE WHEN sig.rn >= 9 THEN sig.y END"
 
 
-@registered("e5_macd", _sql_cuts("b.asset, b.date", {"macd_line_12_26_9": ("line.v", 3), "macd_signal_12_26_9": (_SIGNAL, 3), "macd_histogram_12_26_9": (f"line.v - {_SIGNAL}", 3)}) + " " + _on_bars("line", "sig"), "bars", extra=_MACD)
+@registered("e5_macd", _sql_cuts("b.asset, b.date", {"macd_line_12_26_9": ("line.v", 3), "macd_signal_12_26_9": (_SIGNAL, 3), "macd_histogram_12_26_9": (f"line.v - {_SIGNAL}", 3)}) + " " + _on("panel", "line", "sig"), "panel", extra=_macd("panel"))
 def e5(s, d):
-    return _cuts(indicators.macd(bars(s, d)), KEYS, {"macd_line_12_26_9": 3, "macd_signal_12_26_9": 3, "macd_histogram_12_26_9": 3})
+    return _cuts(indicators.macd(panel(s, d)), KEYS, {"macd_line_12_26_9": 3, "macd_signal_12_26_9": 3, "macd_histogram_12_26_9": 3})
 
 
 _MID, _STD = _rolled("avg", "close", 20), _rolled("stddev_samp", "close", 20)
@@ -434,15 +455,18 @@ def e7(s, d):
     return _cuts(indicators.cci(bars(s, d)), KEYS, {"commodity_channel_index_20": 4})
 
 
-_ADX = _wilder("tr14", "tr") | _wilder("pl14", "plus") | _wilder("mi14", "minus")
-_ADX |= {"di": "SELECT tr14.asset, tr14.date, 100 * pl14.y / nullif(tr14.y, 0) AS pdi, 100 * mi14.y / nullif(tr14.y, 0) AS mdi FROM tr14 JOIN pl14 ON tr14.asset = pl14.asset AND tr14.date = pl14.date JOIN mi14 ON tr14.asset = mi14.asset AND tr14.date = mi14.date WHERE tr14.rn >= 14"}
-_ADX |= {"dx": "SELECT asset, date, 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) AS v FROM di"} | _wilder("adx", "v", "dx")
+def _adx(source: str) -> dict[str, str]:
+    smooth = _wilder("tr14", "tr", source) | _wilder("pl14", "plus", source) | _wilder("mi14", "minus", source)
+    di = "SELECT tr14.asset, tr14.date, CASE WHEN tr14.rn >= 14 THEN 100 * pl14.y / nullif(tr14.y, 0) END AS pdi, CASE WHEN tr14.rn >= 14 THEN 100 * mi14.y / nullif(tr14.y, 0) END AS mdi FROM tr14 JOIN pl14 ON tr14.asset = pl14.asset AND tr14.date = pl14.date JOIN mi14 ON tr14.asset = mi14.asset AND tr14.date = mi14.date"
+    return smooth | {"di": di, "dx": "SELECT asset, date, 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) AS v FROM di"} | _wilder("adx", "v", "dx")
+
+
 _ADX_CUTS = {"average_directional_index_14": ("CASE WHEN adx.rn >= 14 THEN adx.y END", 4), "positive_directional_index_14": ("di.pdi", 4), "negative_directional_index_14": ("di.mdi", 4)}
 
 
-@registered("e8_adx", _sql_cuts("b.asset, b.date", _ADX_CUTS) + " " + _on_bars("di", "adx"), "bars", "moves", extra=_ADX)
+@registered("e8_adx", _sql_cuts("b.asset, b.date", _ADX_CUTS) + " " + _on("panel", "di", "adx"), "panel_moves", extra=_adx("panel_moves"))
 def e8(s, d):
-    return _cuts(indicators.adx(bars(s, d)), KEYS, {k: v for k, (_, v) in _ADX_CUTS.items()})
+    return _cuts(indicators.adx(panel(s, d)), KEYS, {k: v for k, (_, v) in _ADX_CUTS.items()})
 
 
 # F. Cash and the clean panel
@@ -483,19 +507,39 @@ def f5(s, d):
 
 
 def clean_panel(s: SparkSession, d: str) -> DataFrame:
-    return clean.clean_panel(bars(s, d), risk_free(s, d))
-
-
-_CLEAN_SQL = f"""SELECT b.asset, b.date, CAST(0 AS TINYINT) AS is_cash, {sql.cut("CAST(close AS FLOAT)::DOUBLE", 0)} AS close, {sql.cut("CAST(e12 AS FLOAT)::DOUBLE", 1)} AS exponential_moving_average_12, {sql.cut("CAST(rsi AS FLOAT)::DOUBLE", 1)} AS relative_strength_index_14, {sql.cut("CAST(m AS FLOAT)::DOUBLE", 1)} AS simple_moving_average_60, {sql.cut("CAST(spread AS FLOAT)::DOUBLE", 3)} AS bid_ask_spread_corwin_schultz
-    FROM (SELECT b.asset, b.date, b.close, s.spread, {_rolled("avg", "b.close", 60).replace("PARTITION BY asset ORDER BY date", "PARTITION BY b.asset ORDER BY b.date")} AS m, CASE WHEN e12.rn >= 12 THEN e12.y END AS e12, {_RSI} AS rsi {_on_bars("e12", "up14", "down14")} JOIN spreads s ON b.asset = s.asset AND b.date = s.date) b
-    UNION ALL SELECT 'CASH', date, CAST(1 AS TINYINT), {sql.cut("CAST(close AS FLOAT)::DOUBLE", 0)}, NULL, NULL, NULL, 0.0 FROM accrued"""
-
-
-@registered("f6_clean_panel", _CLEAN_SQL, "bars", "moves", "spreads", "accrued", extra=_ema("e12", "close", 12) | _wilder("up14", "up") | _wilder("down14", "down"))
+    held = written(bars(s, d))  # read three times: for the panel, its days and their bounds
+    rates = cal.risk_free_on(fixtures.rates(s, d), cal.sessions_of(held))
+    return clean.clean_panel(held, rates)
+
+
+def _clean_sql() -> tuple[str, dict[str, tuple[str, int]]]:
+    """SQL of every column of the clean panel, and the digits that hold in single precision."""
+    on_b = lambda piece: piece.replace("PARTITION BY asset ORDER BY date", "PARTITION BY b.asset ORDER BY b.date")
+    rolled = lambda aggregate, value, n: on_b(_rolled(aggregate, value, n))
+    mid, sd = rolled("avg", "b.close", 20), rolled("stddev_samp", "b.close", 20)
+    columns = {
+        "open": ("b.open", 3), "high": ("b.high", 3), "low": ("b.low", 3), "close": ("b.close", 3), "adj_close": ("b.close", 3), "volume": ("b.volume", 3), "dividends": ("0.0::DOUBLE", 3), "stock_splits": ("1.0::DOUBLE", 3),
+        "daily_return_log": (on_b("ln(b.close / lag(b.close) OVER (PARTITION BY asset ORDER BY date))"), 5), "average_dollar_volume_20": (rolled("avg", "b.close * b.volume", 20), 0), "volatility_becker_parkinson": ("s.sigma", 5), "bid_ask_spread_corwin_schultz": ("s.spread", 5),
+        "simple_moving_average_20": (mid, 3), "simple_moving_average_60": (rolled("avg", "b.close", 60), 3), "exponential_moving_average_12": ("CASE WHEN e12.rn >= 12 THEN e12.y END", 3), "exponential_moving_average_26": ("CASE WHEN e26.rn >= 26 THEN e26.y END", 3), "relative_strength_index_14": (_RSI, 3),
+        "macd_line_12_26_9": ("line.v", 3), "macd_signal_12_26_9": (_SIGNAL, 3), "macd_histogram_12_26_9": (f"line.v - {_SIGNAL}", 3),
+        "bollinger_middle_band_20_2_0": (mid, 3), "bollinger_upper_band_20_2_0": (f"{mid} + 2 * {sd}", 3), "bollinger_lower_band_20_2_0": (f"{mid} - 2 * {sd}", 3), "bollinger_bandwidth_20_2_0": (f"4 * {sd} / nullif({mid}, 0)", 5),
+        "commodity_channel_index_20": ("(cci.tp - cci.m) / nullif(0.015 * list_avg(list_transform(cci.xs, lambda x: abs(x - cci.m))), 0)", 3), **{c: (v, 3) for c, (v, _) in _ADX_CUTS.items()},
+        "execution_price_t_plus_1_open": ("s.next_open", 3),
+    }
+    single = {c: (f"CAST({v} AS FLOAT)::DOUBLE", n) for c, (v, n) in columns.items()}
+    held = {"open": "open", "high": "high", "low": "low", "close": "close", "adj_close": "close", "volume": "0.0", "dividends": "0.0", "stock_splits": "1.0", "daily_return_log": "log_factor", "average_dollar_volume_20": "0.0", "volatility_becker_parkinson": "0.0", "bid_ask_spread_corwin_schultz": "0.0", "execution_price_t_plus_1_open": "lead(open) OVER (ORDER BY date)"}
+    cash_row = {c: (f"CAST({held.get(c, 'NULL')} AS FLOAT)::DOUBLE", n) for c, (_, n) in columns.items()}
+    joined = _on("bars", "e12", "e26", "line", "sig", "up14", "down14", "di", "adx") + f" JOIN spreads s ON b.asset = s.asset AND b.date = s.date JOIN {_CCI} cci ON b.asset = cci.asset AND b.date = cci.date"
+    return _sql_cuts("b.asset, b.date, CAST(0 AS TINYINT) AS is_cash", single) + f" {joined} UNION ALL BY NAME " + _sql_cuts("'CASH' AS asset, date, CAST(1 AS TINYINT) AS is_cash", cash_row) + f" FROM {_CASH_BARS}", columns
+
+
+_CLEAN_SQL, _CLEAN = _clean_sql()
+
+
+@registered("f6_clean_panel", _CLEAN_SQL, "moves", "spreads", "accrued", extra=_macd("bars") | _wilder("up14", "up", "moves") | _wilder("down14", "down", "moves") | _adx("moves"))
 def f6(s, d):
-    digits = {"close": 0, "exponential_moving_average_12": 1, "relative_strength_index_14": 1, "simple_moving_average_60": 1, "bid_ask_spread_corwin_schultz": 3}
     p = clean_panel(s, d)
-    return p.select("asset", "date", "is_cash", *(cut(F.col(c).cast("double"), n).alias(c) for c, n in digits.items()))
+    return p.select("asset", "date", "is_cash", *(cut(F.col(c).cast("double"), n).alias(c) for c, (_, n) in _CLEAN.items()))
 
 
 # G. Portfolio metrics, an asset being a portfolio
@@ -600,9 +644,11 @@ _SCORES = {
 
 
 def _best(name: str, score: str) -> None:
-    @registered(name, f"SELECT {sql.cut(f'max({_SCORES[score]})', 6)} AS score FROM grid", "grid")
+    best = f"SELECT w, {sql.cut('score', 6)} AS score FROM (SELECT w, {_SCORES[score]} AS score FROM grid) WHERE score IS NOT NULL ORDER BY score DESC, w LIMIT 1"
+
+    @registered(name, f"SELECT w, score FROM ({best})", "grid")
     def run(s, d):
-        return strategies.best_weight(_grid(s, d), score).select(cut("score", 6).alias("score"))
+        return strategies.best_weight(_grid(s, d), score).select("w", cut("score", 6).alias("score"))
 
 
 _best("h3_max_treynor", "treynor")
@@ -628,9 +674,12 @@ def h9(s, d):
     return _cuts(strategies.weighted_returns(returns(s, d), weights), ["portfolio", "date"], {"r": 8})
 
 
-@registered("h10_wide", 'SELECT date, first(close) FILTER (asset = \'AF\') AS "AF", first(close) FILTER (asset = \'RO\') AS "RO" FROM bars GROUP BY date', "bars")
+ASSETS = ("AF", "NF", "NO", "RF", "RO")
+
+
+@registered("h10_wide", "SELECT date, " + ", ".join(f"first(close) FILTER (asset = '{a}') AS \"{a}\"" for a in ASSETS) + " FROM bars GROUP BY date", "bars")
 def h10(s, d):
-    return strategies.wide(bars(s, d), list(PAIR))
+    return strategies.wide(bars(s, d), list(ASSETS))
 
 
 @registered("h12_weight_grid", "SELECT w, " + ", ".join(f"{sql.cut(e, 6)} AS {n}" for n, e in _SCORES.items()) + " FROM grid", "grid")
@@ -646,8 +695,8 @@ def h12c(s, d):
 # I. Execution, costs, portfolio
 
 
-def _priced(s: SparkSession, d: str) -> DataFrame:
-    return features.next_open(features.spread_estimates(bars(s, d)))
+def _priced(s: SparkSession, d: str, b: DataFrame | None = None) -> DataFrame:
+    return features.next_open(features.spread_estimates(bars(s, d) if b is None else b))
 
 
 def _trades(s: SparkSession, d: str, **how) -> DataFrame:
@@ -683,25 +732,55 @@ def i5(s, d):
     return _cuts(execution.apply_fees(_trades(s, d), 5.0, sigma, 0.1), ["date", "asset"], {"vol_slip": 3})
 
 
-def _targets(s: SparkSession, d: str) -> DataFrame:
+def _targets(b: DataFrame) -> DataFrame:
     """Two portfolios: volume-weighted, and dollar-weighted without the days of falling prices."""
-    b = bars(s, d)
     one = b.select(F.lit("volume").alias("portfolio_id"), "date", "asset", F.col("volume").alias("weight"))
     two = b.select(F.lit("rising").alias("portfolio_id"), "date", "asset", (F.col("close") - F.col("open")).alias("weight"))
     return portfolio.target_weights(one.unionByName(two))
 
 
-_TARGETS = {"raw": "SELECT 'volume' AS portfolio_id, date, asset, volume AS w FROM bars UNION ALL BY NAME SELECT 'rising' AS portfolio_id, date, asset, greatest(close - open, 0) AS w FROM bars"}
+def _raw(source: str) -> dict[str, str]:
+    return {"raw": f"SELECT 'volume' AS portfolio_id, date, asset, coalesce(volume, 0) AS w FROM {source} UNION ALL BY NAME SELECT 'rising' AS portfolio_id, date, asset, greatest(coalesce(close - open, 0), 0) AS w FROM {source}"}
 
 
-@registered("i6_target_weights", f"SELECT portfolio_id, date, asset, {sql.cut('w / greatest(sum(w) OVER (PARTITION BY portfolio_id, date), 1e-12)', 6)} AS weight FROM raw", "bars", extra=_TARGETS)
+@registered("i6_target_weights", f"SELECT portfolio_id, date, asset, {sql.cut('w / greatest(sum(w) OVER (PARTITION BY portfolio_id, date), 1e-12)', 6)} AS weight FROM raw", "bars", extra=_raw("bars"))
 def i6(s, d):
-    return _cuts(_targets(s, d), ["portfolio_id", "date", "asset"], {"weight": 6})
+    return _cuts(_targets(bars(s, d)), ["portfolio_id", "date", "asset"], {"weight": 6})
+
+
+def _fold_prices(known: DataFrame) -> DataFrame:
+    """Every asset on every session, gaps filled: marks and fills within a hundredth of a level of 100, low spreads."""
+    level = lambda c: 100 + F.sin(c)
+    most = lambda c, top: F.when(F.col(c).isNotNull(), F.least(c, F.lit(top)))
+    bounded = known.select("date", "asset", level(F.col("close")).alias("close"), level(F.col("execution_price_t_plus_1_open")).alias("execution_price_t_plus_1_open"), most("bid_ask_spread_corwin_schultz", 0.001).alias("bid_ask_spread_corwin_schultz"), (most("volatility_becker_parkinson", 0.02) * 1e4).alias("sigma_bps"))
+    return cal.fill(cal.align(bounded, cal.sessions_of(bounded)), [c for c in bounded.columns if c not in KEYS])
+
+
+#: Days of a portfolio with lists over its assets, and the fold over them: a day's trades follow from the state before.
+_FOLD = _raw("panel") | {
+    "weights": "SELECT portfolio_id, date, asset, w / greatest(sum(w) OVER (PARTITION BY portfolio_id, date), 1e-12) AS weight FROM raw",
+    "priced": "SELECT p.date, p.asset, " + ", ".join(f"last_value({v} IGNORE NULLS) OVER (PARTITION BY p.asset ORDER BY p.date) AS {n}" for n, v in {"mark": "100 + sin(p.close)", "ref": "100 + sin(s.next_open)", "spread": "CASE WHEN s.spread IS NOT NULL THEN least(s.spread, 0.001) END", "sigma": "CASE WHEN s.sigma IS NOT NULL THEN least(s.sigma, 0.02) * 1e4 END"}.items()) + " FROM panel p LEFT JOIN spreads s ON p.date = s.date AND p.asset = s.asset",
+    "slots": "SELECT p.portfolio_id, a.asset FROM (SELECT DISTINCT portfolio_id FROM raw) p CROSS JOIN (SELECT DISTINCT asset FROM bars) a",
+    "days": """SELECT portfolio_id, date, row_number() OVER (PARTITION BY portfolio_id ORDER BY date) AS n, l FROM (SELECT d.portfolio_id, d.date, list({'a': s.asset, 'mark': p.mark, 'ref': p.ref, 'spread': p.spread, 'sigma': p.sigma, 'w': w.weight} ORDER BY s.asset) AS l
+        FROM (SELECT DISTINCT portfolio_id, date FROM raw) d JOIN slots s USING (portfolio_id) LEFT JOIN weights w ON w.portfolio_id = d.portfolio_id AND w.date = d.date AND w.asset = s.asset LEFT JOIN priced p ON p.date = w.date AND p.asset = w.asset GROUP BY 1, 2)""",
+    "fold": """SELECT portfolio_id, CAST(0 AS BIGINT) AS n, 1e6::DOUBLE AS cash, list_transform(l, lambda x: 0.0::DOUBLE) AS shares, list_transform(l, lambda x: 0.0::DOUBLE) AS q, 0.0::DOUBLE AS fees, 0.0::DOUBLE AS slip FROM days WHERE n = 1
+        UNION ALL SELECT portfolio_id, n, cash - list_sum(list_transform(q, lambda x, i: x * fill[i])) - fees - slip, list_transform(shares, lambda x, i: x + q[i]), q, fees, slip FROM (
+        SELECT *, list_sum(list_transform(q, lambda x, i: abs(x) * fill[i])) * 5 / 1e4 AS fees, list_sum(list_transform(q, lambda x, i: abs(x) * coalesce(l[i].ref * l[i].sigma, 0))) * 0.01 / 1e4 AS slip FROM (
+        SELECT *, list_transform(q, lambda x, i: coalesce(l[i].ref, 0) * (1 + coalesce(l[i].spread, 0) / 2 * CASE WHEN x >= 0 THEN 1 ELSE -1 END)) AS fill FROM (
+        SELECT *, list_transform(shares, lambda x, i: CASE WHEN l[i].mark IS NULL OR l[i].ref IS NULL OR worth <= 0 THEN 0 ELSE l[i].w * worth / l[i].mark - x END) AS q FROM (
+        SELECT d.portfolio_id, d.n, d.l, f.cash, f.shares, f.cash + list_sum(list_transform(f.shares, lambda x, i: x * coalesce(d.l[i].mark, 0))) AS worth FROM fold f JOIN days d ON d.portfolio_id = f.portfolio_id AND d.n = f.n + 1))))""",
+    "states": """SELECT *, cash + list_sum(list_transform(shares, lambda x, i: x * coalesce(l[i].mark, 0))) AS value FROM (SELECT d.portfolio_id, d.date, d.l, f.cash, f.shares, f.q, f.fees, f.slip FROM fold f JOIN days d ON d.portfolio_id = f.portfolio_id AND d.n = f.n)""",
+    "each": "SELECT portfolio_id, date, value, cash, fees, slip, unnest(l) AS x, unnest(shares) AS held, unnest(q) AS q FROM states",
+}
+_STATE = {"value": ("value", 2), "cash": ("cash", 2), "fees": ("fees", 4), "vol_slip": ("slip", 4), "q": ("q", 4), "shares": ("held", 4), "weight": ("held * coalesce(x.mark, 0) / greatest(value, 1e-12)", 6), "p_exec": ("x.ref * (1 + coalesce(x.spread, 0) / 2 * CASE WHEN q >= 0 THEN 1 ELSE -1 END)", 4)}
 
 
-@registered("i7_i8_rebalance")
+@registered("i7_i8_rebalance", _sql_cuts("portfolio_id, date, x.a AS asset", _STATE) + " FROM each", "spreads", "panel", extra=_FOLD)
 def i8(s, d):
-    return portfolio.rebalance(_targets(s, d), _priced(s, d))
+    held = written(bars(s, d))
+    targets = _targets(cal.align(held, cal.sessions_of(held)))
+    states = portfolio.rebalance(targets, _fold_prices(_priced(s, d, held)), sigma="sigma_bps", k=0.01)
+    return _cuts(states, ["portfolio_id", "date", "asset"], {c: n for c, (_, n) in _STATE.items()})
 
 
 @registered("i9_mark_to_market", _sql_cuts("portfolio_id, date, asset", {"value": ("v", 2), "weight": ("x / greatest(v, 1e-12)", 6)}) + " FROM (SELECT *, 1000 + sum(x) OVER (PARTITION BY portfolio_id, date) AS v FROM (SELECT 'all' AS portfolio_id, date, asset, volume * close AS x FROM bars))", "bars")

@@ -3,6 +3,14 @@
 from __future__ import annotations
 
 PRICE_ORDER = "ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, p"
+
+
+def _moves(source: str) -> str:
+    """Up and down moves of the close, true range and directional moves of bars or of the panel with its gaps."""
+    return f"""SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS up, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS down, CASE WHEN hu > ld AND hu > 0 THEN hu ELSE 0.0 END AS plus, CASE WHEN ld > hu AND ld > 0 THEN ld ELSE 0.0 END AS minus,
+        greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM (SELECT *, close - lag(close) OVER w AS d, lag(close) OVER w AS pc, high - lag(high) OVER w AS hu, lag(low) OVER w - low AS ld FROM {source} WINDOW w AS (PARTITION BY asset ORDER BY date))"""
+
+
 CTES: dict[str, str] = {
     "bars": f"""SELECT l_returnflag || l_linestatus AS asset, CAST(l_shipdate AS DATE) AS date, first(p {PRICE_ORDER}) AS open, max(p) AS high, min(p) AS low, last(p {PRICE_ORDER}) AS close, sum(l_quantity) AS volume
         FROM (SELECT *, l_extendedprice / l_quantity AS p FROM lineitem) GROUP BY 1, 2""",
@@ -25,8 +33,8 @@ CTES: dict[str, str] = {
         CASE WHEN beta IS NOT NULL THEN greatest((sqrt(2) - 1) / (3 - 2 * sqrt(2)) * sqrt(beta) - sqrt(gamma / (3 - 2 * sqrt(2))), 0) END AS alpha,
         CASE WHEN beta IS NOT NULL THEN greatest((pow(2, -0.5) - 1) * sqrt(beta) / (sqrt(8 / pi()) * (3 - 2 * sqrt(2))) + sqrt(gamma / (8 / pi() * (3 - 2 * sqrt(2)))), 0) END AS sigma,
         lead(open) OVER (PARTITION BY asset ORDER BY date) AS next_open FROM terms)""",
-    "moves": """SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS up, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS down, CASE WHEN hu > ld AND hu > 0 THEN hu ELSE 0.0 END AS plus, CASE WHEN ld > hu AND ld > 0 THEN ld ELSE 0.0 END AS minus,
-        greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM (SELECT *, close - lag(close) OVER w AS d, lag(close) OVER w AS pc, high - lag(high) OVER w AS hu, lag(low) OVER w - low AS ld FROM bars WINDOW w AS (PARTITION BY asset ORDER BY date))""",
+    "moves": _moves("bars"),
+    "panel_moves": _moves("panel"),
     "accrued": """SELECT date, rate, days_to_next, factor, ln(factor) AS log_factor, CASE WHEN factor IS NOT NULL THEN exp(sum(ln(factor)) OVER (ORDER BY date)) END AS close FROM (
         SELECT date, rate, coalesce(date_diff('day', date, ahead), 1) AS days_to_next, CASE WHEN ahead IS NULL THEN 1.0 ELSE 1 + rate * date_diff('day', date, ahead) / 360 END AS factor FROM (
         SELECT date, last_value(risk_free_annual IGNORE NULLS) OVER (ORDER BY date) AS rate, lead(date) OVER (ORDER BY date) AS ahead FROM (SELECT d.date, rf.risk_free_annual FROM (SELECT DISTINCT date FROM bars) d LEFT JOIN rf ON d.date = rf.date)))""",
@@ -35,7 +43,7 @@ CTES: dict[str, str] = {
 #: What each piece reads.
 NEEDS = {
     "sess": ["bars"], "panel": ["bars", "sess"], "rf": ["bars", "sess", "rates"], "ret": ["bars"], "mkt": ["ret"], "retm": ["ret", "mkt"], "wealth": ["ret"], "dd": ["wealth"], "pairs": ["ret", "mkt"], "mom": ["pairs"], "grid": ["mom"],
-    "terms": ["bars"], "spreads": ["terms"], "moves": ["bars"], "accrued": ["bars", "rf"], "trades": ["trades_in", "spreads"],
+    "terms": ["bars"], "spreads": ["terms"], "moves": ["bars"], "panel_moves": ["panel"], "accrued": ["bars", "rf"], "trades": ["trades_in", "spreads"],
 }
 
 
@@ -45,10 +53,16 @@ def cut(value: str, digits: int) -> str:
 
 
 def smoothed(name: str, source: str, value: str, alpha: str) -> dict[str, str]:
-    """Pieces that smooth a value over the rows that have one (no gaps after the first): name(asset, date, y, rn)."""
+    """Pieces that smooth a value over the rows that have one: name(asset, date, y, rn), one row for each of source.
+
+    A row without a value has the last y and the count rn so far; a gap of k rows weighs what came before it by
+    (1 - alpha) ** k.
+    """
+    d = f"pow(1 - {alpha}, s.k)"
     return {
-        f"{name}_x": f"SELECT asset, date, {value} AS x, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn FROM {source} WHERE {value} IS NOT NULL",
-        name: f"SELECT asset, date, rn, x AS y FROM {name}_x WHERE rn = 1 UNION ALL SELECT s.asset, s.date, s.rn, (1 - {alpha}) * e.y + {alpha} * s.x FROM {name} e JOIN {name}_x s ON s.asset = e.asset AND s.rn = e.rn + 1",
+        f"{name}_x": f"SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn, pos - lag(pos) OVER (PARTITION BY asset ORDER BY date) AS k FROM (SELECT asset, date, {value} AS x, row_number() OVER (PARTITION BY asset ORDER BY date) AS pos FROM {source}) WHERE x IS NOT NULL",
+        f"{name}_r": f"SELECT asset, date, rn, x AS y FROM {name}_x WHERE rn = 1 UNION ALL SELECT s.asset, s.date, s.rn, ({d} * e.y + {alpha} * s.x) / ({d} + {alpha}) FROM {name}_r e JOIN {name}_x s ON s.asset = e.asset AND s.rn = e.rn + 1",
+        name: f"SELECT s.asset, s.date, last_value(r.y IGNORE NULLS) OVER w AS y, last_value(r.rn IGNORE NULLS) OVER w AS rn FROM {source} s LEFT JOIN {name}_r r ON s.asset = r.asset AND s.date = r.date WINDOW w AS (PARTITION BY s.asset ORDER BY s.date)",
     }
 
 

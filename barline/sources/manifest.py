@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def sha256_files(spark: SparkSession, path: str) -> DataFrame:
-    """path and sha256 of each file below a path, one task a file."""
+    """path and sha256 of each file below a path, one task a file.
+
+    A file is read as one value, so one of 2 GB or more is an error; part files of a table are far smaller.
+    """
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
@@ -29,11 +32,17 @@ def file_summary(spark: SparkSession, path: str) -> DataFrame:
     return summary.join(digest)
 
 
-def manifest(stage: str, inputs: DataFrame, outputs: DataFrame, spec: dict[str, str] | None = None, env: dict[str, str] | None = None) -> DataFrame:
-    """One row: stage, spec, inputs, outputs and environment; inputs and outputs are summaries, one row a table."""
+def manifest(stage: str, inputs: DataFrame, outputs: DataFrame, spec: dict[str, str] | None = None, env: dict[str, str] | None = None, dataset_id: str = "v1", created_at: str | None = None, git_commit: str = "unknown", calendar: str = "XNYS") -> DataFrame:
+    """One row: stage, dataset_id, created_at, git_commit, calendar, spec, inputs, outputs and environment.
+
+    inputs and outputs are summaries, one row a table (file_summary() has hashes, table_summary() none). created_at
+    is the time of the query in UTC if not given; the commit is passed in.
+    """
     gathered = [side.agg(F.array_sort(F.collect_list(F.struct(*side.columns))).alias(name)) for side, name in ((inputs, "inputs"), (outputs, "outputs"))]
     pairs = lambda d: F.create_map(*(F.lit(x) for kv in sorted((d or {}).items()) for x in kv)) if d else F.lit(None).cast("map<string,string>")
-    return gathered[0].join(gathered[1]).select(F.lit(stage).alias("stage"), pairs(spec).alias("spec"), "inputs", "outputs", pairs(env).alias("env"))
+    made = F.lit(created_at) if created_at else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    told = {"stage": F.lit(stage), "dataset_id": F.lit(dataset_id), "created_at": made, "git_commit": F.lit(git_commit), "calendar": F.lit(calendar), "spec": pairs(spec)}
+    return gathered[0].join(gathered[1]).select(*(v.alias(n) for n, v in told.items()), "inputs", "outputs", pairs(env).alias("env"))
 
 
 def write_manifest(row: DataFrame, path: str) -> None:

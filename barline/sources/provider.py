@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.operators.normalize import ticker
+from barline.sources.tables import save_parquet
 
 #: The providers' fields.
 EQUITY = "array<struct<date:string,open:double,high:double,low:double,close:double,adjClose:double,volume:bigint,divCash:double,splitFactor:double>>"
@@ -44,7 +45,7 @@ def rejected(files: DataFrame, crypto: bool = False) -> DataFrame:
 
 def land(raw: DataFrame, path: str) -> DataFrame:
     """Writes RAW by asset, and gives the assets written."""
-    raw.repartition("asset").write.mode("overwrite").partitionBy("asset").parquet(path)
+    save_parquet(raw, path, by="asset")
     return raw.sparkSession.read.parquet(path).select("asset").distinct()
 
 

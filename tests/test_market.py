@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barline.functions import columns as C
 from barline.operators import calendar, cash, checks, execution, features, indicators, kpis, normalize, portfolio, strategies
+from barline.operators import recurrence
 from barline.operators.recurrence import Smoothing, smooth
 from barline.plans import clean
 from barline.sources import manifest, provider, tables
@@ -59,6 +60,44 @@ def test_smoothing_equals_pandas_over_gaps(spark, alpha, least):
     close(out.sy.to_numpy(float), pd.Series(y).ewm(alpha=0.05, adjust=False).mean().to_numpy(), 1e-9)
 
 
+def test_smoothing_folds_over_blocks_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(recurrence, "SPAN", 2.0)
+    monkeypatch.setattr(recurrence, "GROUP", 3)
+    rng = np.random.default_rng(9)
+    x = rng.normal(100, 5, 600)
+    x[rng.random(600) < 0.2] = np.nan
+    table = spark.createDataFrame([(a, D + timedelta(days=i), None if np.isnan(v) else float(v)) for a in "AB" for i, v in enumerate(x)], "asset string, date date, x double")
+    out = smooth(table, [Smoothing("x", 0.3, "fast", 1), Smoothing("x", 0.01, "slow", 5)]).toPandas().sort_values(["asset", "date"])
+    for a in "AB":
+        mine = out[out.asset == a]
+        close(mine.fast.to_numpy(float), pd.Series(x).ewm(alpha=0.3, adjust=False).mean().to_numpy(), 1e-10)
+        close(mine.slow.to_numpy(float), pd.Series(x).ewm(alpha=0.01, adjust=False, min_periods=5).mean().to_numpy(), 1e-10)
+
+
+def test_indicators_read_their_input_once(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    random_bars(spark, 50).write.parquet(path)
+    held = spark.read.parquet(path)
+    for made, scans in ((indicators.adx(held), 1), (indicators.macd(held), 1), (clean.clean_panel(held, held.select("date").distinct().withColumn("risk_free_annual", F.lit(0.03))), 3)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == scans and "Join Inner" not in plan
+
+
+def test_repeated_days_count_in_order_and_the_last_stays(spark):
+    rows = [("A", D + timedelta(days=i), 10.0 + i, 11.0 + i, 9.0 + i, 10.5 + i, 1.0, 0) for i in range(25)]
+    again = ("A", D + timedelta(days=22), 50.0, 60.0, 40.0, 55.0, 1.0, 1)
+    table = spark.createDataFrame([again, *rows], BARS + ", n int")
+    rates = table.select("date").distinct().withColumn("risk_free_annual", F.lit(0.03))
+    got = clean.clean_panel(table, rates, order="n").where("asset = 'A'").toPandas().sort_values("date", ignore_index=True)
+    assert len(got) == 25 and got.date.is_unique
+    series_ = pd.Series([r[5] for r in rows[:23]] + [55.0] + [r[5] for r in rows[23:]])
+    want = series_.rolling(20).mean().drop(22).reset_index(drop=True)  # the first of the two rows of that day goes
+    close(got.simple_moving_average_20.to_numpy(float), want.to_numpy(), 1e-5)
+    assert got.close[22] == 55.0 and got.execution_price_t_plus_1_open[22] == 33.0
+    with pytest.raises(ValueError, match="CASH"):
+        clean.clean_panel(table.withColumn("asset", F.lit("CASH")), rates)
+
+
 def test_indicators_equal_pandas(spark):
     bars = random_bars(spark)
     source = bars.toPandas().sort_values(["asset", "date"])
@@ -170,6 +209,20 @@ def test_rebalance_equals_a_plain_fold(spark):
         cash_ -= paid
         mine = got[got.date == day]
         assert mine.cash.iloc[0] == pytest.approx(cash_) and mine.value.iloc[0] == pytest.approx(cash_ + sum(held[a] * price[day, a] for a in held))
+    day = lambda i: D + timedelta(days=i)
+    wanted = spark.createDataFrame([("p", day(i), a, 0.5) for i in range(4) for a in "AB"], "portfolio_id string, date date, asset string, weight double")
+    quoted = spark.createDataFrame(
+        [(day(0), "A", 10.0, 11.0, 0.0), (day(0), "B", 20.0, 22.0, 100.0), (day(1), "A", 10.0, None, 0.0), (day(1), "B", 20.0, 20.0, None), (day(2), "A", 0.0, 10.0, 0.0), (day(2), "B", 0.0, 10.0, 0.0), (day(3), "A", 5.0, 5.0, 0.0), (day(3), "B", 5.0, 5.0, 0.0)],
+        "date date, asset string, close double, execution_price_t_plus_1_open double, sigma_bps double",
+    )
+    rows = {(r["date"], r["asset"]): r for r in portfolio.rebalance(wanted, quoted, cash=100.0, bps=10.0, sigma="sigma_bps", k=2.0).collect()}
+    a, b = rows[day(0), "A"], rows[day(0), "B"]
+    assert (a["shares"], b["shares"], a["p_exec"]) == (5.0, 2.5, 11.0)  # shares by the mark, fills at the reference
+    assert b["fees"] == pytest.approx(110 * 1e-3) and b["vol_slip"] == pytest.approx(2.5 * 22 * 2 * 100 / 1e4)
+    assert b["cash"] == pytest.approx(100 - 110 - 0.11 - 1.1) and b["value"] == pytest.approx(b["cash"] + 100)
+    assert rows[day(1), "A"]["q"] == 0 and rows[day(1), "A"]["p_exec"] is None and rows[day(1), "B"]["q"] != 0
+    assert rows[day(2), "A"]["q"] == rows[day(2), "B"]["q"] == 0 and rows[day(2), "A"]["value"] < 0  # no wealth, no trade
+    assert all(np.isfinite(r["value"]) for r in rows.values())
     short = portfolio.target_weights(spark.createDataFrame([("p", D, "A", -1.0), ("p", D, "B", 3.0)], "portfolio_id string, date date, asset string, weight double"), short=True)
     assert sorted(r["weight"] for r in short.collect()) == [-0.5, 1.5]
 
@@ -260,7 +313,7 @@ def test_cash(spark):
     assert [r["close"] for r in none] == [None, None, 1.0]
     clash = spark.createDataFrame([("CASH", D, 1.0, 1.0, 1.0, 1.0, 0.0)], BARS)
     with pytest.raises(ValueError, match="CASH"):
-        clean.clean_panel(clash, rates, checked=True)
+        clean.clean_panel(clash, rates)
 
 
 def test_checks(spark):
@@ -273,6 +326,10 @@ def test_checks(spark):
         checks.require_not_negative(bars.withColumn("close", -F.col("close")), ["close"])
     with pytest.raises(ValueError, match="missing columns: high"):
         normalize.with_defaults(bars.drop("high"))
+    with pytest.raises(ValueError, match="missing columns: open, close"):
+        checks.require_columns(bars.drop("open", "close"), normalize.BASE)
+    with pytest.raises(ValueError, match="A is there"):
+        checks.require_no_asset(bars, "A")
     assert checks.missing_columns(bars, bars.withColumn("volume", F.lit(1)).schema) == ["volume"]
 
 
@@ -324,8 +381,10 @@ def test_tables_and_manifest(spark, tmp_path):
     (tmp_path / "plain" / "x.txt").write_text("no table")
     assert manifest.file_summary(spark, str(tmp_path / "plain")).first()["n_rows"] is None
     out = str(tmp_path / "manifest")
-    manifest.write_manifest(manifest.manifest("clean", summary, summary, {"a": "b"}), out)
-    assert spark.read.json(out).first()["outputs"][0]["n_rows"] == 10
+    manifest.write_manifest(manifest.manifest("clean", summary, summary, {"a": "b"}, git_commit="abc"), out)
+    told = spark.read.json(out).first()
+    assert told["outputs"][0]["n_rows"] == 10 and told["inputs"][0]["sha256"] == row["sha256"]
+    assert (told["dataset_id"], told["git_commit"], told["calendar"]) == ("v1", "abc", "XNYS") and told["created_at"].endswith("+00:00")
 
 
 def test_streamed_daily_last_equals_batch(spark, tmp_path):
