@@ -23,15 +23,12 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An archive of all pages and a replica in which some were damaged, as WARC files; the audit of the two."""
-    pages, path = _table(spark, sf_dir, "pages"), shared_dir(spark)
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    warc.write_archive(pages, f"{path}/one", files)
-    one = written(warc.read_archive(spark, f"{path}/one"))
+    path = shared_dir(spark)
+    warc.write_archive(_table(spark, sf_dir, "pages"), f"{path}/one")
     body = F.instr("record", warc.BREAK) + len(warc.BREAK)
     hit = (F.col("page_id") % 97 == 13) & (F.char_length("record") >= body)
-    copy = warc.read_archive(spark, f"{path}/one", content=True)
-    warc.write_copy(copy.withColumn("record", F.when(hit, F.overlay("record", F.lit("?"), body)).otherwise(F.col("record"))), f"{path}/two")
-    two = written(warc.read_archive(spark, f"{path}/two"))
+    warc.copy_archive(spark, f"{path}/one", f"{path}/two", F.when(hit, F.overlay("record", F.lit("?"), body)).otherwise(F.col("record")))
+    one, two = (written(warc.read_archive(spark, f"{path}/{name}")) for name in ("one", "two"))
     return warc.fixity(one, two).select("page_id", "length", "digest", "status")
 
 

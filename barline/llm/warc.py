@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm.shared import written
+from barline.llm.shared import discard, written
 
 BREAK = "\r\n\r\n"
 
@@ -25,53 +25,81 @@ def record_text(page: Column, url: Column, body: Column) -> Column:
     return F.concat(head, F.lit(BREAK), content)
 
 
-def write_archive(pages: DataFrame, path: str, files: int, page: str = "page_id", url: str = "url", body: str = "html") -> None:
-    """Writes pages as ``files`` gzipped WARC files, records in ascending page order within and across files.
+def write_archive(pages: DataFrame, path: str, segment_bytes: int = 64 << 20, page: str = "page_id", url: str = "url", body: str = "html") -> None:
+    """Writes pages as gzipped WARC files of about ``segment_bytes`` each, records in ascending page order in a file.
 
-    A null body is empty; repeated rows are records each.
+    Rows are dealt by the place where they were read, so that no order or repetition of pages makes a file large;
+    only a record that is longer by itself does. A null body is empty, a null page has no number; repeated rows are
+    records each; an empty table gives files without records; other columns are not read.
     """
-    order = [F.col(page).asc_nulls_first(), F.xxhash64(url, body)]
-    ordered = pages.select(page, url, body).repartitionByRange(files, *order).sortWithinPartitions(*order)
-    ordered.select(record_text(F.col(page), F.col(url), F.col(body)).alias("value")).write.option("lineSep", BREAK).option("compression", "gzip").text(path)
+    rows = pages.select(page, url, body, F.monotonically_increasing_id().alias("__row"))
+    record = record_text(F.col(page), F.col(url), F.col(body))
+    total = pages.agg(F.sum(F.octet_length(record))).first()[0] or 0
+    ordered = rows.repartition(max(1, -(-total // segment_bytes)), "__row").sortWithinPartitions(F.col(page).asc_nulls_first(), F.xxhash64(url, body), "__row")
+    ordered.select(record.alias("value")).write.option("lineSep", BREAK).option("compression", "gzip").text(path)
 
 
-def write_copy(records: DataFrame, path: str) -> None:
-    """Writes records (segment, seq, record text without the closing lines) as they stood: one file a segment."""
-    ordered = records.select("segment", "seq", "record").repartition("segment").sortWithinPartitions("segment", "seq")
-    ordered.select(F.col("segment").alias("file"), F.col("record").alias("value")).write.partitionBy("file").option("lineSep", BREAK).option("compression", "gzip").text(path)
+def copy_archive(spark: SparkSession, source: str, path: str, record: Column | None = None) -> None:
+    """Writes the archive at source anew: each segment to one file by the task that reads it, in the same order.
 
+    record: what becomes of a record, from the columns of read_archive() with content; by default it stays.
+    """
+    held = read_archive(spark, source, content=True).withColumn("record", F.col("record") if record is None else record)
+    ordered = held.select(F.col("segment").alias("file"), "seq", "record").sortWithinPartitions("file", "seq")
+    ordered.select("file", F.col("record").alias("value")).write.partitionBy("file").option("lineSep", BREAK).option("compression", "gzip").text(path)
+
+
+def parse_head(head: bytes) -> dict[bytes, bytes]:
+    """Header lines by lower-case name; of lines of one name the first counts."""
+    out: dict[bytes, bytes] = {}
+    for line in head.split(b"\r\n"):
+        name, colon, value = line.partition(b":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
 
-def parse_records(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """Offset and bytes (closing lines included) of each record of an uncompressed WARC file."""
+
+def parse_records(data: bytes) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
+    """Offset, header and bytes (closing lines included) of each record of an uncompressed WARC file."""
     at = 0
     while at < len(data):
-        head = data.index(b"\r\n\r\n", at) + 4
-        size = int(re.search(rb"Content-Length: (\d+)", data[at:head])[1])
-        stop = head + size + 4
-        yield at, data[at:stop]
+        end = data.index(b"\r\n\r\n", at)
+        head = parse_head(data[at:end])
+        stop = end + 4 + int(head[b"content-length"]) + 4
+        if stop > len(data):
+            raise ValueError(f"the record at {at} is cut off")
+        yield at, head, data[at:stop]
         at = stop
 
 
 def read_archive(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     """segment (file name without its run-specific part), seq, offset, length, page_id and digest of every record.
 
-    content adds record, the text without the closing lines. Each file is read by one task, so files are to be of a size that a task can hold.
+    content adds record, the text without the closing lines. Each file is read by one task, and up to 1,000 records
+    or 8 MB leave it at once; files are to be of a size that a task can hold. A record without a page's number has
+    a null page_id; repeated records come back each; an archive without records gives no rows.
     """
+    kinds, names = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()], ["segment", "seq", "offset", "length", "page_id", "digest", "record"]
+    width = len(names) if content else len(names) - 1
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[:width], strict=True)], names[:width])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = content.as_py()
+            for name, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = held.as_py()
                 data = zlib.decompress(raw, 47) if raw[:2] == b"\x1f\x8b" else raw
-                segment, rows = int((re.search(r"/file=(\d+)/", name) or re.search(r"part-(\d+)", name))[1]), []
-                for k, (at, record) in enumerate(parse_records(data)):
-                    found = re.search(rb"<urn:page:(-?\d+)>", record[:400])
-                    rows.append((segment, k, at, len(record), int(found[1]) if found else None, hashlib.sha256(record).digest(), *([record[:-4].decode()] if content else [])))
-                kinds, names = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["segment", "seq", "offset", "length", "page_id", "digest"]
-                if content:
-                    kinds, names = [*kinds, pa.string()], [*names, "record"]
-                for start in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[start : start + 1000], strict=True), kinds, strict=True)], names)
+                segment, rows, size = int((re.search(r"/file=(\d+)/", name) or re.search(r"part-(\d+)", name))[1]), [], 0
+                for k, (at, head, record) in enumerate(parse_records(data)):
+                    page = re.fullmatch(rb"<urn:page:(-?\d+)>", head.get(b"warc-record-id", b""))
+                    rows.append((segment, k, at, len(record), int(page[1]) if page else None, hashlib.sha256(record).digest(), *([record[:-4].decode()] if content else [])))
+                    size += len(record) if content else 100
+                    if len(rows) == 1000 or size > 8_000_000:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, "segment int, seq long, offset long, length long, page_id long, digest binary" + ", record string" * content)
@@ -99,33 +127,40 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = 16) -> DataFrame:
 
     Trees of ordered offset ranges are built over each replica's records. Roots are compared first, then only the
     children of mismatching nodes, level by level down to the records. Groups are of ``fanout`` hashes, so none
-    grows with the archive.
+    grows with the archive. Two archives without records differ in none, one without records misses all of the
+    other; (segment, seq) is to be unique in each; columns other than those of read_archive() are not read.
     """
     most = (left.agg(F.max("seq").alias("m")).union(right.agg(F.max("seq").alias("m")))).agg(F.max("m")).first()[0]
     levels = 1
     while fanout**levels <= (most or 0):
         levels += 1
     a, b = merkle_levels(left, levels, fanout), merkle_levels(right, levels, fanout)
-    suspect = None
+    suspects: list[DataFrame] = []
     for x, y in zip(reversed(a), reversed(b), strict=True):
         mine, theirs = x.select("segment", "node", F.col("hash").alias("left_hash")), y.select("segment", "node", F.col("hash").alias("right_hash"))
-        if suspect is not None:
-            parent = suspect.select("segment", F.col("node").alias("parent"))
+        if suspects:
+            parent = suspects[-1].select("segment", F.col("node").alias("parent"))
             mine = mine.withColumn("parent", F.floor(F.col("node") / fanout)).join(parent, ["segment", "parent"], "left_semi").drop("parent")
             theirs = theirs.withColumn("parent", F.floor(F.col("node") / fanout)).join(parent, ["segment", "parent"], "left_semi").drop("parent")
-        suspect = written(mine.join(theirs, ["segment", "node"], "full").where(~F.col("left_hash").eqNullSafe(F.col("right_hash"))))
-    found = suspect.select("segment", F.col("node").alias("seq"))
+        suspects.append(written(mine.join(theirs, ["segment", "node"], "full").where(~F.col("left_hash").eqNullSafe(F.col("right_hash")))))
+    found = suspects[-1].select("segment", F.col("node").alias("seq"))
     mine = left.join(found, ["segment", "seq"], "left_semi").select("segment", "seq", "offset", "length", "page_id", F.lower(F.hex("digest")).alias("left_digest"))
     theirs = right.join(found, ["segment", "seq"], "left_semi").select("segment", "seq", F.col("offset").alias("o2"), F.col("length").alias("l2"), F.col("page_id").alias("p2"), F.lower(F.hex("digest")).alias("right_digest"))
     both = mine.join(theirs, ["segment", "seq"], "full")
-    return both.select("segment", "seq", F.coalesce("offset", "o2").alias("offset"), F.coalesce("length", "l2").alias("length"), F.coalesce("page_id", "p2").alias("page_id"), "left_digest", "right_digest")
+    out = written(both.select("segment", "seq", F.coalesce("offset", "o2").alias("offset"), F.coalesce("length", "l2").alias("length"), F.coalesce("page_id", "p2").alias("page_id"), "left_digest", "right_digest"))
+    for table in (*a, *b, *suspects):
+        discard(table)
+    return out
 
 
 def fixity(records: DataFrame, damaged: DataFrame, fanout: int = 16) -> DataFrame:
-    """Every record of either replica with status intact, altered, missing (in the right one) or extra."""
-    bad = written(audit(records, damaged, fanout))
+    """Every record of either replica with status intact, altered, missing (in the right one) or extra.
+
+    Nulls, repeated rows, empty archives and other columns are as in audit(); a record without a page's number keeps
+    its null page_id.
+    """
+    bad = audit(records, damaged, fanout)
     status = F.when(F.col("right_digest").isNull(), "missing").when(F.col("left_digest").isNull(), "extra").otherwise("altered")
     rest = records.join(bad.select("segment", "seq"), ["segment", "seq"], "left_anti")
     good = rest.select("segment", "seq", "offset", "length", "page_id", F.lower(F.hex("digest")).alias("digest"), F.lit("intact").alias("status"))
     return good.unionByName(bad.select("segment", "seq", "offset", "length", "page_id", F.coalesce("left_digest", "right_digest").alias("digest"), status.alias("status")))
-
