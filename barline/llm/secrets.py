@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate is a whole run of 12 or more of these characters with a digit in it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}"
-#: Detectors whose findings serve as labels. The first is a key id of a cloud provider, the second a
-#: token of a code host, the third a value assigned to a telling name.
-KEY_ID = r"^(AKIA|ASIA)[A-Z0-9]{16}$"
-HOST_TOKEN = r"^gh[pousr]_[A-Za-z0-9]{36}$"
-TELLING = r"(?i)(passw(or)?d|secret|token|api_?key|access_?key|credential)s?[ \t]*[=:]+[ \t]*[\"']?$"
+from barline.llm.secret_findings import WORDS, findings as labelled_findings
+
+if TYPE_CHECKING:
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+#: Names that secrets are assigned to, each ending a longer name or standing alone.
+NAMES = "passw(?:or)?d|secret|token|api_?key|access_?key|secret_?key|credential"
+#: A candidate is a whole run of 12 or more of these characters with a digit in it, or 8 or more characters up to
+#: white space, quotes or a bracket that are assigned to such a name.
+RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}"
+ASSIGNED = r"(?<=[=:\"']|[=:][ \t]{1,2})(?<=(?i:" + NAMES + r")s?[\"']?[ \t]{0,2}[=:]{1,2}[ \t]{0,2}[\"']?)[^\s\"'(){}<>\[\],;=:]{8,}"
+CANDIDATE = f"{RUN}|{ASSIGNED}"
 #: Words that mark a value as no secret: whole words, also between digits and signs, but not letters.
 HARMLESS = r"(?i)((?<![a-z])(example|sample|dummy|test|changeme)s?(?![a-z])|xxxx|0000000)"
 #: The name that a value is assigned to; what belongs to an e-mail, a host or a path is none.
@@ -83,25 +90,15 @@ def features(c: Column, path: Column, dictionary: list[str]) -> list[Column]:
     ]
 
 
-def labelled(c: Column) -> Column:
-    """True for findings of the detectors that are not marked harmless."""
-    value = c["value"]
-    sure = value.rlike(KEY_ID) | value.rlike(HOST_TOKEN) | (c["before"].rlike(TELLING) & (F.char_length(value) >= 12))
-    return sure & ~harmless(c)
-
-
 @dataclass(frozen=True)
 class Forest:
-    """Trees as nested tuples (feature, threshold, left, right) or leaf votes, and the dictionary of the features.
-
-    Without trees the detectors decide.
-    """
+    """Trees as nested tuples (feature, threshold, left, right) or a leaf's share of secrets, and the dictionary."""
 
     trees: list
     dictionary: list[str]
 
     def score(self, values: list[Column]) -> Column:
-        """The share of trees that vote for a secret."""
+        """The mean over the trees of the share of secrets in the leaf that a candidate falls in."""
 
         def tree(node) -> Column:
             if not isinstance(node, tuple):
@@ -112,76 +109,73 @@ class Forest:
         return sum((tree(t) for t in self.trees[1:]), tree(self.trees[0])) / len(self.trees)
 
 
-def dictionary_of(docs: DataFrame, words: int = 200, text: str = "text") -> list[str]:
-    """The most frequent lower-case words of 3 letters or more in all documents, ``words`` at most."""
-    split = docs.select(F.explode(F.split(F.lower(F.col(text).cast("string")), r"[^\p{L}]+")).alias("w")).where(F.char_length("w") >= 3)
-    top = split.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words)
-    return sorted(r["w"] for r in top.collect())
-
+def feature_table(spark: SparkSession, rows: list[tuple], words: list[str] = WORDS) -> DataFrame:
+    """label and FEATURES of labelled findings (value, before, after, path, live)."""
+    listed = spark.createDataFrame(rows, "value string, before string, after string, path string, live boolean")
+    described = listed.select(F.struct("value", "before", "after").alias("c"), "path", F.col("live").cast("double").alias("label"))
+    return described.select("label", *(f.alias(n) for n, f in zip(FEATURES, features(F.col("c"), F.col("path"), words), strict=True)))
 
-def train_forest(docs: DataFrame, rows: int = 4000, trees: int = 15, depth: int = 4, seed: int = 7, text: str = "text", path: str = "source") -> Forest:
-    """A forest from labelled candidates: of each class up to half of ``rows``, drawn from all by a hash.
 
-    Candidates that the detectors confirm are the secrets, the other candidates are not. The forest sees lengths,
-    transitions, coverage, path and neighbouring words only. Both classes weigh alike, so few secrets are not
-    outvoted. If one class is missing, the forest has no trees and the detectors decide.
-    """
+def fit_model(table: DataFrame, trees: int = 20, depth: int = 6, seed: int = 7) -> RandomForestClassificationModel:
+    """A random forest over the columns FEATURES and label (1 for a live secret)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    words = dictionary_of(docs, text=text)
-    described = docs.select(F.explode(candidates(F.col(text))).alias("c"), F.col(path).cast("string").alias("path"))
-    found = described.select(F.struct("c.value", "c.before", "c.after").alias("c"), "path").distinct().withColumn("sure", labelled(F.col("c")))
-    drawn = [r for sure in (True, False) for r in found.where(F.col("sure") == sure).orderBy(F.xxhash64("c", "path"), "c.value", "c.before", "c.after", "path").limit(rows // 2).collect()]
-    secret = sum(r["sure"] for r in drawn)
-    if secret in (0, len(drawn)):
-        return Forest([], words)
-    weight = F.when(F.col("label") == 1, (len(drawn) - secret) / secret).otherwise(1.0)
-    sample = docs.sparkSession.createDataFrame(drawn, found.schema)
-    table = sample.select(F.col("sure").cast("double").alias("label"), *(f.alias(n) for n, f in zip(FEATURES, features(F.col("c"), F.col("path"), words), strict=True))).withColumn("weight", weight).persist()
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(table.coalesce(1)).persist()
     try:
-        fitted = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="vector", weightCol="weight").fit(VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(table))
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="vector").fit(vectors)
     finally:
-        table.unpersist()
+        vectors.unpersist()
+
+
+def as_forest(model: RandomForestClassificationModel, words: list[str] = WORDS) -> Forest:
+    """A fitted forest as plain tuples, so that it is scored by expressions."""
 
     def nested(node):
         if node.getClass().getSimpleName() == "LeafNode":
-            return float(node.prediction())
+            counts = list(node.impurityStats().stats())
+            return counts[1] / sum(counts)
         return node.split().featureIndex(), float(node.split().threshold()), nested(node.leftChild()), nested(node.rightChild())
 
-    return Forest([nested(t._java_obj.rootNode()) for t in fitted.trees], words)
+    return Forest([nested(t._java_obj.rootNode()) for t in model.trees], list(words))
+
+
+@cache
+def trained_forest(count: int = 1200, seed: int = 0) -> Forest:
+    """The forest from the library's own labelled findings, ``count`` of them: a bound that no table changes.
+
+    It sees lengths, transitions, coverage by the dictionary's words, path and neighbouring words only. It is the
+    same for every table, so that a text's verdict depends on the text and its path alone.
+    """
+    return as_forest(fit_model(feature_table(SparkSession.getActiveSession(), labelled_findings(count, seed))))
 
 
-def findings(text: Column, path: Column, forest: Forest) -> Column:
-    """All candidates of a text with score and secret (half the trees or more): no row leaves its place."""
+def scored(text: Column, path: Column, forest: Forest) -> Column:
+    """All candidates of a text with score and secret (a score of half or more): no row leaves its place."""
     held = lambda c: [c["value"].alias("value"), c["start"].alias("start")]
-    if forest.trees:
-        measured = F.transform(candidates(text), lambda c: F.struct(*held(c), F.array(*features(c, path, forest.dictionary)).alias("f")))
-        scored = F.transform(measured, lambda c: F.struct(*held(c), forest.score([c["f"][i] for i in range(len(FEATURES))]).alias("score")))
-    else:
-        scored = F.transform(candidates(text), lambda c: F.struct(*held(c), F.coalesce(labelled(c), F.lit(False)).cast("double").alias("score")))
-    return F.transform(scored, lambda c: F.struct(*held(c), c["score"].alias("score"), (c["score"] >= 0.5).alias("secret")))
+    measured = F.transform(candidates(text), lambda c: F.struct(*held(c), F.array(*features(c, path, forest.dictionary)).alias("f")))
+    judged = F.transform(measured, lambda c: F.struct(*held(c), forest.score([c["f"][i] for i in range(len(FEATURES))]).alias("score")))
+    return F.transform(judged, lambda c: F.struct(*held(c), c["score"].alias("score"), (c["score"] >= 0.5).alias("secret")))
 
 
 def secret_scan(docs: DataFrame, forest: Forest | None = None, doc: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """{doc}, start, value, score and secret for each place of each candidate of each whole text.
 
-    A null text has no candidates, a null path counts as harmless in nothing. Repeated rows are scanned each; an
-    empty table gives no rows. The scan shuffles nothing; ``forest`` is fitted on docs if not given, which shuffles
-    words and candidates.
+    A null or empty text has no candidates, a null path counts as harmless in nothing, a null id stays null.
+    Repeated rows are scanned each; an empty table gives no rows; other columns are not read. Nothing is shuffled.
+    ``forest`` is trained_forest() if not given.
     """
-    fitted = forest or train_forest(docs, text=text, path=path)
-    out = docs.select(F.col(doc).alias(doc), F.explode(findings(F.col(text), F.col(path).cast("string"), fitted)).alias("c"))
+    out = docs.select(F.col(doc).alias(doc), F.explode(scored(F.col(text), F.col(path).cast("string"), forest or trained_forest())).alias("c"))
     return out.select(doc, "c.start", "c.value", "c.score", "c.secret")
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, text: str = "text", path: str = "source") -> DataFrame:
     """docs with every occurrence of each secret found in a text replaced by [SECRET]; other columns as they are.
 
-    A value is replaced at all its places if it is a secret at one of them.
+    A value is replaced at all its places if it is a secret at one of them. A null text stays null, repeated rows
+    stay each, an empty table stays empty.
     """
-    fitted = forest or train_forest(docs, text=text, path=path)
-    secret = F.filter(findings(F.col(text), F.col(path).cast("string"), fitted), lambda c: c["secret"])
+    secret = F.filter(scored(F.col(text), F.col(path).cast("string"), forest or trained_forest()), lambda c: c["secret"])
     # Longest first, so that no secret is cut by one that it contains.
     values = F.transform(F.sort_array(F.array_distinct(F.transform(secret, lambda c: F.struct(F.char_length(c["value"]).alias("n"), c["value"].alias("value")))), asc=False), lambda c: c["value"])
     held = docs.withColumn("__secrets", values)
