@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -179,7 +181,7 @@ def link_prints(prints: DataFrame, radius: int = 4, most: int = 20_000, rows_at_
         return out
 
     keyed = prints.select("print", F.explode(F.array(*(F.struct(F.lit(i).alias("set"), bits(w).alias("value")) for i, w in enumerate(keys)))).alias("k")).select("print", "k.set", "k.value")
-    return link_shards(keyed.select("print", "set", "value", F.array("print").alias("words")), radius, most, rows_at_once)
+    return link_shards(keyed, radius, most, rows_at_once)
 
 
 def deal(keyed: DataFrame, by: list[str], large: DataFrame) -> DataFrame:
@@ -196,14 +198,15 @@ def deal(keyed: DataFrame, by: list[str], large: DataFrame) -> DataFrame:
 
 
 def link_shards(keyed: DataFrame, radius: int, most: int, rows_at_once: int) -> DataFrame:
-    """Links u, v between prints that share a key (set, value) and whose words (array of long) are within the radius.
+    """Links u, v between prints that share a key (set, value) and that are within the radius.
 
+    With a column words (array of long) those are compared, else the prints themselves.
     A shard is all prints of one key. Its BK-tree is built in the task that holds it and every print of the shard is
     looked up. A shard of over ``most`` prints is cut into parts: each part's tree goes to every later part's prints,
     so no task holds more than two parts. Of the links found a spanning forest leaves the task, never all pairs.
     """
     large = keyed.groupBy("set", "value").count().where(F.col("count") > most).withColumn("parts", F.ceil(F.col("count") / (most // 2)).cast("int")).drop("count")
-    dealt = deal(keyed, ["set", "value"], large)
+    dealt, wide = deal(keyed, ["set", "value"], large), "words" in keyed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(groups: np.ndarray, values: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -216,7 +219,8 @@ def link_shards(keyed: DataFrame, radius: int, most: int, rows_at_once: int) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            words = batch.column(batch.num_columns - 1)
+            words = (words.flatten() if wide else words).to_numpy().reshape(batch.num_rows, -1)
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), words))
             size += batch.num_rows
             if size >= rows_at_once:
@@ -230,7 +234,7 @@ def link_shards(keyed: DataFrame, radius: int, most: int, rows_at_once: int) ->
             yield from linked(groups, values, np.ascontiguousarray(words))
 
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.select("shard", "print", "words").repartition(parts, "shard").sortWithinPartitions("shard", "print").mapInArrow(run, "u long, v long")
+    return dealt.select("shard", "print", *["words"] * wide).repartition(parts, "shard").sortWithinPartitions("shard", "print").mapInArrow(run, "u long, v long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -260,13 +264,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def grouped(held: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """doc, print and component (the least doc reachable) from rows (doc, print), distinct (print, least) and links."""
-    roots = components(links)
-    rooted = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    leasts = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_print = written(rooted.join(leasts, "root").select("print", "component"))
-    return held.join(by_print, "print").select("doc", "print", "component")
+def grouped(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """print and component (the least of ``least`` reachable) from distinct (print, least) and links between prints."""
+    roots = components(links).withColumnRenamed("node", "print")
+    rooted = written(distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")))
+    # Written, so that a root with very many prints is a skewed join of two plain tables.
+    leasts = written(rooted.groupBy("root").agg(F.min("least").alias("component")))
+    return written(rooted.join(leasts, "root").select("print", "component"))
 
 
 def near_groups(docs: DataFrame, radius: int = 4, words: int = 4, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,8 +284,7 @@ def near_groups(docs: DataFrame, radius: int = 4, words: int = 4, doc: str = "do
     """
     held = written(fingerprints(docs, words, doc, text))
     distinct = written(held.groupBy("print").agg(F.min("doc").alias("least")))
-    out = grouped(held, distinct, link_prints(distinct.select("print"), radius))
-    return out.select(F.col("doc").alias(doc), "print", "component")
+    return held.join(grouped(distinct, link_prints(distinct.select("print"), radius)), "print").select(F.col("doc").alias(doc), "print", "component")
 
 
 #: Bits of a wide print.
@@ -308,8 +311,18 @@ def bit_counts(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+#: What tells rows apart: rows of one id and one text are repeats. In this order the row that stays is the least.
+ROW_KEY = ["no_doc", "doc", "k1", "k2"]
+
+
+def row_key(doc: str, text: str) -> list[Column]:
+    """ROW_KEY of a row: its id, null last, and 128 bits of its text; a null text is not an empty one."""
+    told = F.concat_ws("", F.when(F.col(text).isNull(), "n").otherwise("t"), F.col(text).cast("string"))
+    return [F.col(doc).isNull().alias("no_doc"), F.col(doc).cast("long").alias("doc"), F.xxhash64(told).alias("k1"), F.xxhash64(F.lit(SEED), told).alias("k2")]
+
+
 def wide_prints(docs: DataFrame, words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, words (the wide print) and shingles (hashes of the distinct ones) of every row, arrays of long."""
+    """words (the wide print) and shingles (hashes of the distinct ones) of every row, arrays of long; and its ROW_KEY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -323,14 +336,14 @@ def wide_prints(docs: DataFrame, words: int = 5, doc: str = "doc_id", text: str
 
         for batch in batches:
             prints, sets = [], []
-            for t in batch.column(1):
+            for t in batch.column(0):
                 found = (t.as_py() or "").encode().lower().split()
                 sets.append(shingles(found) if found else np.zeros(0, np.uint64))
                 prints.append(bit_counts(sets[-1], WIDE // 64) if found else np.zeros(WIDE // 64, np.uint64))
             arrays = [pa.array([x.view(np.int64) for x in some], pa.list_(pa.int64())) for some in (prints, sets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc", "words", "shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], [*ROW_KEY, "words", "shingles"])
 
-    return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, words array<long>, shingles array<long>")
+    return docs.select(F.col(text).alias("text"), *row_key(doc, text)).mapInArrow(run, "no_doc boolean, doc long, k1 long, k2 long, words array<long>, shingles array<long>")
 
 
 def bucket_counts(held: DataFrame) -> np.ndarray:
@@ -447,29 +460,58 @@ def confirmed(held: DataFrame, links: DataFrame, similarity: float, most: int =
     return dealt.repartition(parts, "shard").sortWithinPartitions("shard", "print").mapInArrow(run, "u long, v long")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """{doc}, print and component of every row, where rows link at ``similarity`` or more in word shingles.
+def similar_rows(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """ROW_KEY, print and component (the least ROW_KEY reachable, a struct) of every row, repeats included.
 
-    Candidates share a key of prefix_keys(), which loses none, and their 256-bit prints differ in NEAR bits or fewer;
-    each link is then confirmed by the Jaccard similarity of the whole sets. Other cases as in near_groups().
+    Rows link at ``similarity`` or more in word shingles. Candidates share a key of prefix_keys(), which loses none,
+    and their 256-bit prints differ in NEAR bits or fewer; each link is then confirmed by the Jaccard similarity of
+    the whole sets. Texts without words, null ones included, have one print and so are one group.
     """
     held = written(wide_prints(docs, words, doc, text).withColumn("print", F.xxhash64("shingles")))
-    distinct = written(held.groupBy("print").agg(F.min("doc").alias("least"), F.first("words").alias("words")))
+    distinct = written(held.groupBy("print").agg(F.min(F.struct(*ROW_KEY)).alias("least"), F.first("words").alias("words")))
     keys = prefix_keys(held, similarity).join(distinct.select("print", "words"), "print")
-    keyed = keys.select("print", F.lit(0).alias("set"), "value", "words")
-    links = confirmed(held, link_shards(written(keyed), NEAR, most=10_000, rows_at_once=20_000), similarity)
-    out = grouped(held.select("doc", "print"), distinct.select("print", "least"), links)
-    return out.select(F.col("doc").alias(doc), "print", "component")
+    keyed = written(keys.select("print", F.lit(0).alias("set"), "value", "words"))
+    links = written(confirmed(held, link_shards(keyed, NEAR, most=10_000, rows_at_once=20_000), similarity))
+    rows = written(held.select(*ROW_KEY, "print"))
+    discard(keyed)
+    discard(held)
+    out = written(rows.join(grouped(distinct.select("print", "least"), links), "print"))
+    for table in (distinct, links, rows):
+        discard(table)
+    return out
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """{doc}, print and component (the least id reachable) of every row of similar_rows()."""
+    return similar_rows(docs, similarity, words, doc, text).select(F.col("doc").alias(doc), "print", F.col("component.doc").alias("component"))
+
 
+def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "text", most: int = 2_000_000) -> DataFrame:
+    """The rows of docs without near copies: of each group of similar_rows() one row stays, with all its columns.
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without near copies: of each of similar_groups() the row with the least id stays, with all its columns.
+    It is the row with the least id (rows with a null id come last), then the least hash of its text; rows that
+    share an id are told apart by their texts, and of repeats (one id, one text) one stays. So every row that goes
+    has a like one that stays. Null and empty texts, and texts of white space alone, are one group. An empty table
+    stays empty.
 
-    Of rows that share that id one stays. Rows with a null id cannot be told apart and all stay.
+    The keys of the rows that go meet docs in a join: broadcast up to ``most`` of them, as 2 million take some 100 MB,
+    so texts do not move; beyond that they are shuffled, texts included.
     """
-    groups = similar_groups(docs.select(doc, text), similarity, words, doc, text)
-    stay = written(groups.where(F.col(doc) == F.col("component")).groupBy(doc).count())
-    # Ids hash to their partitions and meet the texts there, at every size alike; a broadcast would end with growth.
-    once = docs.join(stay.where("count = 1").select(doc).hint("shuffle_hash"), doc, "left_semi")
-    more = docs.join(stay.where("count > 1").select(doc), doc, "left_semi").dropDuplicates([doc])
-    return once.unionByName(more).unionByName(docs.where(F.col(doc).isNull()))
+    rows = similar_rows(docs.select(doc, text), similarity, words, doc, text)
+    stays = F.col("component") == F.struct(*ROW_KEY)
+    gone = written(rows.where(~stays).select(*ROW_KEY).distinct())
+    again = written(rows.where(stays).groupBy(*ROW_KEY).count().where("count > 1").drop("count"))
+    discard(rows)
+    names = [f"__{k}" for k in ROW_KEY]
+    told = docs.select("*", *(c.alias(n) for c, n in zip(row_key(doc, text), names, strict=True)))
+
+    def meets(keys: DataFrame) -> tuple[DataFrame, Column]:
+        listed = keys.toDF(*(f"{n}_" for n in names))
+        small = F.broadcast(listed) if keys.count() <= most else listed.hint("shuffle_hash")
+        same = [F.col(n).eqNullSafe(F.col(f"{n}_")) if n == "__doc" else F.col(n) == F.col(f"{n}_") for n in names]
+        return small, reduce(and_, same)
+
+    once = told.join(*meets(gone), "left_anti")
+    if not again.isEmpty():
+        once = once.join(*meets(again), "left_anti").unionByName(told.join(*meets(again), "left_semi").dropDuplicates(names))
+    return once.drop(*names)

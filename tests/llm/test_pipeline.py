@@ -15,7 +15,7 @@ def test_stages_keep_the_columns_and_take_effect(spark):
     ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
     kept = {r["doc_id"] for r in quality.quality(first).where("kept").collect()}
     assert ids <= kept and len(ids) > 0.5 * len(kept)
-    assert secrets.secret_scan(docs, secrets.train_forest(first)).where("secret").count() == 0
+    assert secrets.secret_scan(docs).where("secret").count() == 0
     packed = pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids
 

@@ -166,7 +166,21 @@ def test_one_of_each_near_group_stays(spark, edge_docs, no_docs):
     assert sorted(r["doc_id"] for r in kept) == [1, 4, 5]
     assert simhash.keep_one(no_docs).count() == 0
     left = simhash.keep_one(edge_docs)
-    assert left.columns == edge_docs.columns and sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == [-8, 1, 2, 4, 5]
+    assert left.columns == edge_docs.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == [(False, -8), (False, 1), (False, 2), (False, 4), (False, 5), (True, 0)]
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    for n in (0, 300):  # among other documents or not
+        rng = np.random.default_rng(8)
+        a, b, c, d, *others = (" ".join(f"w{i}" for i in rng.integers(0, 9000, 60)) for _ in range(4 + n))
+        rows = [(5, a), (5, b), (1, c), (7, c), (7, d), (7, d), (None, a), (None, c + " end"), (None, "alone"), *((100 + k, t) for k, t in enumerate(others))]
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(table).collect()]
+        key = lambda x: (x[0] is None, x[0] or 0, x[1])
+        expected = [(5, a), (5, b), (1, c), (7, d), (None, "alone"), *rows[9:]]
+        assert sorted(kept, key=key) == sorted(expected, key=key)
+        shuffled = [(r["doc_id"], r["text"]) for r in simhash.keep_one(table, most=0).collect()]
+        assert sorted(shuffled, key=key) == sorted(expected, key=key)
 
 
 def test_similar_groups_catch_copies_and_spare_the_rest(spark):
@@ -190,15 +204,14 @@ def test_similar_groups_catch_copies_and_spare_the_rest(spark):
 
 def test_secrets(spark, docs, edge_docs, no_docs):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    fitted = secrets.train_forest(table.where("doc_id % 2 = 0"))
     held = table.where("doc_id % 2 = 1")
     true = {m for r in held.collect() for m in re.findall(r'AKIA[A-Z0-9]{16}|(?<=token = ")[0-9a-f]{40}|(?<=password=)[0-9a-f]{18}', r["text"])}
-    found = secrets.secret_scan(held, fitted).collect()
+    found = secrets.secret_scan(held).collect()
     told = {r["value"] for r in found if r["secret"]}
-    assert len(true) > 3 and len(true & told) >= 0.9 * len(true) and len(told - true) <= 0.1 * len(true)
+    assert len(true) > 3 and len(true & told) >= 0.95 * len(true) and len(told - true) <= 0.05 * len(true)
     texts = {r["doc_id"]: r["text"] for r in held.collect()}
     assert all(texts[r["doc_id"]][r["start"] - 1 :].startswith(r["value"]) for r in found)
-    clean = " ".join(r["text"] for r in secrets.redact(held, fitted).collect())
+    clean = " ".join(r["text"] for r in secrets.redact(held).collect())
     assert not any(s in clean for s in told)
     for table in (edge_docs, no_docs):
         assert secrets.secret_scan(table).count() >= 0
@@ -250,15 +263,18 @@ def test_audio_features_of_a_tone():
 
 
 def test_archive_audit(spark):
-    rows = [(i, f"http://h{i % 3}/", f"<p>{i}</p>\r\n\r\nWARC/1.0 {'x' * (i % 50)}é") for i in range(300)] + [(300, None, None), (None, "u", ""), (5, "again", "<p>")]
+    rows = [(i, f"http://h{i % 3}/", f"<p>{i}</p>\r\n\r\nWARC/1.0 {'x' * (i % 50)}é") for i in range(300)] + [(300, None, None), (None, "u", ""), (5, "again", "<p>"), (301, "http://x/?q=Content-Length: 3", "<p>long"), (None, "http://x/<urn:page:5>", "<p>"), (302, "a\r\nContent-Length: 1", "<p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     one, path = shared_dir(spark), shared_dir(spark)
-    warc.write_archive(pages, one, 4)
+    warc.write_archive(pages.withColumns({"segment": F.lit("x"), "record": F.lit(1), "__row": F.lit(2)}), one, 15_000)
     left = warc.read_archive(spark, one).persist()
     assert left.count() == len(rows)
+    key = lambda x: (x is not None, x or 0)
+    assert sorted((r["page_id"] for r in left.collect()), key=key) == sorted((r[0] for r in rows), key=key)
     by_segment = {}
     for r in left.collect():
         by_segment.setdefault(r["segment"], []).append(r)
+    assert len(by_segment) > 3
     for part in by_segment.values():
         part.sort(key=lambda r: r["seq"])
         assert [r["offset"] for r in part] == np.concatenate([[0], np.cumsum([r["length"] for r in part])[:-1]]).tolist()
@@ -270,6 +286,12 @@ def test_archive_audit(spark):
     status = Counter(r["status"] for r in warc.fixity(left, right.where("segment <> 0 OR seq < 20")).collect())
     lost = left.where("segment = 0 AND seq >= 20").count()
     assert status["missing"] == lost and sum(status.values()) == len(rows)
+    copy = shared_dir(spark)
+    warc.copy_archive(spark, one, copy, F.when(F.col("page_id") == 301, F.replace("record", F.lit("long"), F.lit("song"))).otherwise(F.col("record")))
+    copied = warc.read_archive(spark, copy)
+    assert [(r["page_id"], r["status"]) for r in warc.fixity(left.withColumn("extra", F.lit(1)), copied).where("status <> 'intact'").collect()] == [(301, "altered")]
     empty = spark.createDataFrame([], "page_id long, url string, html string")
-    warc.write_archive(empty, path, 2)
-    assert warc.read_archive(spark, path).count() == 0
+    warc.write_archive(empty, path)
+    none = warc.read_archive(spark, path)
+    assert none.count() == 0 and warc.fixity(none, none).count() == 0 and warc.audit(left, none).count() == len(rows)
+    assert {r["status"] for r in warc.fixity(none, left).collect()} == {"extra"}
