@@ -24,16 +24,82 @@ _ZLIB = (
     "3. This notice may not be removed or altered from any source distribution."
 )
 
-TEXTS: dict[str, list[str]] = {
-    "MIT": [_MIT_GRANT, "MIT License\n\n" + _MIT_GRANT, "The MIT License (MIT)\n\n" + _MIT_GRANT, "Released under the MIT License.", "Licensed under the MIT License."],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_WARRANTY],
-    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_WARRANTY],
-    "Zlib": [_ZLIB],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\")."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0."],
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+_BSD_SOURCE = "{0}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+_BSD_BINARY = "{0}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+_BSD_NAMES = "{0}Neither the name of {1} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {0} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+    "purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We "
+    "make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+    "software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE."
+)
+_BOOST = (
+    "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "
+    "\"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the "
+    "following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and "
+    "all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF "
+    "ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE "
+    "LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_APACHE_NOTICE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
+    "specific language governing permissions and limitations under the License."
+)
+_MPL_NOTICE = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+_GNU_NOTICE = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version.\n\n"
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details.\n\n"
+    "You should have received a copy of the GNU {0} along with this program. If not, see <http://www.gnu.org/licenses/>."
+)
+
+
+def _bsd(marks: list[str], names: str | None, owner: str) -> str:
+    return _BSD_HEAD + _BSD_SOURCE.format(marks[0]) + _BSD_BINARY.format(marks[1]) + (_BSD_NAMES.format(marks[2], names) if names else "") + _BSD_WARRANTY.format(owner)
+
+
+_MARKS = [["1. ", "2. ", "3. "], ["* ", "* ", "* "]]
+#: Names under which a notice of one line mentions a licence.
+NAMES: dict[str, list[str]] = {
+    "0BSD": ["BSD Zero Clause License"], "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPLv3"], "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"], "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"], "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"], "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"], "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"], "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2"], "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3"], "ISC": ["ISC License"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1"], "LGPL-3.0": ["GNU Lesser General Public License, version 3"], "MIT": ["MIT License", "MIT license"], "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0"], "Unlicense": ["Unlicense"], "Zlib": ["zlib License"],
+}
+
+
+def _notices(license_id: str) -> list[str]:
+    """Notices of one line that name a licence, with and without an article, and its SPDX line."""
+    verbs = ["Licensed under", "Released under", "Distributed under", "This work is licensed under", "This project is licensed under", "This software is licensed under", "Available under"]
+    said = [f"{v} {the}{name}." for v in verbs for the in ("", "the ", "a ") for name in NAMES[license_id]]
+    return said + [f"SPDX-License-Identifier: {license_id}{tail}" for tail in ("", "-only", "-or-later")]
+
+
+_WHOLE: dict[str, list[str]] = {
+    "MIT": [_MIT_GRANT, "MIT License\n\n" + _MIT_GRANT, "The MIT License (MIT)\n\n" + _MIT_GRANT, "The MIT License\n\n" + _MIT_GRANT],
+    "ISC": [head + "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_WARRANTY for head in ("", "ISC License\n\n")],
+    "0BSD": [head + "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_WARRANTY for head in ("", "BSD Zero Clause License\n\n")],
+    "Zlib": [_ZLIB, "zlib License\n\n" + _ZLIB],
+    "BSD-2-Clause": [head + _bsd(m, None, o) for head in ("", "BSD 2-Clause License\n\n", "All rights reserved.\n\n", "BSD 2-Clause License\n\nAll rights reserved.\n\n") for m in _MARKS for o in ("HOLDER", "OWNER", "HOLDERS")],
+    "BSD-3-Clause": [head + _bsd(m, n, o) for head in ("", "BSD 3-Clause License\n\n", "All rights reserved.\n\n", "BSD 3-Clause License\n\nAll rights reserved.\n\n") for m in _MARKS for n in ("the copyright holder", "the <organization>") for o in ("HOLDER", "OWNER", "HOLDERS")],
+    "Unlicense": [_UNLICENSE + tail for tail in ("", "\n\nFor more information, please refer to <http://unlicense.org>", "\n\nFor more information, please refer to <http://unlicense.org/>")],
+    "BSL-1.0": [_BOOST],
+    "Apache-2.0": [_APACHE_NOTICE, "Licensed under the Apache License, Version 2.0 (the \"License\")."],
+    "MPL-2.0": [_MPL_NOTICE],
+    **{spdx: [_GNU_NOTICE.format(kind, version)] for spdx, kind, version in (("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3"), ("LGPL-3.0", "Lesser General Public License", "3"))},
     "all-rights-reserved": ["All rights reserved."],
 }
+TEXTS: dict[str, list[str]] = {name: _WHOLE.get(name, []) + (_notices(name) if name in NAMES else []) for name in sorted({*_WHOLE, *NAMES})}
 #: Spellings taken as equal, applied in this order to the lower-case text.
 SPELLINGS: list[tuple[str, str]] = [
     ("licence", "license"),
@@ -45,3 +111,60 @@ SPELLINGS: list[tuple[str, str]] = [
     ("https://", "http://"),
     ("&", " and "),
 ]
+#: Digests of the canonical forms of longer texts: the published text, and without its appendix on how to apply it.
+DIGESTS: dict[str, list[str]] = {
+    "Apache-2.0": [
+        "6ab5deeb4b2c14f4681b97d03ec0d6cf046968b552bd6e2efe1721910b2e5e9e",
+        "cf7c26411074d941b42afe8baac32788531f003acea32d25ead49048c329c78d",
+        "b7bb6b2416cb5fc4e3acd34d1283c66e6228adab995f1c959405a3978193462c",
+    ],
+    "Artistic-1.0": [
+        "de5e8896b763918701eb91e7bf8bf81f20a97c9f8dd1cacc44519e47d3462bf8",
+    ],
+    "BSD-3-Clause-UC": [
+        "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9",
+    ],
+    "CC0-1.0": [
+        "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    ],
+    "GFDL-1.2": [
+        "19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f",
+    ],
+    "GFDL-1.3": [
+        "e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480",
+    ],
+    "GPL-1.0": [
+        "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+        "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
+        "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70",
+    ],
+    "GPL-2.0": [
+        "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1",
+        "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999",
+        "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017",
+    ],
+    "GPL-3.0": [
+        "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f",
+        "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b",
+        "3d4de016a08e1d98b27dec755cdf4530b92807d97aaa185b32e12d52942b1943",
+    ],
+    "LGPL-2.0": [
+        "e2c319279ddf282349927826fd110bdb5b471edc3a726a66fe333c8184a4b135",
+        "a07313094d4e63b099417491ebc80c933bf85c36d5afddbf13be9a11457c8513",
+        "a745f6517e6dd821b7e0352067dcf8f32789a02694b661bfad965280370e9b1a",
+    ],
+    "LGPL-2.1": [
+        "13cd11e9ccd3aae212d64d9b0f62b3a67f21019c6a65212e582b2cbbeb91cb70",
+        "bfe8e5dc6cef43d0c4777d9c1891f596159cda682ef40545ad2105f66b9746f1",
+        "4656c6936fdab5334aa4c4800c6a7881ffce24f3abb1f578c24da0bbb2735d0a",
+    ],
+    "LGPL-3.0": [
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    ],
+    "MPL-1.1": [
+        "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",
+    ],
+    "MPL-2.0": [
+        "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+    ],
+}

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm.license_texts import SPELLINGS, TEXTS
+from barline.llm.license_texts import DIGESTS, SPELLINGS, TEXTS
 
 #: Lines that name a copyright holder; they differ between copies of one licence.
 COPYRIGHT = r"(?m)^[ \t#*/;-]*(copyright[ \t]|\(c\)|©).*$"
@@ -21,24 +21,27 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(spelled, NOT_WORDS, " "))
 
 
-def known_digests(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
-    """digest and license_id of each known text; the list is part of the library, so its size is fixed."""
+def known_digests(spark: SparkSession, texts: dict[str, list[str]] | None = None, digests: dict[str, list[str]] | None = None) -> DataFrame:
+    """digest and license_id of each known text; the lists are part of the library, so their size is fixed."""
     rows = [(name, text) for name, some in sorted((texts or TEXTS).items()) for text in some]
     listed = spark.createDataFrame(rows, "license_id string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id")
-    return listed.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    held = spark.createDataFrame([(d, name) for name, some in sorted((DIGESTS if digests is None else digests).items()) for d in some], "digest string, license_id string")
+    return listed.union(held).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def license_scan(docs: DataFrame, texts: dict[str, list[str]] | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, texts: dict[str, list[str]] | None = None, digests: dict[str, list[str]] | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """{doc}, unit and license_id: unit 0 for a document that is a known text as a whole, n for its nth line.
 
-    Every whole text and every line is brought to canonical form and hashed, and the digests meet the known ones in
-    a hash join, whose known side is small by construction. Nothing is shuffled. A null or empty text has no match;
-    repeated rows match each; an empty table gives no rows; other columns are not read.
+    Every line is brought to canonical form; a whole text's form is that of its lines, put together. Both are hashed,
+    and the digests meet the known ones (of ``texts`` and ``digests``, by default the library's) in a hash join whose
+    known side is small by construction. Nothing is shuffled. A null or empty text has no match; a null id stays
+    null; repeated rows match each; an empty table gives no rows; other columns are not read.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    units = docs.select(F.col(doc).alias(doc), F.posexplode(F.concat(F.array(body), F.split(body, "\n"))).alias("unit", "part"))
-    hashed = units.select(doc, "unit", F.sha2(canonical(F.col("part")), 256).alias("digest"))
-    return hashed.join(F.broadcast(known_digests(docs.sparkSession, texts)), "digest").select(doc, "unit", "license_id")
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), canonical)
+    whole = F.array_join(F.filter(lines, lambda x: x != ""), " ")
+    units = docs.select(F.col(doc).alias(doc), F.posexplode(F.concat(F.array(whole), lines)).alias("unit", "part")).where("part <> ''")
+    hashed = units.select(doc, "unit", F.sha2("part", 256).alias("digest"))
+    return hashed.join(F.broadcast(known_digests(docs.sparkSession, texts, digests)), "digest").select(doc, "unit", "license_id")
 
 
 def _sql_text(value: str) -> str:
@@ -55,8 +58,10 @@ def license_sql() -> str:
         return f"trim(regexp_replace({out}, {_sql_text(NOT_WORDS)}, ' ', 'g'))"
 
     rows = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, some in sorted(TEXTS.items()) for text in some)
+    digests = ", ".join(f"({_sql_text(d)}, {_sql_text(name)})" for name, some in sorted(DIGESTS.items()) for d in some)
     return f"""
-    WITH known AS (SELECT sha256({canonical_sql("text")}) AS digest, min(license_id) AS license_id FROM (VALUES {rows}) AS t(license_id, text) GROUP BY 1),
+    WITH known AS (SELECT digest, min(license_id) AS license_id FROM (
+        SELECT sha256({canonical_sql("text")}) AS digest, license_id FROM (VALUES {rows}) AS t(license_id, text) UNION ALL SELECT * FROM (VALUES {digests}) AS d(digest, license_id)) GROUP BY 1),
     units AS (
         SELECT doc_id, 0 AS unit, coalesce(text, '') AS part FROM documents
         UNION ALL
