@@ -1,4 +1,4 @@
-"""Audio columns: lossless 8-bit storage, resampling, log-mel features, and energy segments."""
+"""Audio columns: lossless 8-bit storage, resampling, log-mel tensors, and energy segments."""
 
 from __future__ import annotations
 
@@ -9,10 +9,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barline.llm.wordcodec import text_groups as bounded
+
 RATE, TARGET = 16_000, 8_000
 FRAME, HOP, BANDS = 256, 128, 24
 #: Frames in one tensor; the last tensor of a recording is filled with zeros.
@@ -114,24 +117,32 @@ def segments(mel: np.ndarray) -> list[tuple[float, float]]:
     return [(round(a * HOP / TARGET, 3), round(((b - 1) * HOP + FRAME) / TARGET, 3)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
 
 
-TENSOR = pa.fixed_shape_tensor(pa.float32(), (BLOCK, BANDS))
+TENSOR = pa.fixed_shape_tensor(pa.float16(), (BLOCK, BANDS))
 
 
 def tensor_file(mel: np.ndarray) -> bytes:
-    """An Arrow stream of fixed-shape tensors with the start and end second of each."""
+    """An Arrow stream of fixed-shape half-precision tensors with the start and end second and the frames of each."""
     blocks = -(-len(mel) // BLOCK)
-    filled = np.zeros((blocks * BLOCK, BANDS), np.float32)
+    filled = np.zeros((blocks * BLOCK, BANDS), np.float16)
     filled[: len(mel)] = mel
     first = np.arange(blocks) * BLOCK
     tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(filled.reshape(blocks, BLOCK, BANDS))
-    ends = (np.minimum(first + BLOCK, len(mel)) - 1) * HOP + FRAME
-    batch = pa.RecordBatch.from_arrays([pa.array(first * HOP / TARGET), pa.array(ends / TARGET), tensors], ["start", "end", "log_mel"])
+    frames = np.minimum(BLOCK, len(mel) - first)
+    ends = (first + frames - 1) * HOP + FRAME
+    batch = pa.RecordBatch.from_arrays([pa.array(first * HOP / TARGET), pa.array(ends / TARGET), pa.array(frames, pa.int32()), tensors], ["start", "end", "frames", "log_mel"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
+def tensor_frames(stream: bytes) -> np.ndarray:
+    """The frames by bands that tensor_file() stored, without what fills the last tensor."""
+    held = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    frames = np.asarray(held.column("frames")).sum(dtype=np.int64)
+    return np.concatenate([c.to_numpy_ndarray().reshape(-1, BANDS) for c in held.column("log_mel").chunks])[:frames]
+
+
 def store_audio(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """{doc}, n_bytes and media: each whole text's UTF-8, filled with spaces to a positive multiple of 192, as a file.
 
@@ -140,7 +151,7 @@ def store_audio(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             sizes, media = [], []
             for t in batch.column(1):
                 raw = (t.as_py() or "").encode()
@@ -151,33 +162,54 @@ def store_audio(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(doc).cast("long").alias(doc), F.col(text).alias("text")).mapInArrow(run, f"`{doc}` long, n_bytes long, media binary")
 
 
-def audio_features(stored: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Reads media back: adds payload_bytes, payload_sha256, tail_crc32 (last 16 bytes), tensors, spans and feature.
+def audio_tensors(stored: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Reads media: {doc}, n_bytes, media_bytes, media_sha256, payload_bytes, payload_sha256, tail_crc32 (last 16
+    bytes), tensors and spans.
 
     tensors: an Arrow stream of fixed-shape log-mel tensors with time spans (see tensor_file). spans: the energy
-    segments in seconds. feature: frames, band means and spans as text; equal samples give equal values.
-    A null media gives nulls; a damaged one is an error.
+    segments in seconds. A null media gives nulls; a damaged one is an error. Repeated rows come back each; an empty
+    table gives no rows; other columns are not read.
     """
     kept = [doc, "n_bytes", "media"]
-    names = [*kept, "payload_bytes", "payload_sha256", "tail_crc32", "tensors", "spans", "feature"]
+    names = [doc, "n_bytes", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "tensors", "spans"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 2):
             rows = []
             for m in batch.column(2):
                 if not m.is_valid:
-                    rows.append((None,) * 6)
+                    rows.append((None,) * 7)
                     continue
-                payload, rate = wav_samples(m.as_py())
+                media = m.as_py()
+                payload, rate = wav_samples(media)
                 x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
                 step = int(np.gcd(rate, TARGET))
                 mel = log_mel(resample(x, TARGET // step, rate // step))
-                spans = segments(mel)
-                means = ",".join(f"{v + 0.0:.2f}" for v in np.round(mel.astype(np.float64).mean(axis=0), 2))
-                feature = f"{len(mel)};{means};" + ",".join(f"{a:.3f}-{b:.3f}" for a, b in spans)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), tensor_file(mel), [{"start": a, "end": b} for a, b in spans], feature))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())])), pa.string()]
+                spans = [{"start": a, "end": b} for a, b in segments(mel)]
+                rows.append((len(media), hashlib.sha256(media).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), tensor_file(mel), spans))
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names)
+
+    return stored.select(*kept).mapInArrow(run, f"`{doc}` long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, tensors binary, spans array<struct<start:double,end:double>>")
+
+
+def audio_features(read: DataFrame) -> DataFrame:
+    """Adds feature to a table of audio_tensors(): its frames, band means and spans as text.
+
+    The values come from the tensors and spans as stored; equal samples give equal values, null tensors a null.
+    Repeated rows come back each; an empty table gives no rows; other columns stay.
+    """
+
+    def feature(tensors: pd.Series) -> pd.Series:
+        def of(stream: bytes | None) -> str | None:
+            if stream is None:
+                return None
+            mel = tensor_frames(stream)
+            return f"{len(mel)};" + ",".join(f"{v + 0.0:.2f}" for v in np.round(mel.mean(axis=0, dtype=np.float64), 2))
+
+        return tensors.map(of)
 
-    return stored.select(*kept).mapInArrow(run, f"`{doc}` long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, tensors binary, spans array<struct<start:double,end:double>>, feature string")
+    second = lambda c: F.format_string("%.3f", c)
+    spans = F.array_join(F.transform("spans", lambda x: F.concat(second(x["start"]), F.lit("-"), second(x["end"]))), ",")
+    return read.withColumn("feature", F.concat(F.pandas_udf(feature, "string")("tensors"), F.lit(";"), spans))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.llm import audio, bytebpe, idstore, licenses, packing, quality, secrets, sharding, simhash, warc
-from barline.llm.shared import shared_dir, written
+from barline.llm.shared import discard, shared_dir, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +43,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = audio.store_audio(_table(spark, sf_dir, "documents"))
-    read = audio.audio_features(stored)
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+    """Media are written and read back for the tensors, and these are written and read back for the feature."""
+    media = written(audio.store_audio(_table(spark, sf_dir, "documents")))
+    tensors = written(audio.audio_tensors(media))
+    discard(media)
+    return audio.audio_features(tensors).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

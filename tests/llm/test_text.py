@@ -1,7 +1,9 @@
 """Quality, sharding, near copies, secrets, licences, audio and archives against brute force."""
 
 import hashlib
+import os
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -29,6 +31,36 @@ def base_of(text):
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
+def rejected_by(text, lang):
+    """The names of all rules that reject a text, by plain counting."""
+    w, text = WORDS.findall(text or ""), text or ""
+    lines = [x for x in text.split("\n") if WORDS.search(x)]
+    n, chars = len(w), sum(map(len, w))
+    letters = sum(unicodedata.category(c)[0] == "L" for c in text)
+    told = {
+        "word_length": chars > 12 * n or chars < 2 * n,
+        "symbols": 10 * len(re.findall(r"[#*$%&|<>]", text)) > n,
+        "duplicate_lines": 100 * (len(lines) - len(set(lines))) > 60 * len(lines),
+        "letters": letters < 0.6 * chars,
+        "capitals": 2 * sum(unicodedata.category(c) == "Lu" for c in text) > letters,
+        "distinct_words": 20 * len(set(w)) < n,
+        "stutter": 2 * sum(a == b for a, b in zip(w, w[1:])) > n,  # noqa: B905
+        "stop_words": lang in quality.STOP_LANGUAGES and n >= 50 and not {x.lower() for x in w} & set(quality.STOP_WORDS),
+    }
+    return {name for name, hit in told.items() if hit}
+
+
+def test_kept_equals_plain_counting(spark, docs, edge_docs):
+    prose = "the quick brown fox said that it was in the house of a friend and then it ran far away again for " * 1
+    odd = ["zbozi ktere jest velmi dobre a nic vice nez to co bylo " * 6, "AAA BBB CCC DDD " * 8, "12 345 6789 " * 9, "a b c d e f g h i j " * 3, "#x $y % & " + prose, prose, ("word " * 30).strip(), "\n".join([prose] * 5), "x" * 900 + " y" * 25, "👍 é ñ " * 10]
+    rows = [(i, t, lang) for i, t in enumerate(odd) for lang in ("en", "cs", None)]
+    for table in (docs, edge_docs, spark.createDataFrame(rows, "doc_id long, text string, lang string")):
+        for r in quality.quality(table).select("text", "lang", "kept", "failed_rule").collect():
+            hit = {"base"} if base_of(r["text"])[-1] else rejected_by(r["text"], r["lang"])
+            assert r["kept"] == (not hit) and (r["failed_rule"] in hit if hit else r["failed_rule"] is None)
+    assert quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").drop("lang")).where("failed_rule = 'stop_words'").count() == 0
+
+
 def test_quality_counts(spark, docs, edge_docs, no_docs):
     tricky = ["a b c d e f g h", "a b c d e f g h a b c d e f g h", "x " * 9, "x " * 200, "a\n\na\n \nb\na", "1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 0 " * 3, "\x0b\x0c\r\n", "    a#b*c$"]
     more = spark.createDataFrame([(i, t) for i, t in enumerate(tricky)], "doc_id long, text string")
@@ -48,11 +80,14 @@ def test_quality_agrees_with_labels(spark):
 
 
 def test_rule_order_does_not_change_the_verdict(spark, docs):
-    order = quality.rule_order(docs, quality.rules(), 50)
-    assert {r.name for r, _, _ in order} == {r.name for r in quality.rules()}
+    given = quality.rules(lang="lang")
+    order = quality.rule_order(docs, given, 50, lang="lang")
+    assert {r.name for r, _, _ in order} == {r.name for r in given} and all(c > 0 and 0 <= n <= 1 for _, c, n in order)
+    costs = {r.name: c for r, c, _ in quality.rule_order(docs, given, 200, lang="lang")}
+    assert costs["letters"] > costs["symbols"]  # a scan of the text costs more than a comparison of counts
     measured = quality.base_measures(docs)
     any_rule = measured.where(~F.col("base_failed"))
-    for rule in quality.rules():
+    for rule in given:
         any_rule = any_rule.where(~F.coalesce(rule.rejects(), F.lit(False)))
     assert any_rule.count() == quality.quality(docs).where("kept").count()
 
@@ -228,22 +263,75 @@ def test_licenses(spark, edge_docs, no_docs):
     con = duckdb.connect()
     con.register("documents", table.toPandas())
     assert sorted(con.execute(licenses.license_sql()).fetchall()) == found
+    folder = "/usr/share/common-licenses"
+    full = {n: open(f"{folder}/{f}", encoding="utf-8").read() for f, n in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")) if os.path.exists(f"{folder}/{f}")}
+    wrapped = {n: "Copyright (c) 2024 Somebody\r\n\r\n" + t.upper().replace("LICENSE", "LICENCE").replace("\n", "  \r\n") for n, t in full.items()}
+    bsd = [t for t in licenses.TEXTS["BSD-3-Clause"] if len(t) > 500]
+    planted = [*wrapped.items(), ("BSD-3-Clause", "Copyright 2020 Z\n" + bsd[0].replace(". ", ".\n")), ("Unlicense", licenses.TEXTS["Unlicense"][0]), ("BSL-1.0", licenses.TEXTS["BSL-1.0"][0]), (None, bsd[1][:-30])]
+    more = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(planted)], "doc_id long, text string")
+    whole = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(more).where("unit = 0").collect()}
+    assert whole == {k: n for k, (n, _) in enumerate(planted) if n}
+    con.register("documents", more.toPandas())
+    assert sorted(con.execute(licenses.license_sql()).fetchall()) == sorted(map(tuple, licenses.license_scan(more).collect()))
     assert licenses.license_scan(edge_docs).count() == 0 and licenses.license_scan(no_docs).count() == 0
 
 
-def test_audio_round_trip(spark, edge_docs, no_docs):
-    read = audio.audio_features(audio.store_audio(edge_docs)).collect()
-    assert len(read) == edge_docs.count()
-    texts = sorted(hashlib.sha256((b := (r["text"] or "").encode()).ljust(max(192, -(-len(b) // 192) * 192))).hexdigest() for r in edge_docs.collect())
-    assert sorted(r["payload_sha256"] for r in read) == texts
-    assert len({r["feature"] for r in read if r["doc_id"] in (1, 6)}) == 1
-    for r in read:
-        samples, rate = audio.wav_samples(bytes(r["media"]))
-        assert (len(samples), rate) == (r["payload_bytes"], audio.RATE) and r["tail_crc32"] == zlib.crc32(samples[-16:])
-        tensors = pa.ipc.open_stream(bytes(r["tensors"])).read_all()
-        assert tensors.schema.field("log_mel").type == audio.TENSOR
-        assert all(a < b for a, b in ((s["start"], s["end"]) for s in r["spans"]))
-    assert audio.audio_features(audio.store_audio(no_docs)).count() == 0
+def feature_of(text):
+    """The feature by plain loops over samples, phases, frequencies and frames."""
+    raw = (text or "").encode()
+    x = [(b - 128) / 128 for b in raw.ljust(max(192, -(-len(raw) // 192) * 192))]
+    half = []  # every second sample of the windowed sinc that passes the lower half of the band
+    for m in range(-(-len(x) // 2)):
+        taps = [(k, 0.5 * np.sinc(0.5 * (k - 2 * m)) * (0.5 + 0.5 * np.cos(np.pi * (k - 2 * m) / 16))) for k in range(2 * m - 15, 2 * m + 17)]
+        total = sum(h for _, h in taps)
+        half.append(sum(h * x[k] for k, h in taps if 0 <= k < len(x)) / total)
+    edges = [700 * (10 ** (i * np.log10(1 + 4000 / 700) / 25) - 1) for i in range(26)]
+    frames = []
+    for f in range(1 + max(0, -(-(len(half) - 256) // 128))):
+        cut = [half[128 * f + i] if 128 * f + i < len(half) else 0.0 for i in range(256)]
+        cut = np.array([v * (0.5 - 0.5 * np.cos(2 * np.pi * i / 256)) for i, v in enumerate(cut)])
+        power = [abs((cut * np.exp(-2j * np.pi * np.arange(256) * q / 256)).sum()) ** 2 for q in range(129)]
+        bands = []
+        for b in range(24):
+            low, mid, high = edges[b : b + 3]
+            bands.append(np.log(sum(p * max(0, min((q * 31.25 - low) / (mid - low), (high - q * 31.25) / (high - mid))) for q, p in enumerate(power)) + 1e-6))
+        frames.append(bands)
+    energy = [np.log(sum(np.exp(bands))) for bands in frames]
+    mean, spread = np.mean(energy), np.std(energy)
+    spans, on = [], None
+    for f, e in enumerate([*energy, -np.inf]):
+        if on is None and f < len(energy) and e >= mean + spread / 2 and spread > 1e-9:
+            on = f
+        elif on is not None and e < mean - spread / 2:
+            spans.append((on * 128 / 8000, ((f - 1) * 128 + 256) / 8000))
+            on = None
+    return len(frames), np.mean(frames, axis=0), spans
+
+
+def test_audio_round_trip(spark, docs, edge_docs, no_docs):
+    few = docs.where("length(text) < 3000").orderBy("doc_id").limit(25)
+    small = edge_docs.where("text IS NULL OR length(text) < 6000")
+    for table in (small, few):
+        read = audio.audio_features(audio.audio_tensors(audio.store_audio(table))).collect()
+        assert len(read) == table.count()
+        by_digest = {hashlib.sha256((b := (r["text"] or "").encode()).ljust(max(192, -(-len(b) // 192) * 192))).hexdigest(): r["text"] for r in table.collect()}
+        assert {r["payload_sha256"] for r in read} == set(by_digest)
+        for r in read:
+            text = by_digest[r["payload_sha256"]]
+            frames, means, spans = feature_of(text)
+            n, told, shown = r["feature"].split(";")
+            assert int(n) == frames and np.abs(np.array(told.split(","), float) - means).max() < 0.03
+            assert [tuple(map(float, x.split("-"))) for x in shown.split(",") if x] == [(pytest.approx(a, abs=1e-3), pytest.approx(b, abs=1e-3)) for a, b in spans]
+            raw = (text or "").encode()
+            media = audio.wav_bytes(raw.ljust(r["payload_bytes"]))
+            assert (r["n_bytes"], r["media_bytes"], r["media_sha256"], r["tail_crc32"]) == (len(raw), len(media), hashlib.sha256(media).hexdigest(), zlib.crc32(raw.ljust(r["payload_bytes"])[-16:]))
+            tensors = pa.ipc.open_stream(bytes(r["tensors"])).read_all()
+            assert tensors.schema.field("log_mel").type == audio.TENSOR and audio.tensor_frames(bytes(r["tensors"])).shape == (frames, audio.BANDS)
+    whole = audio.audio_features(audio.audio_tensors(audio.store_audio(edge_docs))).collect()
+    assert len(whole) == edge_docs.count() and len({r["feature"] for r in whole if r["doc_id"] in (1, 6)}) == 1
+    gone = spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")
+    assert audio.audio_features(audio.audio_tensors(gone)).first()["feature"] is None
+    assert audio.audio_features(audio.audio_tensors(audio.store_audio(no_docs))).count() == 0
 
 
 def test_audio_features_of_a_tone():
