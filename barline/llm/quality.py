@@ -18,6 +18,10 @@ STOP_LANGUAGES = ["en", "fr", "es", "de"]
 STOP_WORDS = ["the", "of", "and", "is", "in", "that", "was", "for", "de", "la", "le", "les", "des", "et", "que", "el", "los", "en", "der", "die", "das", "und", "ist", "von"]
 
 
+#: Columns that quality() adds.
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule", "kept"]
+
+
 @dataclass(frozen=True)
 class Rule:
     """rejects: a condition on the table of base_measures(); null counts as not rejected."""
