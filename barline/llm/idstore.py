@@ -255,7 +255,10 @@ def document_sums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc and chunk bytes in order (array of binary): the ids themselves."""
+    """doc and chunk bytes in order (array of binary): the ids themselves, of the width that id_width() tells.
+
+    A null id stays null, repeated rows come back each, an empty store gives no rows; a missing chunk is a null.
+    """
     uses = read_recipes(spark, path).select("row", "doc", F.posexplode("chunks").alias("k", "c")).select("row", "doc", "k", F.col("c.digest").alias("digest"))
     stored = spark.read.parquet(f"{path}/chunks")
     return uses.join(stored, "digest", "left").groupBy("row", "doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("ids"))

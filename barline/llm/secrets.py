@@ -19,7 +19,7 @@ NAMES = "passw(?:or)?d|secret|token|api_?key|access_?key|secret_?key|credential"
 #: A candidate is a whole run of 12 or more of these characters with a digit in it, or 8 or more characters up to
 #: white space, quotes or a bracket that are assigned to such a name.
 RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}"
-ASSIGNED = r"(?<=[=:\"']|[=:][ \t]{1,2})(?<=(?i:" + NAMES + r")s?[\"']?[ \t]{0,2}[=:]{1,2}[ \t]{0,2}[\"']?)[^\s\"'(){}<>\[\],;=:]{8,}"
+ASSIGNED = r"(?<=[=:\"' \t])(?<=[=:\"']|[=:][ \t]{1,2})(?<=(?i:" + NAMES + r")s?[\"']?[ \t]{0,2}[=:]{1,2}[ \t]{0,2}[\"']?)[^\s\"'(){}<>\[\],;=:]{8,}"
 CANDIDATE = f"{RUN}|{ASSIGNED}"
 #: Words that mark a value as no secret: whole words, also between digits and signs, but not letters.
 HARMLESS = r"(?i)((?<![a-z])(example|sample|dummy|test|changeme)s?(?![a-z])|xxxx|0000000)"
@@ -45,8 +45,9 @@ def candidates(text: Column, context: int = 40) -> Column:
     """
     body = F.coalesce(text, F.lit(""))
     found = F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0))
-    # What stands before each candidate; the part after the last one has a null value.
-    gaps = F.zip_with(found, F.split(body, CANDIDATE, -1), lambda v, gap: F.struct(v.alias("value"), F.char_length(gap).alias("gap"), F.coalesce(F.char_length(v), F.lit(0)).alias("length")))
+    # What stands before each candidate; the part after the last one has a null value. Most texts have no candidate.
+    pieces = F.when(F.size(found) > 0, F.split(body, CANDIDATE, -1)).otherwise(F.array().cast("array<string>"))
+    gaps = F.zip_with(found, pieces, lambda v, gap: F.struct(v.alias("value"), F.char_length(gap).alias("gap"), F.coalesce(F.char_length(v), F.lit(0)).alias("length")))
     none = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<value:string,start:int>>").alias("out"))
 
     def placed(held: Column, x: Column) -> Column:

@@ -260,7 +260,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         edges, before = new, state
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+            out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct()))
+            discard(edges)
+            return out
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -270,7 +272,10 @@ def grouped(distinct: DataFrame, links: DataFrame) -> DataFrame:
     rooted = written(distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")))
     # Written, so that a root with very many prints is a skewed join of two plain tables.
     leasts = written(rooted.groupBy("root").agg(F.min("least").alias("component")))
-    return written(rooted.join(leasts, "root").select("print", "component"))
+    out = written(rooted.join(leasts, "root").select("print", "component"))
+    for table in (roots, rooted, leasts):
+        discard(table)
+    return out
 
 
 def near_groups(docs: DataFrame, radius: int = 4, words: int = 4, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,7 +289,9 @@ def near_groups(docs: DataFrame, radius: int = 4, words: int = 4, doc: str = "do
     """
     held = written(fingerprints(docs, words, doc, text))
     distinct = written(held.groupBy("print").agg(F.min("doc").alias("least")))
-    return held.join(grouped(distinct, link_prints(distinct.select("print"), radius)), "print").select(F.col("doc").alias(doc), "print", "component")
+    by_print = grouped(distinct, link_prints(distinct.select("print"), radius))
+    discard(distinct)
+    return held.join(by_print, "print").select(F.col("doc").alias(doc), "print", "component")
 
 
 #: Bits of a wide print.
@@ -428,7 +435,7 @@ def confirmed(held: DataFrame, links: DataFrame, similarity: float, most: int =
     Each set goes once to the task of its component under ``links``. A component of over ``most`` shingles is cut
     into parts, and every two parts meet in a task.
     """
-    nodes = written(components(links).withColumnRenamed("node", "print"))
+    nodes = components(links).withColumnRenamed("node", "print")
     # A bit for each node's print, in a table of fixed size: sets without a candidate do not move.
     cell, bit = F.pmod("print", F.lit(1 << 17)).alias("cell"), F.expr("shiftleft(1L, cast(pmod(shiftright(print, 17), 64) AS int))")
     cells = nodes.groupBy(cell).agg(F.bit_or(bit).alias("bits"))
@@ -457,7 +464,10 @@ def confirmed(held: DataFrame, links: DataFrame, similarity: float, most: int =
 
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = deal(sets, ["root"], large).select("shard", "print", "words", "shingles")
-    return dealt.repartition(parts, "shard").sortWithinPartitions("shard", "print").mapInArrow(run, "u long, v long")
+    out = written(dealt.repartition(parts, "shard").sortWithinPartitions("shard", "print").mapInArrow(run, "u long, v long"))
+    discard(nodes)
+    discard(sets)
+    return out
 
 
 def similar_rows(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -471,7 +481,7 @@ def similar_rows(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc:
     distinct = written(held.groupBy("print").agg(F.min(F.struct(*ROW_KEY)).alias("least"), F.first("words").alias("words")))
     keys = prefix_keys(held, similarity).join(distinct.select("print", "words"), "print")
     keyed = written(keys.select("print", F.lit(0).alias("set"), "value", "words"))
-    links = written(confirmed(held, link_shards(keyed, NEAR, most=10_000, rows_at_once=20_000), similarity))
+    links = confirmed(held, link_shards(keyed, NEAR, most=10_000, rows_at_once=20_000), similarity)
     rows = written(held.select(*ROW_KEY, "print"))
     discard(keyed)
     discard(held)
