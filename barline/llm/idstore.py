@@ -106,9 +106,11 @@ def joined_crc32(crcs: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.n
     return np.bitwise_xor.reduceat(held, first) if len(first) else held
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, mean: int = 256, least: int = 64, most: int = 2048, parts: int | None = None, doc: str = "doc_id", text: str = "text") -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, mean: int = 256, least: int = 64, most: int = 2048, parts: int | None = None, doc: str = "doc_id", text: str = "text", plain: bool = False) -> None:
     """Encodes every whole text, adds ``end_id``, and writes the ids to a store at ``path``.
 
+    With ``plain`` the tokenizer's special tokens in a text are ordinary text, else their ids.
+
     Ids are cut where a rolling hash says, so passages that documents share become equal chunks, and each unique
     chunk is written once. A null or empty text has the end id alone. Documents lie in ascending id order, null
     first; repeated rows each have a recipe, in a fixed order. Only digests are sorted and joined; ids move once,
@@ -117,7 +119,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, mean: i
     spark, width = docs.sparkSession, 2 if max(*WordCodec.of(tokenizer).library.get_vocab().values(), end_id) < 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, seen = WordCodec.of(tokenizer), set()
+        codec, seen = WordCodec.of(tokenizer, plain), set()
         end = np.array([end_id], "<u4").tobytes()
         for rows in text_groups(batches, 2):
             coded = [c + end for c in codec.encode_all([t or "" for t in rows.column(2).to_pylist()])]

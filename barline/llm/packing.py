@@ -74,10 +74,11 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return places, offsets, used
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_tokens: int = 4_000_000, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_tokens: int = 4_000_000, doc: str = "doc_id", text: str = "text", plain: bool = False) -> DataFrame:
     """Pieces of documents laid into windows of at most ``window`` ids.
 
-    Each document is its ids by the tokenizers file ``tokenizer`` and then ``end_id``. Longer ones are first cut
+    Each document is its ids by the tokenizers file ``tokenizer`` and then ``end_id``; with ``plain`` the file's special
+    tokens in a text are ordinary text. Longer ones are first cut
     into full windows; the rest goes, longest first, to the open window with the least room that holds it. Every
     partition is packed by itself in blocks of about ``block_tokens`` ids, so nothing is shuffled and memory is
     bounded; a block leaves a window or two with padding.
@@ -88,7 +89,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, b
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = WordCodec.of(tokenizer), np.array([end_id], "<u4").tobytes()
+        codec, end = WordCodec.of(tokenizer, plain), np.array([end_id], "<u4").tobytes()
         base, names, held, size = TaskContext.get().partitionId() << 40, [doc, "start", "ids", "doc_tokens", "sequence_id", "offset"], [], 0
 
         def packed() -> Iterator[pa.RecordBatch]:

@@ -142,13 +142,13 @@ def as_forest(model: RandomForestClassificationModel, words: list[str] = WORDS)
 
 
 @cache
-def trained_forest(count: int = 1200, seed: int = 0) -> Forest:
+def trained_forest(spark: SparkSession, count: int = 1200, seed: int = 0) -> Forest:
     """The forest from the library's own labelled findings, ``count`` of them: a bound that no table changes.
 
     It sees lengths, transitions, coverage by the dictionary's words, path and neighbouring words only. It is the
     same for every table, so that a text's verdict depends on the text and its path alone.
     """
-    return as_forest(fit_model(feature_table(SparkSession.getActiveSession(), labelled_findings(count, seed))))
+    return as_forest(fit_model(feature_table(spark, labelled_findings(count, seed))))
 
 
 def scored(text: Column, path: Column, forest: Forest) -> Column:
@@ -166,7 +166,7 @@ def secret_scan(docs: DataFrame, forest: Forest | None = None, doc: str = "doc_i
     Repeated rows are scanned each; an empty table gives no rows; other columns are not read. Nothing is shuffled.
     ``forest`` is trained_forest() if not given.
     """
-    out = docs.select(F.col(doc).alias(doc), F.explode(scored(F.col(text), F.col(path).cast("string"), forest or trained_forest())).alias("c"))
+    out = docs.select(F.col(doc).alias(doc), F.explode(scored(F.col(text), F.col(path).cast("string"), forest or trained_forest(docs.sparkSession))).alias("c"))
     return out.select(doc, "c.start", "c.value", "c.score", "c.secret")
 
 
@@ -176,7 +176,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, text: str = "text", pa
     A value is replaced at all its places if it is a secret at one of them. A null text stays null, repeated rows
     stay each, an empty table stays empty.
     """
-    secret = F.filter(scored(F.col(text), F.col(path).cast("string"), forest or trained_forest()), lambda c: c["secret"])
+    secret = F.filter(scored(F.col(text), F.col(path).cast("string"), forest or trained_forest(docs.sparkSession)), lambda c: c["secret"])
     # Longest first, so that no secret is cut by one that it contains.
     values = F.transform(F.sort_array(F.array_distinct(F.transform(secret, lambda c: F.struct(F.char_length(c["value"]).alias("n"), c["value"].alias("value")))), asc=False), lambda c: c["value"])
     held = docs.withColumn("__secrets", values)

@@ -41,7 +41,7 @@ def test_precision_and_recall_on_held_out_findings(spark):
     rows = secret_findings.findings(1000, seed=77)
     seen = {r[:3] for r in secret_findings.findings()}
     assert not seen & {r[:3] for r in rows}
-    measured = secrets.feature_table(spark, rows).select("label", (secrets.trained_forest().score([F.col(f) for f in secrets.FEATURES]) >= 0.5).alias("told"))
+    measured = secrets.feature_table(spark, rows).select("label", (secrets.trained_forest(spark).score([F.col(f) for f in secrets.FEATURES]) >= 0.5).alias("told"))
     counts = {(r["label"], r["told"]): r["count"] for r in measured.groupBy("label", "told").count().collect()}
     hit, miss, wrong = (counts.get(k, 0) for k in ((1.0, True), (1.0, False), (0.0, True)))
     assert hit / (hit + miss) > 0.95 and hit / (hit + wrong) > 0.95

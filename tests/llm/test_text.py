@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import test_near
 import xxhash
 from pyspark.sql import functions as F
 
@@ -218,23 +219,11 @@ def test_rows_that_share_an_id_are_told_apart(spark):
         assert sorted(shuffled, key=key) == sorted(expected, key=key)
 
 
-def test_similar_groups_catch_copies_and_spare_the_rest(spark):
+def test_similar_groups_are_those_of_all_pairs(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     group = {r["doc_id"]: r["component"] for r in simhash.similar_groups(table).collect()}
-    sets = {}
-    for r in table.collect():
-        w = r["text"].lower().split()
-        sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-    holders = {}
-    for d, s in sets.items():
-        for x in s:
-            holders.setdefault(x, []).append(d)
-    shared = Counter((a, b) for some in holders.values() for k, b in enumerate(some) for a in some[:k])
-    near = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in shared.items()}
-    caught = [group[a] == group[b] for (a, b), j in near.items() if j >= 0.85]
-    assert caught and sum(caught) >= 0.97 * len(caught)
-    far = [group[a] == group[b] for (a, b), j in near.items() if j < 0.4 and min(len(sets[a]), len(sets[b])) > 30]
-    assert not any(far)
+    wanted = test_near.brute_force({r["doc_id"]: r["text"] for r in table.collect()})
+    assert group == wanted and len(set(wanted.values())) < 0.95 * len(wanted)
 
 
 def test_secrets(spark, docs, edge_docs, no_docs):
