@@ -93,8 +93,7 @@ def adx(panel: DataFrame, period: int = 14) -> DataFrame:
 
 def all_indicators(panel: DataFrame) -> DataFrame:
     """Every indicator of the clean panel; the recurrences share two passes."""
-    out = cci(bollinger(panel))
-    out = out.withColumns({"simple_moving_average_20": sma(F.col("close"), 20), "simple_moving_average_60": sma(F.col("close"), 60)})
+    out = cci(bollinger(panel.withColumns({"simple_moving_average_20": sma(F.col("close"), 20), "simple_moving_average_60": sma(F.col("close"), 60)})))
     first = [ema_of("close", 12, "exponential_moving_average_12"), ema_of("close", 26, "exponential_moving_average_26"), *rsi_specs(14), *adx_specs(14)]
     out = smooth(with_moves(out), first)
     out = out.withColumns({"relative_strength_index_14": rsi_value(), "macd_line_12_26_9": F.col("exponential_moving_average_12") - F.col("exponential_moving_average_26"), **directional()})

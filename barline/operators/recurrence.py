@@ -44,19 +44,19 @@ def smooth(df: DataFrame, specs: list[Smoothing], key: str = "asset", order: str
     """
     w, running = by_time(key, order), so_far(key, order)
     hidden = lambda name, i: f"__{name}{i}"
-    every = range(len(specs))
+    every, values = range(len(specs)), list(dict.fromkeys(s.value for s in specs))
+    of = [values.index(s.value) for s in specs]
     out = df.withColumn("__row", F.row_number().over(w))
+    seen = {hidden("seen", j): F.count(v).over(running) for j, v in enumerate(values)}
+    last = {hidden("last", j): F.max(F.when(F.col(v).isNotNull(), F.col("__row"))).over(w.rowsBetween(Window.unboundedPreceding, -1)) for j, v in enumerate(values)}
+    out = out.withColumns(seen | last)  # one pass for all: what is added at once shares a window
+    steps = {}
     for i, s in enumerate(specs):
-        out = out.withColumns({hidden("seen", i): F.count(s.value).over(running), hidden("last", i): F.max(F.when(F.col(s.value).isNotNull(), F.col("__row"))).over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    for i, s in enumerate(specs):
-        present, first = F.col(s.value).isNotNull(), F.col(hidden("last", i)).isNull()
-        decay = F.greatest(F.pow(F.lit(1 - s.alpha), F.col("__row") - F.col(hidden("last", i))), F.lit(1e-100))
-        out = out.withColumns(
-            {
-                hidden("lna", i): F.when(present & ~first, F.ln(decay / (decay + s.alpha))).otherwise(0.0),
-                hidden("b", i): F.when(present, F.when(first, F.col(s.value)).otherwise(s.alpha * F.col(s.value) / (decay + s.alpha))).otherwise(0.0),
-            }
-        )
+        present, before = F.col(s.value).isNotNull(), F.col(hidden("last", of[i]))
+        decay = F.greatest(F.pow(F.lit(1 - s.alpha), F.col("__row") - before), F.lit(1e-100))
+        steps[hidden("lna", i)] = F.when(present & before.isNotNull(), F.ln(decay / (decay + s.alpha))).otherwise(0.0)
+        steps[hidden("b", i)] = F.when(present, F.when(before.isNull(), F.col(s.value)).otherwise(s.alpha * F.col(s.value) / (decay + s.alpha))).otherwise(0.0)
+    out = out.withColumns(steps)
     out = out.withColumn("__decline", F.greatest(*(-F.col(hidden("lna", i)) for i in every), F.lit(0.0)))
     out = out.withColumn("__block", F.floor(F.sum("__decline").over(running) / SPAN))
     out = out.withColumns({"__next": F.lead("__block", 1).over(w), "__group": F.floor(F.col("__block") / GROUP)})
@@ -67,12 +67,12 @@ def smooth(df: DataFrame, specs: list[Smoothing], key: str = "asset", order: str
     step = lambda i: F.struct(F.col(hidden("A", i)).alias("A"), F.col(hidden("S", i)).alias("S"))
     none = F.struct(F.lit(1.0).alias("A"), F.lit(0.0).alias("S"))
     ends = F.col("__next").isNull() | (F.col("__next") != F.col("__block"))
-    before = Window.partitionBy(key, "__group").orderBy("__block", order).rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumns({hidden("blocks", i): F.aggregate(F.collect_list(F.when(ends, step(i))).over(before), none, _after) for i in every})
+    above = Window.partitionBy(key, "__group").orderBy("__block", order).rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumns({hidden("blocks", i): F.aggregate(F.collect_list(F.when(ends, step(i))).over(above), none, _after) for i in every})
     # A group ends where its last block does; ten million rows of one key are some dozens of groups.
     tops = F.col("__next").isNull() | (F.floor(F.col("__next") / GROUP) != F.col("__group"))
     earlier = Window.partitionBy(key).orderBy("__group", "__block", order).rowsBetween(Window.unboundedPreceding, -1)
     whole = lambda i: F.aggregate(F.collect_list(F.when(tops, _after(F.col(hidden("blocks", i)), step(i)))).over(earlier), F.lit(0.0), lambda y, x: x["A"] * y + x["S"])
     out = out.withColumns({hidden("carry", i): _after(F.struct(F.lit(0.0).alias("A"), whole(i).alias("S")), F.col(hidden("blocks", i)))["S"] for i in every})
-    results = {s.out: F.when(F.col(hidden("seen", i)) >= s.least, F.col(hidden("A", i)) * F.col(hidden("carry", i)) + F.col(hidden("S", i))) for i, s in enumerate(specs)}
+    results = {s.out: F.when(F.col(hidden("seen", of[i])) >= s.least, F.col(hidden("A", i)) * F.col(hidden("carry", i)) + F.col(hidden("S", i))) for i, s in enumerate(specs)}
     return out.select(*df.columns, *(v.alias(k) for k, v in results.items()))
