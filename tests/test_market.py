@@ -1,5 +1,6 @@
 """Operators against hand values, pandas and brute force."""
 
+import hashlib
 import json
 import math
 from datetime import date, datetime, timedelta
@@ -380,6 +381,7 @@ def test_tables_and_manifest(spark, tmp_path):
     (tmp_path / "plain").mkdir()
     (tmp_path / "plain" / "x.txt").write_text("no table")
     assert manifest.file_summary(spark, str(tmp_path / "plain")).first()["n_rows"] is None
+    assert [r["sha256"] for r in manifest.sha256_files(spark, str(tmp_path / "plain")).collect()] == [hashlib.sha256(b"no table").hexdigest()]
     out = str(tmp_path / "manifest")
     manifest.write_manifest(manifest.manifest("clean", summary, summary, {"a": "b"}, git_commit="abc"), out)
     told = spark.read.json(out).first()
