@@ -53,6 +53,12 @@ def panel(s: SparkSession, d: str) -> DataFrame:
     return cal.align(b, cal.sessions_of(b))
 
 
+def held_panel(s: SparkSession, d: str) -> DataFrame:
+    """The panel from bars that are written once, as it reads them three times."""
+    b = written(bars(s, d))
+    return cal.align(b, cal.sessions_of(b))
+
+
 def returns(s: SparkSession, d: str) -> DataFrame:
     return features.log_return(bars(s, d), out="r").where("r IS NOT NULL")
 
@@ -414,7 +420,7 @@ def _on(source: str, *names: str) -> str:
 
 @registered("e3_ema", _sql_cuts("b.asset, b.date", {"ema": ("CASE WHEN e12.rn >= 12 THEN e12.y END", 3)}) + " " + _on("panel", "e12"), "panel", extra=_ema("e12", "close", 12))
 def e3(s, d):
-    return _cuts(indicators.ema(panel(s, d), 12, out="ema"), KEYS, {"ema": 3})
+    return _cuts(indicators.ema(held_panel(s, d), 12, out="ema"), KEYS, {"ema": 3})
 
 
 _RSI = "CASE WHEN up14.rn >= 14 THEN 100 - 100 / (1 + up14.y / nullif(down14.y, 0)) END"
@@ -422,7 +428,7 @@ _RSI = "CASE WHEN up14.rn >= 14 THEN 100 - 100 / (1 + up14.y / nullif(down14.y,
 
 @registered("e4_rsi", _sql_cuts("b.asset, b.date", {"relative_strength_index_14": (_RSI, 4)}) + " " + _on("panel", "up14", "down14"), "panel_moves", extra=_wilder("up14", "up") | _wilder("down14", "down"))
 def e4(s, d):
-    return _cuts(indicators.rsi(panel(s, d)), KEYS, {"relative_strength_index_14": 4})
+    return _cuts(indicators.rsi(held_panel(s, d)), KEYS, {"relative_strength_index_14": 4})
 
 
 def _macd(source: str) -> dict[str, str]:
@@ -435,7 +441,7 @@ _SIGNAL = "CASE WHEN sig.rn >= 9 THEN sig.y END"
 
 @registered("e5_macd", _sql_cuts("b.asset, b.date", {"macd_line_12_26_9": ("line.v", 3), "macd_signal_12_26_9": (_SIGNAL, 3), "macd_histogram_12_26_9": (f"line.v - {_SIGNAL}", 3)}) + " " + _on("panel", "line", "sig"), "panel", extra=_macd("panel"))
 def e5(s, d):
-    return _cuts(indicators.macd(panel(s, d)), KEYS, {"macd_line_12_26_9": 3, "macd_signal_12_26_9": 3, "macd_histogram_12_26_9": 3})
+    return _cuts(indicators.macd(held_panel(s, d)), KEYS, {"macd_line_12_26_9": 3, "macd_signal_12_26_9": 3, "macd_histogram_12_26_9": 3})
 
 
 _MID, _STD = _rolled("avg", "close", 20), _rolled("stddev_samp", "close", 20)
@@ -466,7 +472,7 @@ _ADX_CUTS = {"average_directional_index_14": ("CASE WHEN adx.rn >= 14 THEN adx.y
 
 @registered("e8_adx", _sql_cuts("b.asset, b.date", _ADX_CUTS) + " " + _on("panel", "di", "adx"), "panel_moves", extra=_adx("panel_moves"))
 def e8(s, d):
-    return _cuts(indicators.adx(panel(s, d)), KEYS, {k: v for k, (_, v) in _ADX_CUTS.items()})
+    return _cuts(indicators.adx(held_panel(s, d)), KEYS, {k: v for k, (_, v) in _ADX_CUTS.items()})
 
 
 # F. Cash and the clean panel
