@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import audio, bytebpe, idstore, licenses, packing, quality, secrets, sharding, simhash, warc
+from barline.llm import audio, bytebpe, idstore, licenses, manifest, packing, quality, secrets, sharding, simhash, toxicity, warc
 from barline.llm.shared import discard, shared_dir, written
 
 
@@ -74,6 +74,18 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.document_sums(spark, path).select(F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and which rows still verify after some texts were lower-cased."""
+    docs = _table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest.merkle_manifest(docs, {"text": lowered}, F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_fixity": op2_fixity,
@@ -85,9 +97,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_simhash": op9_simhash,
     "op10_id_store": op10_id_store,
+    "op12_manifest": op12_manifest,
+    "op13_toxicity": op13_toxicity,
 }
 _RECORD = "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"
 ORACLE: dict[str, str] = {
     "op2_fixity": f"SELECT page_id, CAST(strlen({_RECORD}) AS BIGINT) AS length, sha256({_RECORD}) AS digest, CASE WHEN page_id % 97 = 13 AND length(html) > 0 THEN 'altered' ELSE 'intact' END AS status FROM pages",
     "op7_licenses": licenses.license_sql(),
+    "op12_manifest": manifest.manifest_sql(),
 }
