@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import audio, bytebpe, idstore, licenses, manifest, packing, quality, secrets, sharding, simhash, toxicity, warc
+from barline.llm import audio, bytebpe, conversations, idstore, licenses, manifest, packing, quality, secrets, sharding, simhash, toxicity, warc
 from barline.llm.shared import discard, shared_dir, written
 
 
@@ -74,6 +74,28 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.document_sums(spark, path).select(F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with turns dropped, emptied, cut, repeated and put in the user's role, by a checksum of their key."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    k = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    role = F.when(k == 4, "user").otherwise(space("role"))
+    text = F.when(k == 1, "").when(k == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    copies = F.when(k == 0, 0).when(k == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).drop("copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults, and the digest of its cheapest repair."""
+    rows = _table(spark, sf_dir, "conversations")
+    report, turns = conversations.repair(_damaged(rows))
+    digests = conversations.repaired_digests(turns)
+    every = rows.select("conv_id").distinct()
+    told, hashed = report.withColumnRenamed("conv_id", "c"), digests.select(F.col("conv_id").alias("h"), "sha256")
+    joined = every.join(told, F.col("conv_id").eqNullSafe(F.col("c")), "left").join(hashed, F.col("conv_id").eqNullSafe(F.col("h")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, and which rows still verify after some texts were lower-cased."""
     docs = _table(spark, sf_dir, "documents")
@@ -97,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_simhash": op9_simhash,
     "op10_id_store": op10_id_store,
+    "op11_repair": op11_repair,
     "op12_manifest": op12_manifest,
     "op13_toxicity": op13_toxicity,
 }
