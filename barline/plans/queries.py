@@ -738,15 +738,20 @@ def i5(s, d):
     return _cuts(execution.apply_fees(_trades(s, d), 5.0, sigma, 0.1), ["date", "asset"], {"vol_slip": 3})
 
 
-def _targets(b: DataFrame) -> DataFrame:
-    """Two portfolios: volume-weighted, and dollar-weighted without the days of falling prices."""
+def _targets(b: DataFrame, vintages: bool = False) -> DataFrame:
+    """Two portfolios: volume-weighted, and dollar-weighted without the days of falling prices.
+
+    vintages: instead two for each month, which hold what theirs holds in it.
+    """
     one = b.select(F.lit("volume").alias("portfolio_id"), "date", "asset", F.col("volume").alias("weight"))
     two = b.select(F.lit("rising").alias("portfolio_id"), "date", "asset", (F.col("close") - F.col("open")).alias("weight"))
-    return portfolio.target_weights(one.unionByName(two))
+    both = one.unionByName(two)
+    return portfolio.target_weights(both.withColumn("portfolio_id", F.concat_ws(" ", "portfolio_id", F.date_format("date", "yyyy-MM"))) if vintages else both)
 
 
-def _raw(source: str) -> dict[str, str]:
-    return {"raw": f"SELECT 'volume' AS portfolio_id, date, asset, coalesce(volume, 0) AS w FROM {source} UNION ALL BY NAME SELECT 'rising' AS portfolio_id, date, asset, greatest(coalesce(close - open, 0), 0) AS w FROM {source}"}
+def _raw(source: str, vintages: bool = False) -> dict[str, str]:
+    month = " || ' ' || strftime(date, '%Y-%m')" * vintages
+    return {"raw": f"SELECT 'volume'{month} AS portfolio_id, date, asset, coalesce(volume, 0) AS w FROM {source} UNION ALL BY NAME SELECT 'rising'{month} AS portfolio_id, date, asset, greatest(coalesce(close - open, 0), 0) AS w FROM {source}"}
 
 
 @registered("i6_target_weights", f"SELECT portfolio_id, date, asset, {sql.cut('w / greatest(sum(w) OVER (PARTITION BY portfolio_id, date), 1e-12)', 6)} AS weight FROM raw", "bars", extra=_raw("bars"))
@@ -763,7 +768,7 @@ def _fold_prices(known: DataFrame) -> DataFrame:
 
 
 #: Days of a portfolio with lists over its assets, and the fold over them: a day's trades follow from the state before.
-_FOLD = _raw("panel") | {
+_FOLD = {
     "weights": "SELECT portfolio_id, date, asset, w / greatest(sum(w) OVER (PARTITION BY portfolio_id, date), 1e-12) AS weight FROM raw",
     "priced": "SELECT p.date, p.asset, " + ", ".join(f"last_value({v} IGNORE NULLS) OVER (PARTITION BY p.asset ORDER BY p.date) AS {n}" for n, v in {"mark": "100 + sin(p.close)", "ref": "100 + sin(s.next_open)", "spread": "CASE WHEN s.spread IS NOT NULL THEN least(s.spread, 0.001) END", "sigma": "CASE WHEN s.sigma IS NOT NULL THEN least(s.sigma, 0.02) * 1e4 END"}.items()) + " FROM panel p LEFT JOIN spreads s ON p.date = s.date AND p.asset = s.asset",
     "slots": "SELECT p.portfolio_id, a.asset FROM (SELECT DISTINCT portfolio_id FROM raw) p CROSS JOIN (SELECT DISTINCT asset FROM bars) a",
@@ -778,15 +783,50 @@ _FOLD = _raw("panel") | {
     "states": """SELECT *, cash + list_sum(list_transform(shares, lambda x, i: x * coalesce(l[i].mark, 0))) AS value FROM (SELECT d.portfolio_id, d.date, d.l, f.cash, f.shares, f.q, f.fees, f.slip FROM fold f JOIN days d ON d.portfolio_id = f.portfolio_id AND d.n = f.n)""",
     "each": "SELECT portfolio_id, date, value, cash, fees, slip, unnest(l) AS x, unnest(shares) AS held, unnest(q) AS q FROM states",
 }
-_STATE = {"value": ("value", 2), "cash": ("cash", 2), "fees": ("fees", 4), "vol_slip": ("slip", 4), "q": ("q", 4), "shares": ("held", 4), "weight": ("held * coalesce(x.mark, 0) / greatest(value, 1e-12)", 6), "p_exec": ("x.ref * (1 + coalesce(x.spread, 0) / 2 * CASE WHEN q >= 0 THEN 1 ELSE -1 END)", 4)}
+_STATE = {"value": ("value", 2), "cash": ("cash", 2), "fees": ("fees", 4), "vol_slip": ("slip", 4), "q": ("q", 4), "shares": ("held", 4), "weight": ("held * coalesce(x.mark, 0) / greatest(value, 1e-12)", 6), "p_exec": ("x.ref * (1 + coalesce(x.spread, 0) / 2 * sign(q))", 4)}
+
+
+def _rebalanced(s: SparkSession, d: str, vintages: bool) -> tuple[DataFrame, DataFrame]:
+    held = written(bars(s, d))
+    return _targets(cal.align(held, cal.sessions_of(held)), vintages), _fold_prices(_priced(s, d, held))
 
 
-@registered("i7_i8_rebalance", _sql_cuts("portfolio_id, date, x.a AS asset", _STATE) + " FROM each", "spreads", "panel", extra=_FOLD)
+_STATE_SQL, _STATE_KEYS = _sql_cuts("portfolio_id, date, x.a AS asset", _STATE) + " FROM each", ["portfolio_id", "date", "asset"]
+_COSTS = {"sigma": "sigma_bps", "k": 0.01}
+
+
+@registered("i7_i8_rebalance", _STATE_SQL, "spreads", "panel", extra=_raw("panel") | _FOLD)
 def i8(s, d):
+    """Two portfolios over all sessions."""
+    return _cuts(portfolio.rebalance(*_rebalanced(s, d, False), **_COSTS), _STATE_KEYS, {c: n for c, (_, n) in _STATE.items()})
+
+
+@registered("i8_resumed", _STATE_SQL, "spreads", "panel", extra=_raw("panel") | _FOLD)
+def i8r(s, d):
+    """The same in two runs: the states up to a date are saved, and a second run goes on from them."""
+    targets, prices = _rebalanced(s, d, False)
+    saved = written(portfolio.rebalance(targets.where("date <= DATE '1995-02-15'"), prices, **_COSTS))
+    return _cuts(saved.unionByName(portfolio.resume(saved, targets, prices, **_COSTS)), _STATE_KEYS, {c: n for c, (_, n) in _STATE.items()})
+
+
+@registered("i8_vintages", _STATE_SQL, "spreads", "panel", extra=_raw("panel", True) | _FOLD)
+def i8v(s, d):
+    """Two portfolios for each month, some 160."""
+    return _cuts(portfolio.rebalance(*_rebalanced(s, d, True), **_COSTS), _STATE_KEYS, {c: n for c, (_, n) in _STATE.items()})
+
+
+#: Prices as they are: bars move by multiples from day to day, so wealth can vanish; large numbers are told by their logarithm.
+_BAR_FOLD = _raw("bars", True) | _FOLD | {"priced": "SELECT date, asset, close AS mark, next_open AS ref, spread, 0.0 AS sigma FROM spreads"}
+_BAR_STATE = {c: (f"sign({v}) * ln(1 + abs({v}))", 5) for c, (v, _) in _STATE.items() if c not in ("weight", "vol_slip")}
+
+
+@registered("i8_real_bars", _sql_cuts("portfolio_id, date, x.a AS asset", _BAR_STATE) + ", value <= 0 AS ruined FROM each WHERE x.mark IS NOT NULL", "spreads", extra=_BAR_FOLD)
+def i8b(s, d):
+    """Monthly portfolios at the bars' own prices and spreads; who has no wealth left trades no more."""
     held = written(bars(s, d))
-    targets = _targets(cal.align(held, cal.sessions_of(held)))
-    states = portfolio.rebalance(targets, _fold_prices(_priced(s, d, held)), sigma="sigma_bps", k=0.01)
-    return _cuts(states, ["portfolio_id", "date", "asset"], {c: n for c, (_, n) in _STATE.items()})
+    states = portfolio.rebalance(_targets(held, True), _priced(s, d, held))
+    told = lambda c: cut(F.signum(c) * F.ln(1 + F.abs(c)), 5).alias(c)
+    return states.select(*_STATE_KEYS, *(told(c) for c in _BAR_STATE), (F.col("value") <= 0).alias("ruined"))
 
 
 @registered("i9_mark_to_market", _sql_cuts("portfolio_id, date, asset", {"value": ("v", 2), "weight": ("x / greatest(v, 1e-12)", 6)}) + " FROM (SELECT *, 1000 + sum(x) OVER (PARTITION BY portfolio_id, date) AS v FROM (SELECT 'all' AS portfolio_id, date, asset, volume * close AS x FROM bars))", "bars")
