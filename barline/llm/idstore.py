@@ -18,6 +18,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -151,7 +152,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, mean: i
     staged = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, RECIPE))
     chunks = staged.select(F.explode(F.arrays_zip(F.col("chunks.digest").alias("digest"), F.col("data").alias("ids"))).alias("c")).select("c.digest", "c.ids").where("ids IS NOT NULL")
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunks.repartition(n, "digest").mapInArrow(first_of_each, "digest binary, ids binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
+    # Spark sorts by digest and spills, so a task's memory does not grow with its digests.
+    chunks.repartition(n, "digest").sortWithinPartitions("digest").mapInArrow(first_of_each, "digest binary, ids binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
     ordered = staged.select("row", "doc", "n_tokens", "chunks").repartitionByRange(n, F.col("doc").asc_nulls_first(), F.col("row"))
     ordered.sortWithinPartitions(F.col("doc").asc_nulls_first(), "row").select(F.spark_partition_id().alias("part"), "row", "doc", "n_tokens", "chunks").write.option("compression", "zstd").parquet(f"{path}/recipes")
     discard(staged)
@@ -162,14 +164,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, mean: i
 
 
 def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, ids) of one partition without repeats of a digest; the digests of the partition are held."""
-    seen: set[bytes] = set()
+    """Rows (digest, ids) of one partition, sorted by digest, without repeats of a digest: only the last one is held."""
+    before = None
     for batch in batches:
-        new = []
-        for digest in batch.column(0).to_pylist():
-            new.append(digest not in seen)
-            seen.add(digest)
-        yield batch if all(new) else batch.filter(pa.array(new))
+        if not batch.num_rows:
+            continue
+        digests = batch.column(0)
+        same = [digests[0].as_py() == before, *pa.compute.equal(digests.slice(1), digests.slice(0, len(digests) - 1)).to_pylist()]
+        before = digests[-1].as_py()
+        yield batch.filter(pa.array([not x for x in same])) if any(same) else batch
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:

@@ -114,12 +114,12 @@ SPELLINGS: list[tuple[str, str]] = [
 #: Digests of the canonical forms of longer texts: the published text, and without its appendix on how to apply it.
 DIGESTS: dict[str, list[str]] = {
     "Apache-2.0": [
-        "6ab5deeb4b2c14f4681b97d03ec0d6cf046968b552bd6e2efe1721910b2e5e9e",
-        "cf7c26411074d941b42afe8baac32788531f003acea32d25ead49048c329c78d",
-        "b7bb6b2416cb5fc4e3acd34d1283c66e6228adab995f1c959405a3978193462c",
+        "1503ed7ce6c2188ed269646562607a76b5c74bff588f36b20862ee3af525f3ea",
+        "f9138026e58bdb767e6c6e974637ff9aacbaedf2695e30fef144e5d7d84448ff",
+        "6fb8411669deea22294b6190fad00b8e39899d0b7b6c5cf97a3b15b47e129c38",
     ],
     "Artistic-1.0": [
-        "de5e8896b763918701eb91e7bf8bf81f20a97c9f8dd1cacc44519e47d3462bf8",
+        "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
     ],
     "BSD-3-Clause-UC": [
         "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9",
@@ -128,10 +128,10 @@ DIGESTS: dict[str, list[str]] = {
         "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
     ],
     "GFDL-1.2": [
-        "19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f",
+        "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
     ],
     "GFDL-1.3": [
-        "e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480",
+        "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
     ],
     "GPL-1.0": [
         "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
@@ -139,32 +139,32 @@ DIGESTS: dict[str, list[str]] = {
         "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70",
     ],
     "GPL-2.0": [
-        "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1",
-        "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999",
-        "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017",
+        "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+        "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+        "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808",
     ],
     "GPL-3.0": [
-        "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f",
-        "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b",
-        "3d4de016a08e1d98b27dec755cdf4530b92807d97aaa185b32e12d52942b1943",
+        "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+        "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
+        "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191",
     ],
     "LGPL-2.0": [
-        "e2c319279ddf282349927826fd110bdb5b471edc3a726a66fe333c8184a4b135",
-        "a07313094d4e63b099417491ebc80c933bf85c36d5afddbf13be9a11457c8513",
-        "a745f6517e6dd821b7e0352067dcf8f32789a02694b661bfad965280370e9b1a",
+        "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+        "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+        "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2",
     ],
     "LGPL-2.1": [
-        "13cd11e9ccd3aae212d64d9b0f62b3a67f21019c6a65212e582b2cbbeb91cb70",
-        "bfe8e5dc6cef43d0c4777d9c1891f596159cda682ef40545ad2105f66b9746f1",
-        "4656c6936fdab5334aa4c4800c6a7881ffce24f3abb1f578c24da0bbb2735d0a",
+        "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+        "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+        "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df",
     ],
     "LGPL-3.0": [
         "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
     ],
     "MPL-1.1": [
-        "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",
+        "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b",
     ],
     "MPL-2.0": [
-        "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+        "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
     ],
 }

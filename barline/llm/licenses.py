@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from barline.llm.license_texts import DIGESTS, SPELLINGS, TEXTS
 
-#: Lines that name a copyright holder; they differ between copies of one licence.
-COPYRIGHT = r"(?m)^[ \t#*/;-]*(copyright[ \t]|\(c\)|©).*$"
+#: Lines that name a copyright holder; they differ between copies of one licence. After the word comes (c), a sign, "by"
+#: or a year, which the sentences of licences that happen to be wrapped before the word do not have.
+COPYRIGHT = r"(?m)^[ \t#*/;-]*(copyright[ \t]+(\(c\)|©|by[ \t]|.*[0-9]{4})|\(c\)[ \t]+.*[0-9]{4}|©).*$"
 NOT_WORDS = r"[^\p{L}\p{N}]+"
 
 

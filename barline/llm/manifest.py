@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from barline.llm.shared import discard, written
 
-FANOUT, DEPTH = 8, 5
+FANOUT, DEPTH = 8, 4
 #: One row's parts of a leaf, in order.
 PARTS = ("doc_id", "source", "lang", "n_chars", "text")
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import statistics
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barline.llm.shared import fresh, named
+
 #: Words are runs of characters other than space and U+0009 to U+000D.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[^#*$%&|<>]+"
@@ -91,33 +95,48 @@ def rules(text: str = "text", lang: str | None = None) -> list[Rule]:
     ]
 
 
-def rule_order(docs: DataFrame, given: list[Rule], sample_rows: int = 200, repeats: int = 8, text: str = "text", lang: str | None = None) -> list[tuple[Rule, float, float]]:
-    """The rules by falling rejection per cost, with each one's seconds and rejected share on a sample.
+def rule_order(docs: DataFrame, given: list[Rule], sample_rows: int = 200, text: str = "text", lang: str | None = None, most: int = 128) -> list[tuple[Rule, float, float]]:
+    """The rules by falling rejection per cost, with each one's seconds a row and rejected share on a sample.
 
-    The sample is ``sample_rows`` rows at most. Rejection is the share among its rows that pass the base. Cost is the
-    time of one job over the sample ``repeats`` times, less that of a job without a rule; of two runs the shorter
-    counts, after all rules have run once, so that neither start-up nor compilation decides. It only sets the order
-    in which rules are tried; which rows are kept does not depend on it.
+    The sample is the ``sample_rows`` rows with the least hash of their text and place, so it comes from all parts of
+    the table. Rejection is the share among its rows that pass the base. For the cost a rule runs over the sample 16
+    and then ``most`` times, until the median of three jobs takes twice what a job without a rule does; what it takes
+    beyond that is its cost. A rule that does not get there counts as the cheapest one measured, as its cost cannot be
+    told from none. Rules that reject nothing of the sample come last, unmeasured. The order decides which rule is
+    tried first, not which rows are kept.
     """
-    columns = [F.col(text).cast("string").alias(text)] + ([F.col(lang).cast("string").alias(lang)] if lang else [])
-    # take() stops at the first partitions that have enough; limit() would send rows of all of them to one task.
-    rows = docs.select(*columns).take(sample_rows)
+    columns = [named(c).cast("string").alias(c) for c in ([text, lang] if lang else [text])]
+    drawn = docs.select(*columns, F.xxhash64(named(text), F.monotonically_increasing_id()).alias("drawn")).orderBy("drawn").limit(sample_rows)
+    rows = drawn.select(*(named(c) for c in ([text, lang] if lang else [text]))).collect()
     listed = docs.sparkSession.createDataFrame(rows, ", ".join(f"`{c}` string" for c in ([text, lang] if lang else [text])))
     sample = base_measures(listed, text).where("NOT base_failed").coalesce(1).persist()
-    more = sample.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
 
-    def seconds(rule: Column) -> float:
-        began = time.perf_counter()
-        more.agg(F.count_if(rule & (F.col("__k") > 0))).collect()
-        return time.perf_counter() - began
+    @cache
+    def seconds(given: Rule | None, times: int) -> float:
+        rule = F.col("n_words") < 0 if given is None else given.rejects()
+        more = sample.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(times))))
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            more.agg(F.count_if(rule & (F.col("__k") > 0))).collect()
+            took.append(time.perf_counter() - began)
+        return statistics.median(took)
+
+    def cost(rule: Rule) -> float | None:
+        for times in (16, most):
+            spent, empty = seconds(rule, times), seconds(None, times)
+            if spent >= 2 * empty:
+                return (spent - empty) / times
+        return None
 
     try:
         shares = sample.agg(F.count("*"), *(F.count_if(r.rejects()) for r in given)).first()
-        empty = min(seconds(F.col("n_words") < 0) for _ in range(2))
-        costs = [max(1e-6, min(seconds(r.rejects()) for _ in range(2)) - empty) for r in given]
+        costs = [cost(r) if n else None for r, n in zip(given, shares[1:], strict=True)]
     finally:
         sample.unpersist()
-    judged = [(r, c, n / max(1, shares[0])) for r, c, n in zip(given, costs, shares[1:], strict=True)]
+    least = min((c for c in costs if c is not None), default=1.0)
+    n = max(1, shares[0])
+    judged = [(r, (least if c is None else c) / n, x / n) for r, c, x in zip(given, costs, shares[1:], strict=True)]
     return sorted(judged, key=lambda x: (-x[2] / x[1], x[0].name))
 
 
@@ -127,14 +146,19 @@ def quality(docs: DataFrame, text: str = "text", lang: str | None = "lang", samp
     kept is false if the base fails; else the rules are tried in the order of rule_order() and the first that
     rejects ends the row's cascade, since CASE branches are evaluated in turn; failed_rule is that one, so of several
     that reject a row it depends on the order. A null text has no words and fails, a null language is unknown (as
-    all are in a table without the column ``lang``). Repeated rows are judged each; all other columns stay, but those
-    named like a result are replaced, and names with two leading underscores are its own; an empty table stays empty.
+    all are in a table without the column ``lang``). Repeated rows are judged each; all other columns stay, whatever
+    their names, but those named like a result are replaced; an empty table stays empty.
     """
     lang = lang if lang in docs.columns else None
-    measured = base_measures(docs, text)
+    # Columns named like the measures' own are kept under other names meanwhile.
+    own = [c for c in docs.columns if c.startswith("__")]
+    aside = dict(zip(own, fresh(docs.columns, *(f"own {c}" for c in own)), strict=True))
+    held = docs.select(*(named(c).alias(aside.get(c, c)) for c in docs.columns)) if own else docs
+    measured = base_measures(held, text)
     cascade = F.when(F.col("base_failed"), F.lit("base"))
-    for rule, _, _ in rule_order(docs, rules(text, lang), sample_rows, text=text, lang=lang):
+    for rule, _, _ in rule_order(held, rules(text, lang), sample_rows, text=text, lang=lang):
         cascade = cascade.when(rule.rejects(), F.lit(rule.name))
     judged = measured.withColumns({"failed_rule": cascade, "__judged": F.monotonically_increasing_id()})
-    hidden = [c for c in judged.columns if c.startswith("__")]
-    return judged.withColumn("kept", F.col("failed_rule").isNull() & (F.col("__judged") >= 0)).drop(*hidden)
+    out = judged.withColumn("kept", F.col("failed_rule").isNull() & (F.col("__judged") >= 0))
+    stay = [c for c in docs.columns if c not in RESULTS]
+    return out.select(*(named(aside.get(c, c)).alias(c) for c in stay), *RESULTS)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.llm.secret_findings import WORDS, findings as labelled_findings
+from barline.llm.shared import fresh, named
 
 if TYPE_CHECKING:
     from pyspark.ml.classification import RandomForestClassificationModel
@@ -173,12 +174,13 @@ def secret_scan(docs: DataFrame, forest: Forest | None = None, doc: str = "doc_i
 def redact(docs: DataFrame, forest: Forest | None = None, text: str = "text", path: str = "source") -> DataFrame:
     """docs with every occurrence of each secret found in a text replaced by [SECRET]; other columns as they are.
 
-    A value is replaced at all its places if it is a secret at one of them. A null text stays null, repeated rows
+    Secrets leave in no column, whatever names docs has. A value is replaced at all its places if it is a secret at one of them. A null text stays null, repeated rows
     stay each, an empty table stays empty.
     """
     secret = F.filter(scored(F.col(text), F.col(path).cast("string"), forest or trained_forest(docs.sparkSession)), lambda c: c["secret"])
     # Longest first, so that no secret is cut by one that it contains.
     values = F.transform(F.sort_array(F.array_distinct(F.transform(secret, lambda c: F.struct(F.char_length(c["value"]).alias("n"), c["value"].alias("value")))), asc=False), lambda c: c["value"])
-    held = docs.withColumn("__secrets", values)
-    clean = F.when(F.size("__secrets") > 0, F.aggregate("__secrets", F.col(text), lambda t, v: F.replace(t, v, F.lit(REDACTED)))).otherwise(F.col(text))
-    return held.withColumn(text, clean).select(*docs.columns)
+    (hidden,) = fresh(docs.columns, "found")  # a column that docs does not have, and that does not leave here
+    held = docs.withColumn(hidden, values)
+    clean = F.when(F.size(hidden) > 0, F.aggregate(hidden, named(text), lambda t, v: F.replace(t, v, F.lit(REDACTED)))).otherwise(named(text))
+    return held.select(*(clean.alias(c) if c == text else named(c) for c in docs.columns))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.shared import discard, written
+from barline.llm.shared import discard, fresh, named, written
 
 SEED = 42
 
@@ -507,18 +507,19 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc: str
     The keys of the rows that go meet docs in a join: broadcast up to ``most`` of them, as 2 million take some 100 MB,
     so texts do not move; beyond that they are shuffled, texts included.
     """
-    rows = similar_rows(docs.select(doc, text), similarity, words, doc, text)
+    rows = similar_rows(docs.select(named(doc), named(text)), similarity, words, doc, text)
     stays = F.col("component") == F.struct(*ROW_KEY)
     gone = written(rows.where(~stays).select(*ROW_KEY).distinct())
     again = written(rows.where(stays).groupBy(*ROW_KEY).count().where("count > 1").drop("count"))
     discard(rows)
-    names = [f"__{k}" for k in ROW_KEY]
+    names = fresh(docs.columns, *ROW_KEY)
+    others = fresh([*docs.columns, *names], *(f"{n} of" for n in names))
     told = docs.select("*", *(c.alias(n) for c, n in zip(row_key(doc, text), names, strict=True)))
 
     def meets(keys: DataFrame) -> tuple[DataFrame, Column]:
-        listed = keys.toDF(*(f"{n}_" for n in names))
+        listed = keys.toDF(*others)
         small = F.broadcast(listed) if keys.count() <= most else listed.hint("shuffle_hash")
-        same = [F.col(n).eqNullSafe(F.col(f"{n}_")) if n == "__doc" else F.col(n) == F.col(f"{n}_") for n in names]
+        same = [named(n).eqNullSafe(named(o)) if k == "doc" else named(n) == named(o) for k, n, o in zip(ROW_KEY, names, others, strict=True)]
         return small, reduce(and_, same)
 
     once = told.join(*meets(gone), "left_anti")

@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2000, dictionary_docs: i
     rng.shuffle(runs)
     model = Toxicity(trained(runs[:150_000], ordinary_bytes), trained([b"".join(told[k : k + 4]) for k in range(0, len(told), 4)], toxic_bytes), window)
     seen = _measured(sample.where("NOT fitting").select("toxic", "body"), model, ["toxic"], "toxic int").toPandas()
-    shares = {r["t"]: r["count"] for r in labels.where(F.col(label).isNotNull()).groupBy((F.col(label) > 0).cast("int").alias("t")).count().collect()}
+    shares = {r["t"]: r["count"] for r in labels.where(F.col(label).isNotNull() & ~held_out(F.col(doc))).groupBy((F.col(label) > 0).cast("int").alias("t")).count().collect()}
     discard(sample)
     y, x = seen["toxic"].to_numpy(float), seen.drop(columns="toxic").to_numpy(float)
     if y.all() or not y.any():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,24 +59,56 @@ def parse_head(head: bytes) -> dict[bytes, bytes]:
     return out
 
 
-def parse_records(data: bytes) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
-    """Offset, header and bytes (closing lines included) of each record of an uncompressed WARC file."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = parse_head(data[at:end])
+def unpacked(raw: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The contents of a file, plain or of one or more gzip members, what ``step`` of its bytes hold at a time."""
+    if raw[:2] != b"\x1f\x8b":
+        yield from (raw[k : k + step] for k in range(0, len(raw), step))
+        return
+    member, fed = zlib.decompressobj(31), False
+    for k in range(0, len(raw), step):
+        rest = raw[k : k + step]
+        while rest:
+            yield member.decompress(rest)
+            rest, fed = member.unused_data, not member.eof
+            if member.eof:
+                member = zlib.decompressobj(31)
+    if fed:
+        raise ValueError("the file is cut off")
+
+
+def parse_records(pieces: Iterable[bytes] | bytes) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
+    """Offset, header and bytes (closing lines included) of each record of an uncompressed WARC file, given in pieces.
+
+    One record and one piece are held.
+    """
+    held, at, source = bytearray(), 0, iter([pieces] if isinstance(pieces, bytes) else pieces)
+
+    def more() -> bool:
+        piece = next(source, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                if held:
+                    raise ValueError(f"the record at {at} is cut off")
+                return
+        head = parse_head(bytes(held[:end]))
         stop = end + 4 + int(head[b"content-length"]) + 4
-        if stop > len(data):
-            raise ValueError(f"the record at {at} is cut off")
-        yield at, head, data[at:stop]
-        at = stop
+        while len(held) < stop:
+            if not more():
+                raise ValueError(f"the record at {at} is cut off")
+        yield at, head, bytes(held[:stop])
+        del held[:stop]
+        at += stop
 
 
 def read_archive(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     """segment (file name without its run-specific part), seq, offset, length, page_id and digest of every record.
 
     content adds record, the text without the closing lines. Each file is read by one task, and up to 1,000 records
-    or 8 MB leave it at once; files are to be of a size that a task can hold. A record without a page's number has
+    or 2 MB leave it at once; it is unpacked piece by piece, so a task holds the packed file and a record. A record without a page's number has
     a null page_id; repeated records come back each; an archive without records gives no rows.
     """
     kinds, names = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()], ["segment", "seq", "offset", "length", "page_id", "digest", "record"]
@@ -88,14 +120,12 @@ def read_archive(spark: SparkSession, path: str, content: bool = False) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = held.as_py()
-                data = zlib.decompress(raw, 47) if raw[:2] == b"\x1f\x8b" else raw
                 segment, rows, size = int((re.search(r"/file=(\d+)/", name) or re.search(r"part-(\d+)", name))[1]), [], 0
-                for k, (at, head, record) in enumerate(parse_records(data)):
+                for k, (at, head, record) in enumerate(parse_records(unpacked(held.as_py()))):
                     page = re.fullmatch(rb"<urn:page:(-?\d+)>", head.get(b"warc-record-id", b""))
                     rows.append((segment, k, at, len(record), int(page[1]) if page else None, hashlib.sha256(record).digest(), *([record[:-4].decode()] if content else [])))
                     size += len(record) if content else 100
-                    if len(rows) == 1000 or size > 8_000_000:
+                    if len(rows) == 1000 or size > 2_000_000:
                         yield batch_of(rows)
                         rows, size = [], 0
                 if rows:

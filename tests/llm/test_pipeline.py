@@ -77,6 +77,28 @@ def test_each_stage_on_edge_rows_and_an_empty_table(spark, edge_docs, no_docs, p
     assert stage(spark, no_docs, "").count() == 0
 
 
+CLASHING = ["__secrets", "found", "__doc", "doc", "no_doc", "k1", "__k1", "__no_doc", "a.b", "a`b", "kept", "n_words", "__words", "own kept", "__judged", "component", "print"]
+
+
+@pytest.mark.parametrize("place", range(len(pipeline.STAGES) - 1))
+def test_columns_of_any_name_pass_with_their_values(spark, place):
+    rng, key = np.random.default_rng(5), hashlib.sha1(b"1").hexdigest()
+    rows = [(k, prose(rng, 60), "en", "web", 7, *(f"{c} {k}" for c in CLASHING)) for k in range(6)]
+    rows += [(9, rows[0][1], *rows[0][2:]), rows[1], (10, f"{prose(rng, 40)} token = \"{key}\" {prose(rng, 20)}", "en", "web", 7, *("x" for _ in CLASHING))]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHING]
+    table = spark.createDataFrame(rows, ", ".join(f"`{n.replace('`', '``')}` {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    made = pipeline.STAGES[place][1](spark, table, "")
+    assert made.columns == names
+    held = {(r[0], *r[5:]) for r in map(tuple, rows)}
+    found = [tuple(r) for r in made.collect()]
+    assert found and {(r[0], *r[5:]) for r in found} <= held
+    if place == 1:
+        assert sorted(r[0] for r in found) == [0, 1, 2, 3, 4, 5, 10]
+    else:
+        assert len(found) == len(rows)
+    assert (key in str(found)) == (place != 2)
+
+
 def test_the_stages_reread_what_was_written(spark):
     sf = "/root/testdata/sf0.001"
     first = spark.read.parquet(f"{sf}/documents.parquet")
@@ -86,4 +108,4 @@ def test_the_stages_reread_what_was_written(spark):
 
 def test_every_operator_has_one_query():
     numbers = [n.split("_")[0] for n in QUERIES]
-    assert sorted(numbers, key=lambda n: int(n[2:])) == [f"op{n}" for n in range(1, 11)]
+    assert sorted(numbers, key=lambda n: int(n[2:])) == [f"op{n}" for n in range(1, 14)]

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import textwrap
 import unicodedata
 import zlib
 from collections import Counter
@@ -242,6 +243,15 @@ def test_secrets(spark, docs, edge_docs, no_docs):
         assert secrets.redact(table).exceptAll(table).count() == 0 and secrets.redact(table).count() == table.count()
 
 
+def test_known_texts_are_found_at_any_wrap(spark):
+    """Paragraphs wrapped at 40 to 100 columns, as licence files are."""
+    rows = [(n, name, "Copyright (c) 2001 A. Person\n\n" + "\n\n".join(textwrap.fill(" ".join(part.split()), width, break_on_hyphens=False) for part in text.split("\n\n"))) for n, (name, text, width) in enumerate((n, t, w) for n, some in licenses.TEXTS.items() for t in some if len(t) > 400 for w in range(40, 101))]
+    table = spark.createDataFrame([(n, t) for n, _, t in rows], "doc_id long, text string").repartition(8)
+    found = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(table).where("unit = 0").collect()}
+    assert found == {n: name for n, name, _ in rows}
+    assert {"ISC", "MIT", "BSD-2-Clause", "BSD-3-Clause"} <= set(found.values())
+
+
 def test_licenses(spark, edge_docs, no_docs):
     mit = licenses.TEXTS["MIT"][0]
     changed = "Copyright (c) 2020 Someone\n\n" + mit.replace("sublicense", "sub-license").replace(",", " ;").upper()
