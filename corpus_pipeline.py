@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.llm import packing, quality, secrets, simhash
-from barline.llm.shared import discard, written
+from barline.llm.shared import discard, fresh, named, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +19,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text has no words and goes; a null id or language does not matter; repeated rows are judged each.
     """
-    own = {c: f"own {c}" for c in docs.columns if c in quality.RESULTS}  # columns of docs named like a result
-    judged = quality.quality(docs.withColumns({v: F.col(c) for c, v in own.items()}) if own else docs)
-    return judged.where("kept").select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
+    own = [c for c in docs.columns if c in quality.RESULTS]  # columns of docs named like a result
+    aside = dict(zip(own, fresh(docs.columns, *(f"own {c}" for c in own)), strict=True))
+    judged = quality.quality(docs.withColumns({v: F.col(c) for c, v in aside.items()}) if own else docs)
+    return judged.where("kept").select(*(named(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
