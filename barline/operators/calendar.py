@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.columns import backward_fill, forward_fill
+from barline.operators.blocks import time_block
 
 
 def sessions(bounds: DataFrame, start: str = "start", end: str = "end", holidays: DataFrame | None = None) -> DataFrame:
@@ -25,15 +26,35 @@ def present_sessions(panel: DataFrame) -> DataFrame:
     return panel.select("date").distinct()
 
 
+def _with_gaps(panel: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Rows of panel on sessions with __gaps, the sessions from there to the asset's next row that have none.
+
+    The first row of an asset also has the sessions before it; an asset without any row on a session has one row
+    here, with all sessions (its __at is 0). The list of sessions is one row, 15,000 days in 60 years, and an asset
+    has no more rows than sessions but for repeats.
+    """
+    listed = calendar.agg(F.sort_array(F.collect_set("date")).alias("__days"))
+    at = F.coalesce(F.array_position("__days", F.col("date")), F.lit(0))
+    w = Window.partitionBy("asset").orderBy("__at", "date")  # rows off sessions come first
+    ahead, behind = F.lead("__at", 1).over(w), F.lag("__at", 1).over(w)
+    known = panel.join(F.broadcast(listed)).withColumn("__at", at).withColumns({"__next": ahead, "__first": F.coalesce(behind, F.lit(0)) == 0})
+    placed = known.where("__at > 0 OR __next IS NULL")
+    after = F.slice("__days", F.col("__at") + 1, F.greatest(F.coalesce("__next", F.size("__days") + 1) - F.col("__at") - 1, F.lit(0)))
+    before = F.slice("__days", F.lit(1), F.greatest(F.col("__at") - 1, F.lit(0)))
+    return placed.withColumn("__gaps", F.when(F.col("__first"), F.concat(before, after)).otherwise(after))
+
+
 def align(panel: DataFrame, calendar: DataFrame) -> DataFrame:
     """One row for each session and asset; gaps are null, other days are dropped.
 
-    The grid is a session list for each asset: as many rows as the result has.
+    Each row explodes to its own session and those without a row up to the asset's next one, so the panel is read
+    once and joined with nothing but the list of sessions. Rows that repeat a day stay.
     """
-    dates = calendar.agg(F.sort_array(F.collect_set("date")).alias("dates"))
-    assets = panel.select("asset").distinct()
-    grid = assets.join(F.broadcast(dates)).select("asset", F.explode("dates").alias("date"))
-    return grid.join(panel, ["asset", "date"], "left")
+    values = [c for c in panel.columns if c not in ("asset", "date")]
+    dates = F.concat(F.when(F.col("__at") > 0, F.array("date")).otherwise(F.array().cast("array<date>")), F.col("__gaps"))
+    out = _with_gaps(panel, calendar).select("asset", F.col("date").alias("__own"), *(f"`{c}`" for c in values), F.explode(dates).alias("date"))
+    here = F.col("date") == F.col("__own")
+    return out.select("asset", "date", *(F.when(here, F.col(f"`{c}`")).alias(c) for c in values))
 
 
 def daily_last(ticks: DataFrame, columns: list[str], ts: str = "ts") -> DataFrame:
@@ -60,18 +81,31 @@ def risk_free_on(rates: DataFrame, calendar: DataFrame, percent: str = "percent"
     return aligned.select("date", (forward_fill(F.col(percent), "one") / 100).alias("risk_free_annual"))
 
 
-def as_of(days: DataFrame, slow: DataFrame, value: str) -> DataFrame:
-    """The latest value of a slow series on or before each day: both are merged in time order and filled forward."""
-    merged = days.select("date", F.lit(None).cast("double").alias(value), F.lit(1).alias("wanted")).unionByName(slow.select("date", F.col(value).cast("double").alias(value), F.lit(0).alias("wanted")))
-    filled = merged.withColumn("one", F.lit(1)).groupBy("one", "date").agg(F.max(value).alias(value), F.max("wanted").alias("wanted"))
-    return filled.withColumn(value, forward_fill(F.col(value), "one")).where("wanted = 1").select("date", value)
+def as_of(days: DataFrame, slow: DataFrame, value: str, key: str | None = None, block: Column | None = None) -> DataFrame:
+    """The latest value of a slow series on or before each row of days, by key if one is given.
+
+    Both are merged in time order and filled forward within blocks of time (a year by default); the last value of
+    each block, one row a block, is handed on to the blocks after it.
+    """
+    keys = [key] if key else []
+    of, at = ([F.col(key).alias("__k")] if key else [F.lit(1).alias("__k")]), (time_block("date") if block is None else block)
+    # Days are counted and values of one day reduced before anything is sorted.
+    wanted = days.groupBy(*of, "date").agg(F.count("*").alias("__wanted"), F.lit(None).cast("double").alias("__v"))
+    known = slow.where(F.col(value).isNotNull()).groupBy(*of, "date").agg(F.lit(0).cast("long").alias("__wanted"), F.max(F.col(value).cast("double")).alias("__v"))
+    merged = wanted.unionByName(known).groupBy("__k", "date").agg(F.max("__v").alias("__v"), F.sum("__wanted").alias("__wanted")).withColumn("__block", at)
+    ends = merged.groupBy("__k", "__block").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("date"))).alias("__end"))
+    earlier = Window.partitionBy("__k").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select(F.col("__k").alias("__of"), F.col("__block").alias("__b"), F.last("__end", ignorenulls=True).over(earlier).alias("__held"))
+    met = merged.join(handed, F.col("__k").eqNullSafe(F.col("__of")) & F.col("__block").eqNullSafe(F.col("__b")))
+    inside = Window.partitionBy("__k", "__block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    filled = met.withColumn("__now", F.coalesce(F.last("__v", ignorenulls=True).over(inside), "__held")).where("__wanted > 0")
+    rows = filled.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__wanted")))
+    return rows.select(*([F.col("__k").alias(key)] if keys else []), "date", F.col("__now").alias(value))
 
 
 def gap_report(panel: DataFrame, calendar: DataFrame) -> DataFrame:
     """Sessions that an asset has no row for."""
-    dates = calendar.agg(F.sort_array(F.collect_set("date")).alias("dates"))
-    grid = panel.select("asset").distinct().join(F.broadcast(dates)).select("asset", F.explode("dates").alias("date"))
-    return grid.join(panel.select("asset", "date"), ["asset", "date"], "left_anti")
+    return _with_gaps(panel.select("asset", "date"), calendar).select("asset", F.explode("__gaps").alias("date"))
 
 
 def common_dates(panel: DataFrame, value: str) -> DataFrame:

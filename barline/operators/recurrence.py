@@ -1,25 +1,29 @@
-"""Exponential smoothing by windows alone.
+"""Exponential smoothing as a scan over blocks of rows that are dealt apart.
 
 Over the rows with a value, smoothing without adjustment is y = a * y_before + b: after a gap of k rows
-a = d / (d + alpha) and b = alpha * x / (d + alpha) with d = (1 - alpha) ** k; the first value has a = 0, b = x.
-Rows are cut into blocks before the product of a leaves double range. In a block y = A * carry + S with running
-sums. A row's carry is a fold over the ends (A, S) of the blocks before it in a group of blocks, and over the ends
-of the groups before; windows bring those to the row, so the input is read once and nothing is joined.
+a = d / (d + alpha) and b = alpha * x / (d + alpha) with d = (1 - alpha) ** k; the first value of all is y itself.
+So within a block y = A * first + S, where first is y at the block's first value and A, S come from running sums.
+Only what blocks end with (A, S, counts and gaps) is gathered, one row a block, and folded in order of time; that
+gives each block the y before it and its first y.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from barline.functions.columns import by_time, so_far
+from barline.operators.blocks import deal, gather
+from barline.sources.scratch import written
 
-#: The decay that a block may have, as a natural logarithm; with one gap's clamp it stays in double range.
+#: The decay over which sums run at once, as a natural logarithm; with one gap's clamp it stays in double range.
 SPAN = 300.0
-#: Blocks in a group.
-GROUP = 64
 
 
 @dataclass(frozen=True)
@@ -32,47 +36,93 @@ class Smoothing:
     least: int
 
 
-def _after(first: Column, then: Column) -> Column:
-    """The step (A, S), which is y -> A * y + S, of two steps in turn."""
-    return F.struct((then["A"] * first["A"]).alias("A"), (then["A"] * first["S"] + then["S"]).alias("S"))
+def decay(alpha: float, k: np.ndarray | int) -> np.ndarray | float:
+    return np.maximum((1 - alpha) ** np.asarray(k, float), 1e-100)
 
 
-def smooth(df: DataFrame, specs: list[Smoothing], key: str = "asset", order: str = "date") -> DataFrame:
-    """Adds all of ``specs`` in one pass: windows by key that share one exchange, in two sort orders.
+def chained(x: np.ndarray, at: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """A and S of the values ``x`` at rows ``at``: y = A * first + S."""
+    d = decay(alpha, np.diff(at))
+    b, spent = alpha * x[1:] / (d + alpha), np.cumsum(-np.log(d / (d + alpha)))
+    A, S = np.ones(len(x)), np.zeros(len(x))
+    edges = np.append(np.flatnonzero(np.diff(np.floor(spent / SPAN), prepend=-1)), len(spent))
+    for start, stop in zip(edges[:-1], edges[1:], strict=True):
+        p = np.exp((spent[start - 1] if start else 0.0) - spent[start:stop])
+        A[start + 1 : stop + 1] = p * A[start]
+        S[start + 1 : stop + 1] = p * (S[start] + np.cumsum(b[start:stop] / p))
+    return A, S
+
+
+def smooth(df: DataFrame, specs: list[Smoothing], key: str = "asset", order: str = "date", rows: int | None = None, bucket: Column | None = None, dealt: bool = False) -> DataFrame:
+    """Adds all of ``specs`` in one pass over blocks of up to ``rows`` rows.
 
     A missing value decays the weight of what came before and shows the last result, as a series' own smoothing does.
+    dealt: df comes from deal(), perhaps with columns added by windows over its key, and so does the result, without
+    the rows that stood beside blocks; it may then be passed on. Block results are written once, since both their
+    ends and their rows are needed.
     """
-    w, running = by_time(key, order), so_far(key, order)
-    hidden = lambda name, i: f"__{name}{i}"
-    every, values = range(len(specs)), list(dict.fromkeys(s.value for s in specs))
-    of = [values.index(s.value) for s in specs]
-    out = df.withColumn("__row", F.row_number().over(w))
-    seen = {hidden("seen", j): F.count(v).over(running) for j, v in enumerate(values)}
-    last = {hidden("last", j): F.max(F.when(F.col(v).isNotNull(), F.col("__row"))).over(w.rowsBetween(Window.unboundedPreceding, -1)) for j, v in enumerate(values)}
-    out = out.withColumns(seen | last)  # one pass for all: what is added at once shares a window
-    steps = {}
+    if not dealt:
+        return gather(smooth(deal(df, 0, 0, rows, key, order, bucket), specs, key, order, dealt=True), key).select(*df.columns, *(s.out for s in specs))
+    values = list(dict.fromkeys(s.value for s in specs))
+    own = df.where("__own")
+    extra = [StructField(f"__{n}{i}", DoubleType()) for i in range(len(specs)) for n in "AS"] + [StructField(f"__n{j}", LongType()) for j in range(len(values))] + [StructField("__end", ArrayType(DoubleType()))]
+    schema = StructType([*own.schema.fields, *extra])
+    arrow = [pa.float64()] * (2 * len(specs)) + [pa.int64()] * len(values) + [pa.list_(pa.float64())]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One block: its rows with A and S of each series, values seen so far, and on the last row what it ends with."""
+        block = pa.concat_batches(list(batches))
+        m, found, counts, end = len(block), [], [], [float(len(block))]
+        known = {}
+        for v in values:
+            x = block[v].cast(pa.float64()).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(~np.isnan(x))
+            seen = np.searchsorted(at, np.arange(m), "right")
+            known[v] = x[at], at, seen
+            counts.append(seen)
+            end += [len(at), x[at[0]], at[0], m - 1 - at[-1]] if len(at) else [0, 0, 0, 0]
+        for s in specs:
+            x, at, seen = known[s.value]
+            A, S = (chained(x, at, s.alpha)) if len(at) else (np.ones(1), np.zeros(1))
+            hidden, place = seen == 0, np.maximum(seen - 1, 0)
+            found += [pa.array(A[place], pa.float64(), mask=hidden), pa.array(S[place], pa.float64(), mask=hidden)]
+            end += [A[-1], S[-1]]
+        ends = pa.array([None] * (m - 1) + [end], arrow[-1])
+        yield pa.RecordBatch.from_arrays([*block.columns, *found, *(pa.array(c, pa.int64()) for c in counts), ends], [*block.schema.names, *(f.name for f in extra)])
+
+    scanned = written(own.groupBy(key).applyInArrow(scan, schema))
+    ends = scanned.where("__end IS NOT NULL").select(F.col(key)["of"].alias("__k"), F.col(key)["block"].alias("__b"), "__end")
+
+    def fold(table: pd.DataFrame) -> pd.DataFrame:
+        """What each block of a key starts with: y before it, its first y, and values seen before it."""
+        table = table.sort_values("__b")
+        seen, gap, y, out = [0] * len(values), [0.0] * len(values), [None] * len(specs), []
+        for end in table["__end"]:
+            m, told, tails = end[0], np.reshape(end[1 : 1 + 4 * len(values)], (-1, 4)), np.reshape(end[1 + 4 * len(values) :], (-1, 2))
+            held, first = list(y), [None] * len(specs)
+            for i, s in enumerate(specs):
+                j = values.index(s.value)
+                n, x, lead, _ = told[j]
+                if n:
+                    d = decay(s.alpha, gap[j] + lead + 1)
+                    first[i] = x if y[i] is None else (d * y[i] + s.alpha * x) / (d + s.alpha)
+                    y[i] = tails[i][0] * first[i] + tails[i][1]
+            out.append((held, first, list(seen)))
+            for j, (n, _, _, tail) in enumerate(told):
+                seen[j], gap[j] = seen[j] + int(n), tail if n else gap[j] + m
+        return pd.DataFrame({"__k": table["__k"].to_numpy(), "__b": table["__b"].to_numpy(), "__held": [o[0] for o in out], "__first": [o[1] for o in out], "__seen": [o[2] for o in out]})
+
+    kind = df.schema[key].dataType["of"].dataType.simpleString()
+    starts = ends.groupBy("__k").applyInPandas(fold, f"__k {kind}, __b long, __held array<double>, __first array<double>, __seen array<long>")
+    met = scanned.join(starts, F.col(key)["of"].eqNullSafe(F.col("__k")) & (F.col(key)["block"] == F.col("__b")))
+    results = {}
     for i, s in enumerate(specs):
-        present, before = F.col(s.value).isNotNull(), F.col(hidden("last", of[i]))
-        decay = F.greatest(F.pow(F.lit(1 - s.alpha), F.col("__row") - before), F.lit(1e-100))
-        steps[hidden("lna", i)] = F.when(present & before.isNotNull(), F.ln(decay / (decay + s.alpha))).otherwise(0.0)
-        steps[hidden("b", i)] = F.when(present, F.when(before.isNull(), F.col(s.value)).otherwise(s.alpha * F.col(s.value) / (decay + s.alpha))).otherwise(0.0)
-    out = out.withColumns(steps)
-    out = out.withColumn("__decline", F.greatest(*(-F.col(hidden("lna", i)) for i in every), F.lit(0.0)))
-    out = out.withColumn("__block", F.floor(F.sum("__decline").over(running) / SPAN))
-    out = out.withColumns({"__next": F.lead("__block", 1).over(w), "__group": F.floor(F.col("__block") / GROUP)})
-    # From here on rows are sorted by key, group, block and time.
-    inside = Window.partitionBy(key, "__group", "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumns({hidden("A", i): F.exp(F.sum(hidden("lna", i)).over(inside)) for i in every})
-    out = out.withColumns({hidden("S", i): F.col(hidden("A", i)) * F.sum(F.col(hidden("b", i)) / F.col(hidden("A", i))).over(inside) for i in every})
-    step = lambda i: F.struct(F.col(hidden("A", i)).alias("A"), F.col(hidden("S", i)).alias("S"))
-    none = F.struct(F.lit(1.0).alias("A"), F.lit(0.0).alias("S"))
-    ends = F.col("__next").isNull() | (F.col("__next") != F.col("__block"))
-    above = Window.partitionBy(key, "__group").orderBy("__block", order).rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumns({hidden("blocks", i): F.aggregate(F.collect_list(F.when(ends, step(i))).over(above), none, _after) for i in every})
-    # A group ends where its last block does; ten million rows of one key are some dozens of groups.
-    tops = F.col("__next").isNull() | (F.floor(F.col("__next") / GROUP) != F.col("__group"))
-    earlier = Window.partitionBy(key).orderBy("__group", "__block", order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = lambda i: F.aggregate(F.collect_list(F.when(tops, _after(F.col(hidden("blocks", i)), step(i)))).over(earlier), F.lit(0.0), lambda y, x: x["A"] * y + x["S"])
-    out = out.withColumns({hidden("carry", i): _after(F.struct(F.lit(0.0).alias("A"), whole(i).alias("S")), F.col(hidden("blocks", i)))["S"] for i in every})
-    results = {s.out: F.when(F.col(hidden("seen", of[i])) >= s.least, F.col(hidden("A", i)) * F.col(hidden("carry", i)) + F.col(hidden("S", i))) for i, s in enumerate(specs)}
-    return out.select(*df.columns, *(v.alias(k) for k, v in results.items()))
+        j = values.index(s.value)
+        y = F.when(F.col(f"__A{i}").isNull(), F.col("__held")[i]).otherwise(F.col(f"__A{i}") * F.col("__first")[i] + F.col(f"__S{i}"))
+        results[s.out] = F.when(F.col("__seen")[j] + F.col(f"__n{j}") >= s.least, y)
+    return met.select(*df.columns, *(v.alias(k) for k, v in results.items()))
+
+
+def again(df: DataFrame, key: str = "asset", order: str = "date") -> DataFrame:
+    """A smoothed table in the shape that smooth() takes: dealt by block and sorted."""
+    return df.repartition(key).sortWithinPartitions(key, order)

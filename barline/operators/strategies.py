@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +43,13 @@ def weighted_returns(returns: DataFrame, weights: DataFrame, r: str = "r") -> Da
     return returns.join(weights, "asset").groupBy("portfolio", "date").agg(F.coalesce(F.sum(F.col("weight") * F.col(r)), F.lit(0.0)).alias("r"))
 
 
-def wide(panel: DataFrame, assets: list[str], value: str = "close") -> DataFrame:
-    return panel.groupBy("date").pivot("asset", assets).agg(F.first(value))
+def wide(panel: DataFrame, assets: list[str] | None = None, value: str = "close", most: int = 10_000) -> DataFrame:
+    """date and one column for each asset, by default all that the panel has, which may be ``most`` at most."""
+    if assets is None:
+        assets = [r["asset"] for r in panel.select("asset").distinct().orderBy("asset").limit(most + 1).collect()]
+        if len(assets) > most:
+            raise ValueError(f"more than {most} assets make no wide table")
+    return panel.groupBy("date").pivot("asset", assets).agg(F.first(value, ignorenulls=True))
 
 
 def moments(pairs: DataFrame) -> DataFrame:
@@ -80,8 +87,26 @@ def best_weight(scored: DataFrame, score: str) -> DataFrame:
     return scored.agg(best.alias("b")).select((-F.col("b.v")).alias("w"), F.col("b.score").alias("score"))
 
 
-def covariances(returns: DataFrame, r: str = "r") -> DataFrame:
-    """The covariance of every two assets (a <= b) in long form, by a join on date."""
-    left = returns.select("date", F.col("asset").alias("a"), F.col(r).alias("x")).where("x IS NOT NULL")
-    right = returns.select("date", F.col("asset").alias("b"), F.col(r).alias("y")).where("y IS NOT NULL")
-    return left.join(right, "date").where("a <= b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.count("*").alias("n"))
+def covariances(returns: DataFrame, r: str = "r", block: Column | None = None) -> DataFrame:
+    """The covariance of every two assets (a <= b) in long form, over the dates on which both have a return.
+
+    A Gram matrix: each block of dates (a month by default) becomes one matrix of dates by assets, whose products
+    give counts, sums and sums of products of all pairs at once; these are added up by pair. Nothing is joined. A block
+    holds dates times assets, and its result assets squared, which is what the result has.
+    """
+    kind = returns.schema["asset"].dataType.simpleString()
+    rows = returns.select("date", "asset", F.col(r).cast("double").alias("r")).where("r IS NOT NULL").withColumn("block", F.trunc("date", "month") if block is None else block)
+
+    def gram(table: pd.DataFrame) -> pd.DataFrame:
+        at, assets = pd.factorize(table["asset"], sort=True)
+        day = pd.factorize(table["date"])[0]
+        x, n = np.zeros((day.max() + 1, len(assets))), np.zeros((day.max() + 1, len(assets)))
+        x[day, at], n[day, at] = table["r"], 1
+        i, j = np.triu_indices(len(assets))
+        # Moments about 0 of returns, which are small; both sums are over common dates.
+        each = [m[i, j] for m in (n.T @ n, x.T @ n, n.T @ x, x.T @ x)]
+        return pd.DataFrame({"a": assets[i], "b": assets[j], "n": each[0].astype("int64"), "sx": each[1], "sy": each[2], "sxy": each[3]})
+
+    parts = rows.groupBy("block").applyInPandas(gram, f"a {kind}, b {kind}, n long, sx double, sy double, sxy double").where("n > 0")
+    sums = parts.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")))
+    return sums.select("a", "b", F.when(F.col("n") > 1, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)).alias("cov"), "n")

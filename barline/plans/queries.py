@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barline.functions import columns as C
 from barline.operators import calendar as cal
-from barline.operators import cash, checks, execution, features, indicators, kpis, normalize, portfolio, strategies
+from barline.operators import blocks, cash, checks, execution, features, indicators, kpis, normalize, portfolio, strategies
 from barline.plans import clean, sql
 from barline.sources import fixtures, manifest, provider, tables
 from barline.sources.scratch import shared_dir, written
@@ -350,17 +350,17 @@ def _rolled(aggregate: str, value: str, n: int, least: int | None = None) -> str
 
 @registered("d3_dollar_volume", _sql_cuts("asset, date", {"adv": (_rolled("avg", "close * volume", 20), 2)}) + " FROM panel", "panel")
 def d3(s, d):
-    return _cuts(features.dollar_volume(panel(s, d), 20, "adv"), KEYS, {"adv": 2})
+    return _cuts(blocks.in_blocks(panel(s, d), lambda p: features.dollar_volume(p, 20, "adv"), 19), KEYS, {"adv": 2})
 
 
 @registered("d4_spread_beta", _sql_cuts("asset, date", {"beta": (_rolled("avg", "beta", 3), 6)}) + " FROM terms", "terms")
 def d4(s, d):
-    return _cuts(features.spread_terms(bars(s, d), 3).withColumnRenamed("spread_beta", "beta"), KEYS, {"beta": 6})
+    return _cuts(blocks.in_blocks(bars(s, d), lambda p: features.spread_terms(p, 3), 3).withColumnRenamed("spread_beta", "beta"), KEYS, {"beta": 6})
 
 
 @registered("d5_spread_gamma", _sql_cuts("asset, date", {"gamma": ("gamma", 6)}) + " FROM terms", "terms")
 def d5(s, d):
-    return _cuts(features.spread_terms(bars(s, d)).withColumnRenamed("spread_gamma", "gamma"), KEYS, {"gamma": 6})
+    return _cuts(blocks.in_blocks(bars(s, d), features.spread_terms, 1).withColumnRenamed("spread_gamma", "gamma"), KEYS, {"gamma": 6})
 
 
 @registered("d6_spread_alpha", _sql_cuts("asset, date", {"alpha": ("alpha", 6)}) + " FROM spreads", "spreads")
@@ -398,12 +398,12 @@ def d11(s, d):
 
 @registered("e1_rolling", _sql_cuts("asset, date", {"mean": (_rolled("avg", "close", 20, 5), 3)}) + " FROM panel", "panel")
 def e1(s, d):
-    return _cuts(panel(s, d).withColumn("mean", C.rolling(F.avg("close"), F.col("close"), 20, least=5)), KEYS, {"mean": 3})
+    return _cuts(blocks.in_blocks(panel(s, d), lambda p: p.withColumn("mean", C.rolling(F.avg("close"), F.col("close"), 20, least=5)), 19), KEYS, {"mean": 3})
 
 
 @registered("e2_sma", _sql_cuts("asset, date", {"sma": (_rolled("avg", "close", 20), 3)}) + " FROM panel", "panel")
 def e2(s, d):
-    return _cuts(panel(s, d).withColumn("sma", indicators.sma(F.col("close"), 20)), KEYS, {"sma": 3})
+    return _cuts(blocks.in_blocks(panel(s, d), lambda p: p.withColumn("sma", indicators.sma(F.col("close"), 20)), 19, rows=500), KEYS, {"sma": 3})
 
 
 def _ema(name: str, value: str, span: int, source: str = "panel") -> dict[str, str]:
@@ -450,7 +450,7 @@ _BANDS = {"bollinger_middle_band_20_2_0": ("mid", 3), "bollinger_upper_band_20_2
 
 @registered("e6_bollinger", _sql_cuts("asset, date", _BANDS) + f" FROM (SELECT asset, date, {_MID} AS mid, {_STD} AS sd FROM panel)", "panel")
 def e6(s, d):
-    return _cuts(indicators.bollinger(panel(s, d)), KEYS, {k: v for k, (_, v) in _BANDS.items()})
+    return _cuts(blocks.in_blocks(panel(s, d), indicators.bollinger, 19), KEYS, {k: v for k, (_, v) in _BANDS.items()})
 
 
 _CCI = "(SELECT asset, date, tp, CASE WHEN len(xs) = 20 THEN list_avg(xs) END AS m, xs FROM (SELECT asset, date, (high + low + close) / 3 AS tp, list((high + low + close) / 3) " + _W.format(19) + " AS xs FROM bars))"
@@ -458,7 +458,7 @@ _CCI = "(SELECT asset, date, tp, CASE WHEN len(xs) = 20 THEN list_avg(xs) END AS
 
 @registered("e7_cci", _sql_cuts("asset, date", {"commodity_channel_index_20": ("(tp - m) / nullif(0.015 * list_avg(list_transform(xs, lambda x: abs(x - m))), 0)", 4)}) + f" FROM {_CCI}", "bars")
 def e7(s, d):
-    return _cuts(indicators.cci(bars(s, d)), KEYS, {"commodity_channel_index_20": 4})
+    return _cuts(blocks.in_blocks(bars(s, d), indicators.cci, 19), KEYS, {"commodity_channel_index_20": 4})
 
 
 def _adx(source: str) -> dict[str, str]:
@@ -680,12 +680,10 @@ def h9(s, d):
     return _cuts(strategies.weighted_returns(returns(s, d), weights), ["portfolio", "date"], {"r": 8})
 
 
-ASSETS = ("AF", "NF", "NO", "RF", "RO")
-
-
-@registered("h10_wide", "SELECT date, " + ", ".join(f"first(close) FILTER (asset = '{a}') AS \"{a}\"" for a in ASSETS) + " FROM bars GROUP BY date", "bars")
+@registered("h10_wide", "SELECT * FROM (PIVOT (SELECT date, asset, close FROM bars) ON asset USING first(close) GROUP BY date)", "bars")
 def h10(s, d):
-    return strategies.wide(bars(s, d), list(ASSETS))
+    """All assets that the table has."""
+    return strategies.wide(bars(s, d))
 
 
 @registered("h12_weight_grid", "SELECT w, " + ", ".join(f"{sql.cut(e, 6)} AS {n}" for n, e in _SCORES.items()) + " FROM grid", "grid")
