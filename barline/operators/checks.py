@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -54,3 +55,29 @@ def require_columns(table: DataFrame, required: list[str]) -> None:
 def require_no_asset(panel: DataFrame, asset: str) -> None:
     if not panel.where(F.col("asset") == asset).isEmpty():
         raise ValueError(f"{asset} is there already")
+
+
+def watched(panel: DataFrame, not_negative: list[str] | None = None, absent: str | None = None, unique: bool = True) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """panel, and a function that gives the counts of what is wrong once a job over it has run.
+
+    The counts n_rows, n_duplicates (rows whose asset and date the row before has), n_negative (rows with a negative
+    value in ``not_negative``) and n_absent (rows of the asset ``absent``) are gathered by the tasks of that job, for
+    instance a write: no check runs a job of its own. ``unique`` needs rows by asset and date, which a write by asset
+    has anyway; without it n_duplicates is 0.
+    """
+    found, seen = Observation(), panel
+    twice = F.lit(False)
+    if unique:
+        seen = panel.withColumn("__again", F.coalesce(F.col("date") == F.lag("date", 1).over(Window.partitionBy("asset").orderBy("date")), F.lit(False)))
+        twice = F.col("__again")
+    below = reduce(or_, (F.coalesce(F.col(c) < 0, F.lit(False)) for c in not_negative or []), F.lit(False))
+    counts = {"n_rows": F.count(F.lit(1)), "n_duplicates": F.count_if(twice), "n_negative": F.count_if(below), "n_absent": F.count_if(F.coalesce(F.col("asset") == F.lit(absent), F.lit(False)))}
+    out = seen.observe(found, *(c.alias(n) for n, c in counts.items())).select(*(f"`{c}`" for c in panel.columns))
+    return out, lambda: dict(found.get)
+
+
+def require_clean(counts: dict[str, int]) -> None:
+    """Raises what the counts of watched() say is wrong, all of it at once."""
+    wrong = [f"{counts[n]} {what}" for n, what in (("n_duplicates", "duplicate keys"), ("n_negative", "rows with a negative value"), ("n_absent", "rows of an asset that must not be there")) if counts[n]]
+    if wrong:
+        raise ValueError("; ".join(wrong))

@@ -95,7 +95,7 @@ def covariances(returns: DataFrame, r: str = "r", block: Column | None = None) -
     holds dates times assets, and its result assets squared, which is what the result has.
     """
     kind = returns.schema["asset"].dataType.simpleString()
-    rows = returns.select("date", "asset", F.col(r).cast("double").alias("r")).where("r IS NOT NULL").withColumn("block", F.trunc("date", "month") if block is None else block)
+    rows = returns.select("date", "asset", F.col(r).cast("double").alias("r")).where("r IS NOT NULL AND NOT isnan(r)").withColumn("block", F.trunc("date", "month") if block is None else block)
 
     def gram(table: pd.DataFrame) -> pd.DataFrame:
         at, assets = pd.factorize(table["asset"], sort=True)

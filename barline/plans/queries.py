@@ -107,15 +107,31 @@ def a4(s, d):
     return provider.crypto_bars(files).select("asset", normalize.parse_date(F.col("date")).alias("date"), "close", "volume")
 
 
+def _broken(s: SparkSession, d: str) -> DataFrame:
+    return _month_files(s, d).withColumn("payload", F.when(F.col("asset") == "NF", "{broken").otherwise(F.col("payload")))
+
+
 @registered("a5_land_batch", "SELECT asset, date, open, high, low, close, volume FROM bars WHERE asset <> 'NF'", "bars")
 def a5(s, d):
-    """The rows landed of the assets that land() lists."""
-    path, files = shared_dir(s), _month_files(s, d).withColumn("payload", F.when(F.col("asset") == "NF", "{broken").otherwise(F.col("payload")))
-    landed = provider.land(provider.equity_bars(files), path)
-    rows = tables.load_parquet(s, path).join(landed, "asset", "left_semi")
+    """The rows of a table after two batches, one of which was landed twice; one asset's payloads cannot be read."""
+    path, files = shared_dir(s), written(_broken(s, d))
+    early = files.where(F.col("asset") < "O")
+    for batch, part in (("1", early), ("2", files.where(F.col("asset") >= "O")), ("1", early)):
+        provider.land_payloads(part, path, batch)
+    rows = tables.load_parquet(s, path)
     return rows.select("asset", normalize.parse_date(F.col("date")).alias("date"), "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"))
 
 
+@registered("a5_commits", "SELECT CASE WHEN asset < 'O' THEN '1' ELSE '2' END AS batch, asset, count(*) AS n_rows, CASE WHEN asset = 'NF' THEN 'rejected' ELSE 'landed' END AS state FROM bars WHERE asset <> 'NF' GROUP BY asset UNION ALL SELECT '1', 'NF', NULL, 'rejected'", "bars")
+def a5c(s, d):
+    """What the batches of a table landed and rejected."""
+    path, files = shared_dir(s), written(_broken(s, d))
+    bad = []
+    for batch, part in (("1", files.where(F.col("asset") < "O")), ("2", files.where(F.col("asset") >= "O"))):
+        bad.append(provider.land_payloads(part, path, batch)[1].select(F.lit(batch).alias("batch"), "asset", F.lit(None).cast("long").alias("n_rows"), F.lit("rejected").alias("state")))
+    return provider.commits(s, path).withColumn("state", F.lit("landed")).unionByName(bad[0]).unionByName(bad[1])
+
+
 @registered("a6_rate_json", "SELECT date, CASE WHEN day(date) % 5 <> 0 THEN percent END AS percent FROM rates", "rates")
 def a6(s, d):
     value = F.when(F.dayofmonth("date") % 5 == 0, ".").otherwise(F.col("percent").cast("string"))
@@ -135,6 +151,11 @@ def a8(s, d):
     return manifest.sha256_files(s, f"{d}/lineitem.parquet").select("sha256")
 
 
+@registered("a8_table_digest", "SELECT sha256(string_agg(digest, '' ORDER BY block)) AS sha256 FROM (SELECT o_orderkey // 4096 AS block, sha256(string_agg(sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus), '' ORDER BY o_orderkey, o_custkey, o_orderstatus)) AS digest FROM orders GROUP BY 1)")
+def a8d(s, d):
+    return manifest.table_digest(fixtures.table(s, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"], F.floor(F.col("o_orderkey") / 4096))
+
+
 _SUMMARY = "count(*) AS {0}_rows, CAST({1} AS BIGINT) AS {0}_cols, CAST(min(date) AS VARCHAR) AS {0}_from, CAST(max(date) AS VARCHAR) AS {0}_to, CAST(64 AS INTEGER) AS {0}_hash_length"
 
 
@@ -244,6 +265,19 @@ def b13(s, d):
     return b.groupBy("asset").agg(F.count("*").alias("n"))
 
 
+@registered(
+    "b13_watched_write",
+    "SELECT count(*) AS n_rows, count(*) FILTER (again) AS n_duplicates, count(*) FILTER (volume < 300) AS n_negative, count(*) FILTER (asset = 'NF') AS n_absent FROM (SELECT *, coalesce(date = lag(date) OVER (PARTITION BY asset ORDER BY date), false) AS again FROM (SELECT asset, CASE WHEN day(date) = 2 THEN date - 1 ELSE date END AS date, volume FROM bars))",
+    "bars",
+)
+def b13w(s, d):
+    """Counts of faults that the tasks of a write gathered: days moved onto others, volumes under 300, one asset."""
+    moved = bars(s, d).select("asset", F.when(F.dayofmonth("date") == 2, F.date_sub("date", 1)).otherwise(F.col("date")).alias("date"), (F.col("volume") - 300).alias("volume"))
+    checked, counts = checks.watched(moved, ["volume"], "NF")
+    tables.save_parquet(checked, shared_dir(s), by="asset")
+    return s.createDataFrame([counts()], "n_rows long, n_duplicates long, n_negative long, n_absent long")
+
+
 # C. Calendar, alignment, gap filling, checks
 
 

@@ -2,16 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def sha256_files(spark: SparkSession, path: str) -> DataFrame:
-    """path and sha256 of each file below a path, one task a file.
+def sha256_files(spark: SparkSession, path: str, most: int = 256 << 20) -> DataFrame:
+    """path and sha256 of each file below a path, one task a file at most.
+
+    Files of up to ``most`` bytes are read by Spark as one value each. Larger ones are streamed in the task, a
+    megabyte at a time, through the file systems that Arrow opens (local, HDFS, S3, GCS); elsewhere they are an error.
+    Spark does not list files without bytes, so these have no row.
+    """
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small = source.where(F.col("length") <= most).select("path", F.sha2("content", 256).alias("sha256"))
+
+    def stream(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for table in tables:
+            digests = []
+            for name in table["path"]:
+                system, inside = fs.FileSystem.from_uri(name if "//" in name or name.startswith("/") else name.replace(":/", ":///", 1))
+                held = hashlib.sha256()
+                with system.open_input_stream(inside) as file:
+                    while piece := file.read(1 << 20):
+                        held.update(piece)
+                digests.append(held.hexdigest())
+            yield pd.DataFrame({"path": table["path"], "sha256": digests})
+
+    # The content is not read for these: only the columns that are used are.
+    return small.unionByName(source.where(F.col("length") > most).select("path").mapInPandas(stream, "path string, sha256 string"))
+
+
+def table_digest(table: DataFrame, columns: list[str], block: Column) -> DataFrame:
+    """One row, sha256, of a table's content in the order of ``columns``, however it is laid out in files.
 
-    A file is read as one value, so one of 2 GB or more is an error; part files of a table are far smaller.
+    Rows are hashed as text with a bar between columns and a dash for null; the rows of a ``block`` (a rising function
+    of the first column, with as many rows as a task may hold) in order make its digest, and the blocks in order
+    make the table's. So digests are gathered, one a block, and no rows.
     """
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    told = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns))
+    rows = table.select(block.alias("block"), F.struct(*columns).alias("at"), F.sha2(told, 256).alias("digest"))
+    joined = lambda listed: F.sha2(F.array_join(F.transform(F.sort_array(listed), lambda x: x["digest"]), ""), 256)
+    blocks = rows.groupBy("block").agg(joined(F.collect_list(F.struct("at", "digest"))).alias("digest"))
+    return blocks.agg(joined(F.collect_list(F.struct("block", "digest"))).alias("sha256"))
 
 
 def table_summary(df: DataFrame, name: str) -> DataFrame:

@@ -43,10 +43,26 @@ def rejected(files: DataFrame, crypto: bool = False) -> DataFrame:
     return files.groupBy("asset").agg(F.bool_and(F.coalesce(F.size(days), F.lit(0)) <= 0).alias("bad")).where("bad").select("asset")
 
 
-def land(raw: DataFrame, path: str) -> DataFrame:
-    """Writes RAW by asset, and gives the assets written."""
-    save_parquet(raw, path, by="asset")
-    return raw.sparkSession.read.parquet(path).select("asset").distinct()
+def land(raw: DataFrame, path: str, batch: str = "0") -> DataFrame:
+    """Writes RAW by asset, and gives asset and n_rows of what this batch wrote.
+
+    Assets of the batch are replaced, others stay as earlier batches left them, so a batch may be landed again. Its
+    record (the rows given back) is kept in the table's folder _commits, where readers of the table do not look.
+    """
+    save_parquet(raw, path, by="asset", keep=True)
+    record = f"{path}/_commits/batch={batch}"
+    raw.groupBy("asset").agg(F.count("*").alias("n_rows")).coalesce(1).write.mode("overwrite").json(record)
+    return raw.sparkSession.read.schema("asset string, n_rows long").json(record)
+
+
+def land_payloads(files: DataFrame, path: str, batch: str = "0", crypto: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Lands the payloads that can be read, and gives what landed and the assets that were rejected."""
+    return land((crypto_bars if crypto else equity_bars)(files), path, batch), rejected(files, crypto)
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """batch, asset and n_rows of all batches landed in a table."""
+    return spark.read.schema("asset string, n_rows long, batch string").option("basePath", f"{path}/_commits").json(f"{path}/_commits/batch=*").select("batch", "asset", "n_rows")
 
 
 def observations(files: DataFrame) -> DataFrame:

@@ -17,10 +17,25 @@ def dealt(df: DataFrame, by: str) -> DataFrame:
     return df.repartition(by, F.substring(F.col("date").cast("string"), 1, 4)) if "date" in df.columns else df.repartition(by)
 
 
-def save_parquet(df: DataFrame, path: str, by: str | None = None) -> None:
-    """Overwrites a table, parents included; by: partition folders and one shuffle to them."""
+def load_ordered(spark: SparkSession, path: str, out: str = "file_order") -> DataFrame:
+    """A Parquet table with the place of each row: its file's path and its number in it, as a struct that sorts.
+
+    The place is the file's, so it is the same however rows are dealt to tasks; of repeated keys the last one in it
+    is the one written last (normalize.keep_last, or clean_panel with ``order``).
+    """
+    return spark.read.parquet(path).select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(out))
+
+
+def save_parquet(df: DataFrame, path: str, by: str | None = None, keep: bool = False) -> None:
+    """Writes a table, parents included; by: partition folders and one shuffle to them.
+
+    The table is replaced; with ``keep`` only the folders that df has rows for are, and the others stay.
+    """
     if by:
-        dealt(df, by).write.mode("overwrite").partitionBy(by).parquet(path)
+        mode = "dynamic" if keep else "static"
+        dealt(df, by).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(by).parquet(path)
+    elif keep:
+        raise ValueError("only a table in folders can keep some of them")
     else:
         df.write.mode("overwrite").parquet(path)
 

@@ -61,29 +61,24 @@ def test_smoothing_equals_pandas_over_gaps(spark, alpha, least):
     close(out.sy.to_numpy(float), pd.Series(y).ewm(alpha=0.05, adjust=False).mean().to_numpy(), 1e-9)
 
 
-def test_smoothing_folds_over_blocks_and_groups(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [7, 64, 100_000])
+def test_smoothing_folds_over_blocks_and_spans(spark, monkeypatch, rows):
+    """Blocks shorter than gaps, blocks without a value, and sums that run over several spans of a block."""
     monkeypatch.setattr(recurrence, "SPAN", 2.0)
-    monkeypatch.setattr(recurrence, "GROUP", 3)
     rng = np.random.default_rng(9)
     x = rng.normal(100, 5, 600)
     x[rng.random(600) < 0.2] = np.nan
+    x[100:140], x[:9] = np.nan, np.nan
     table = spark.createDataFrame([(a, D + timedelta(days=i), None if np.isnan(v) else float(v)) for a in "AB" for i, v in enumerate(x)], "asset string, date date, x double")
-    out = smooth(table, [Smoothing("x", 0.3, "fast", 1), Smoothing("x", 0.01, "slow", 5)]).toPandas().sort_values(["asset", "date"])
+    out = smooth(table, [Smoothing("x", 0.3, "fast", 1), Smoothing("x", 0.01, "slow", 5)], rows=rows)
+    assert out.columns == [*table.columns, "fast", "slow"]
+    out = out.toPandas().sort_values(["asset", "date"])
     for a in "AB":
         mine = out[out.asset == a]
         close(mine.fast.to_numpy(float), pd.Series(x).ewm(alpha=0.3, adjust=False).mean().to_numpy(), 1e-10)
         close(mine.slow.to_numpy(float), pd.Series(x).ewm(alpha=0.01, adjust=False, min_periods=5).mean().to_numpy(), 1e-10)
 
 
-def test_indicators_read_their_input_once(spark, tmp_path):
-    path = str(tmp_path / "bars")
-    random_bars(spark, 50).write.parquet(path)
-    held = spark.read.parquet(path)
-    for made, scans in ((indicators.adx(held), 1), (indicators.macd(held), 1), (clean.clean_panel(held, held.select("date").distinct().withColumn("risk_free_annual", F.lit(0.03))), 3)):
-        plan = made._jdf.queryExecution().optimizedPlan().toString()
-        assert plan.count("Relation [") == scans and "Join Inner" not in plan
-
-
 def test_repeated_days_count_in_order_and_the_last_stays(spark):
     rows = [("A", D + timedelta(days=i), 10.0 + i, 11.0 + i, 9.0 + i, 10.5 + i, 1.0, 0) for i in range(25)]
     again = ("A", D + timedelta(days=22), 50.0, 60.0, 40.0, 55.0, 1.0, 1)
