@@ -34,7 +34,12 @@ def _with_gaps(panel: DataFrame, calendar: DataFrame) -> DataFrame:
     has no more rows than sessions but for repeats.
     """
     listed = calendar.agg(F.sort_array(F.collect_set("date")).alias("__days"))
-    at = F.coalesce(F.array_position("__days", F.col("date")), F.lit(0))
+    # For each calendar day from the first session on, the number of the last session so far: a row finds its own by one look.
+    spans = F.transform("__days", lambda d, i: F.array_repeat(i + 1, F.coalesce(F.date_diff(F.get("__days", i + 1), d), F.lit(1))))
+    listed = listed.withColumn("__upto", F.flatten(spans))
+    offset = F.date_diff("date", F.get("__days", F.lit(0)))
+    number = F.get("__upto", F.when(offset >= 0, offset))
+    at = F.when(F.get("__days", number - 1) == F.col("date"), number).otherwise(0)
     w = Window.partitionBy("asset").orderBy("__at", "date")  # rows off sessions come first
     ahead, behind = F.lead("__at", 1).over(w), F.lag("__at", 1).over(w)
     known = panel.join(F.broadcast(listed)).withColumn("__at", at).withColumns({"__next": ahead, "__first": F.coalesce(behind, F.lit(0)) == 0})

@@ -22,7 +22,7 @@ def clean_panel(prices: DataFrame, rates: DataFrame, symbol: str = "CASH", sampl
     """All columns of the clean panel for prices (date, asset, ...) and rates (date, risk_free_annual).
 
     Rows of one (date, asset) count each in the windows, in the order of the column ``order``, and the last of them
-    stays; by default the order of their values, so that it does not depend on how rows are dealt (tables.load_ordered()
+    stays; by default the order of a hash of their values, which does not depend on how rows are dealt (tables.load_ordered()
     gives the order of files). An asset is dealt in blocks of ``rows`` rows; its windows see the rows beside a block.
     checked probes for an asset named like cash, which is an error.
     """
@@ -30,7 +30,7 @@ def clean_panel(prices: DataFrame, rates: DataFrame, symbol: str = "CASH", sampl
     if checked:
         checks.require_no_asset(prices, symbol)
     # Windows order by date; while they are made, a date also holds its row's place among equals.
-    place = F.struct(*(F.col(f"`{c}`") for c in sorted(prices.columns) if c not in ("date", "asset"))) if order is None else F.col(order)
+    place = F.xxhash64(*(F.col(f"`{c}`") for c in sorted(prices.columns))) if order is None else F.col(order)
     full = normalize.with_defaults(prices.withColumn("date", F.struct(F.col("date").alias("day"), place.alias("place"))))
     kept = full.select("date", "asset", *RAW)
     dealt = blocks.deal(kept, max(indicators.LOOK_BACK, sample + 1), 1, rows, bucket=F.year("date.day"))
