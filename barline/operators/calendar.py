@@ -67,14 +67,31 @@ def daily_last(ticks: DataFrame, columns: list[str], ts: str = "ts") -> DataFram
     return ticks.groupBy("asset", F.to_date(ts).alias("date")).agg(*(F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("ts"), F.col(c).alias("last"))))["last"].alias(c) for c in columns))
 
 
-def fill(panel: DataFrame, columns: list[str], how: str = "ffill", key: str = "asset") -> DataFrame:
-    """Fills missing values in time order: ffill, bfill or none."""
+def fill(panel: DataFrame, columns: list[str], how: str = "ffill", key: str = "asset", block: Column | None = None) -> DataFrame:
+    """Fills missing values in time order: ffill, bfill or none.
+
+    With ``block`` (a rising function of the date, such as time_block()) no task sees more than a key's block: values
+    are filled within it, and each block hands its last one (bfill: its first) on, one row a block.
+    """
     fills = {"ffill": forward_fill, "bfill": backward_fill}
     if how == "none":
         return panel
     if how not in fills:
         raise ValueError(f"unknown fill {how!r}")
-    return panel.withColumns({c: fills[how](F.col(c), key) for c in columns})
+    if block is None:
+        return panel.withColumns({c: fills[how](F.col(c), key) for c in columns})
+    ahead = how == "ffill"
+    inside = Window.partitionBy(key, "__block").orderBy("date")
+    near = inside.rowsBetween(Window.unboundedPreceding, 0) if ahead else inside.rowsBetween(0, Window.unboundedFollowing)
+    nearest, edge = (F.last, F.max_by) if ahead else (F.first, F.min_by)
+    cut = panel.withColumn("__block", block)
+    ends = cut.groupBy(F.col(key).alias("__k"), F.col("__block").alias("__b")).agg(*(edge(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(c) for c in columns))
+    others = Window.partitionBy("__k").orderBy("__b")
+    beyond = others.rowsBetween(Window.unboundedPreceding, -1) if ahead else others.rowsBetween(1, Window.unboundedFollowing)
+    handed = ends.select("__k", "__b", *(nearest(c, ignorenulls=True).over(beyond).alias(f"__{c}") for c in columns))
+    met = cut.join(handed, F.col(key).eqNullSafe(F.col("__k")) & F.col("__block").eqNullSafe(F.col("__b")))
+    filled = {c: F.coalesce(nearest(c, ignorenulls=True).over(near), F.col(f"__{c}")) for c in columns}
+    return met.withColumns(filled).select(*(f"`{c}`" for c in panel.columns))
 
 
 def risk_free_on(rates: DataFrame, calendar: DataFrame, percent: str = "percent") -> DataFrame:

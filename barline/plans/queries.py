@@ -305,12 +305,12 @@ def c3(s, d):
 
 @registered("c4_forward_fill", "SELECT asset, date, last_value(close IGNORE NULLS) OVER (PARTITION BY asset ORDER BY date) AS close FROM panel", "panel")
 def c4(s, d):
-    return cal.fill(panel(s, d), ["close"]).select("asset", "date", "close")
+    return cal.fill(panel(s, d), ["close"], block=blocks.time_block()).select("asset", "date", "close")
 
 
 @registered("c5_backward_fill", "SELECT asset, date, first_value(close IGNORE NULLS) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS close FROM panel", "panel")
 def c5(s, d):
-    return cal.fill(panel(s, d), ["close"], "bfill").select("asset", "date", "close")
+    return cal.fill(panel(s, d), ["close"], "bfill", block=blocks.time_block()).select("asset", "date", "close")
 
 
 @registered("c6_risk_free", f"SELECT date, {sql.cut('risk_free_annual', 8)} AS risk_free_annual FROM rf", "rf")

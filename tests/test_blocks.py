@@ -117,6 +117,16 @@ def test_as_of_by_key(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_fills_by_blocks_equal_the_plain_ones(spark):
+    rows = [(a, D + timedelta(days=i), None if (i // 45) % 2 or i < 9 else float(i)) for a in "AB" for i in range(0, 200, 1 + (a == "B"))]
+    panel = spark.createDataFrame(rows, "asset string, date date, close double")
+    for how in ("ffill", "bfill"):
+        plain = by_asset(calendar.fill(panel, ["close"], how), "close")
+        for block in (blocks.time_block(), F.trunc("date", "month"), F.col("date")):
+            for a, got in by_asset(calendar.fill(panel, ["close"], how, block=block), "close").items():
+                close(got, plain[a])
+
+
 def test_alignment_of_edges(spark):
     """Rows off sessions, repeated days, an asset with no session, and gaps at both ends."""
     day = lambda i: D + timedelta(days=i)
