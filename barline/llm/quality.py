@@ -162,3 +162,31 @@ def quality(docs: DataFrame, text: str = "text", lang: str | None = "lang", samp
     out = judged.withColumn("kept", F.col("failed_rule").isNull() & (F.col("__judged") >= 0))
     stay = [c for c in docs.columns if c not in RESULTS]
     return out.select(*(named(aside.get(c, c)).alias(c) for c in stay), *RESULTS)
+
+
+def quality_sql() -> str:
+    """The counts and verdicts of quality() over a view named documents, for a check by another engine."""
+    word = "[^\\x20\\x09-\\x0D]"
+    stops, languages = (", ".join(f"'{x}'" for x in some) for some in (STOP_WORDS, STOP_LANGUAGES))
+    letters, capitals = (f"length(regexp_replace(t, '\\P{{{c}}}', '', 'g'))" for c in ("L", "Lu"))
+    rejected = [
+        "word_chars > 12 * n_words OR word_chars < 2 * n_words",
+        "10 * n_symbols > n_words",
+        "100 * n_dup_lines > 60 * len(lines)",
+        f"10 * {letters} < 6 * word_chars",
+        f"2 * {capitals} > {letters}",
+        "20 * len(list_distinct(ws)) < n_words",
+        "2 * len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) > n_words",
+        f"coalesce(lower(lang) IN ({languages}), false) AND n_words >= 50 AND len(list_intersect(list_transform(ws, lambda x: lower(x)), [{stops}])) < 1",
+    ]
+    return f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+    w AS MATERIALIZED (SELECT *, regexp_extract_all(t, '{word}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM d),
+    windows AS (SELECT r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW})),
+    twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
+    covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM twice) GROUP BY r),
+    counts AS (SELECT w.*, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '{SYMBOLS}', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN covered c USING (r)),
+    base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+        base_failed, NOT base_failed AND NOT (({') OR ('.join(rejected)})) AS kept FROM base
+    """

@@ -126,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _RECORD = "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"
 ORACLE: dict[str, str] = {
     "op2_fixity": f"SELECT page_id, CAST(strlen({_RECORD}) AS BIGINT) AS length, sha256({_RECORD}) AS digest, CASE WHEN page_id % 97 = 13 AND length(html) > 0 THEN 'altered' ELSE 'intact' END AS status FROM pages",
+    "op4_quality": quality.quality_sql(),
     "op7_licenses": licenses.license_sql(),
     "op12_manifest": manifest.manifest_sql(),
 }
