@@ -74,14 +74,14 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return places, offsets, used
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_tokens: int = 4_000_000, doc: str = "doc_id", text: str = "text", plain: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_tokens: int = 4_000_000, doc: str = "doc_id", text: str = "text", plain: bool = False, words: int = 1_000_000) -> DataFrame:
     """Pieces of documents laid into windows of at most ``window`` ids.
 
     Each document is its ids by the tokenizers file ``tokenizer`` and then ``end_id``; with ``plain`` the file's special
     tokens in a text are ordinary text. Longer ones are first cut
     into full windows; the rest goes, longest first, to the open window with the least room that holds it. Every
     partition is packed by itself in blocks of about ``block_tokens`` ids, so nothing is shuffled and memory is
-    bounded; a block leaves a window or two with padding.
+    bounded; a block leaves a window or two with padding. A worker keeps up to ``words`` words between texts.
 
     Returns {doc}, start (its ids before the piece), ids (little-endian unsigned 32-bit), doc_tokens, sequence_id,
     offset (of the piece in its window). A null or empty text is one end id. Repeated rows are packed each; a null
@@ -89,7 +89,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, b
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = WordCodec.of(tokenizer, plain), np.array([end_id], "<u4").tobytes()
+        codec, end = WordCodec.of(tokenizer, plain, words), np.array([end_id], "<u4").tobytes()
         base, names, held, size = TaskContext.get().partitionId() << 40, [doc, "start", "ids", "doc_tokens", "sequence_id", "offset"], [], 0
 
         def packed() -> Iterator[pa.RecordBatch]:
@@ -98,9 +98,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, b
             held.clear()
             lengths = np.array([len(c[2]) // 4 for c in cut], np.int64)
             places, offsets, used = best_fit_decreasing(lengths, window)
-            for k in range(0, len(cut), 8192):
-                d, at, ids, n = zip(*cut[k : k + 8192], strict=True)
-                columns = [pa.array(d, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(places[k : k + 8192] + base), pa.array(offsets[k : k + 8192])]
+            for k in range(0, len(cut), 1024):  # 4 MB of ids at once
+                d, at, ids, n = zip(*cut[k : k + 1024], strict=True)
+                columns = [pa.array(d, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(places[k : k + 1024] + base), pa.array(offsets[k : k + 1024])]
                 yield pa.RecordBatch.from_arrays(columns, names)
             base += used
 

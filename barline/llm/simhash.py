@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm.shared import discard, fresh, named, written
+from barline.llm.wordcodec import text_groups
 
 SEED = 42
 
@@ -245,22 +246,23 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     least, most = F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")
     edges = written(links.where("u <> v").select(most, least).distinct())  # from the greater node u to the lesser v
-    state = None
+    state, count = None, edges.count()  # no round has more links than the one before
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        big = written(large)
+        big = written(large, rows=count)
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         joined = big.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct()
-        new = written(small.select(most, least))
+        new = written(small.select(most, least), rows=count)
         discard(edges)
         discard(big)
         edges, before = new, state
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        count = state[0]
         if state == before:
-            out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct()))
+            out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct()), rows=2 * count)
             discard(edges)
             return out
     raise RuntimeError(f"components did not settle in {rounds} rounds")
@@ -268,11 +270,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def grouped(distinct: DataFrame, links: DataFrame) -> DataFrame:
     """print and component (the least of ``least`` reachable) from distinct (print, least) and links between prints."""
-    roots = components(links).withColumnRenamed("node", "print")
-    rooted = written(distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")))
+    roots, count = components(links).withColumnRenamed("node", "print"), distinct.count()
+    rooted = written(distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), rows=count)
     # Written, so that a root with very many prints is a skewed join of two plain tables.
-    leasts = written(rooted.groupBy("root").agg(F.min("least").alias("component")))
-    out = written(rooted.join(leasts, "root").select("print", "component"))
+    leasts = written(rooted.groupBy("root").agg(F.min("least").alias("component")), rows=count)
+    out = written(rooted.join(leasts, "root").select("print", "component"), rows=count)
     for table in (roots, rooted, leasts):
         discard(table)
     return out
@@ -341,7 +343,7 @@ def wide_prints(docs: DataFrame, words: int = 5, doc: str = "doc_id", text: str
             stops = ends[min(words, len(found)) - 1 :].tolist()
             return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
 
-        for batch in batches:
+        for batch in text_groups(batches, 0):
             prints, sets = [], []
             for t in batch.column(0):
                 found = (t.as_py() or "").encode().lower().split()
@@ -441,7 +443,7 @@ def confirmed(held: DataFrame, links: DataFrame, similarity: float, most: int =
     cells = nodes.groupBy(cell).agg(F.bit_or(bit).alias("bits"))
     moved = held.select("print", "words", "shingles", cell).join(F.broadcast(cells), "cell").where(F.col("bits").bitwiseAND(bit) != 0)
     sets = moved.groupBy("print").agg(F.first("words").alias("words"), F.first("shingles").alias("shingles")).join(nodes, "print")
-    sets = written(sets.where(F.size("shingles") > 0))
+    sets = written(sets.where(F.size("shingles") > 0))  # wide rows stay as dealt
     large = sets.groupBy("root").agg(F.sum(F.size("shingles")).alias("n")).where(F.col("n") > most).select("root", F.ceil(F.col("n") / (most // 2)).cast("int").alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,14 +480,15 @@ def similar_rows(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc:
     the whole sets. Texts without words, null ones included, have one print and so are one group.
     """
     held = written(wide_prints(docs, words, doc, text).withColumn("print", F.xxhash64("shingles")))
-    distinct = written(held.groupBy("print").agg(F.min(F.struct(*ROW_KEY)).alias("least"), F.first("words").alias("words")))
+    count = held.count()
+    distinct = written(held.groupBy("print").agg(F.min(F.struct(*ROW_KEY)).alias("least"), F.first("words").alias("words")), rows=count)
     keys = prefix_keys(held, similarity).join(distinct.select("print", "words"), "print")
     keyed = written(keys.select("print", F.lit(0).alias("set"), "value", "words"))
     links = confirmed(held, link_shards(keyed, NEAR, most=10_000, rows_at_once=20_000), similarity)
-    rows = written(held.select(*ROW_KEY, "print"))
+    rows = written(held.select(*ROW_KEY, "print"), rows=count)
     discard(keyed)
     discard(held)
-    out = written(rows.join(grouped(distinct.select("print", "least"), links), "print"))
+    out = written(rows.join(grouped(distinct.select("print", "least"), links), "print"), rows=count)
     for table in (distinct, links, rows):
         discard(table)
     return out
@@ -509,8 +512,9 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc: str
     """
     rows = similar_rows(docs.select(named(doc), named(text)), similarity, words, doc, text)
     stays = F.col("component") == F.struct(*ROW_KEY)
-    gone = written(rows.where(~stays).select(*ROW_KEY).distinct())
-    again = written(rows.where(stays).groupBy(*ROW_KEY).count().where("count > 1").drop("count"))
+    count = rows.count()
+    gone = written(rows.where(~stays).select(*ROW_KEY).distinct(), rows=count)
+    again = written(rows.where(stays).groupBy(*ROW_KEY).count().where("count > 1").drop("count"), rows=count)
     discard(rows)
     names = fresh(docs.columns, *ROW_KEY)
     others = fresh([*docs.columns, *names], *(f"{n} of" for n in names))

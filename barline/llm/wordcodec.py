@@ -43,7 +43,7 @@ class WordCodec:
     limit: words kept; beyond it the cache starts anew.
     """
 
-    _held: dict[tuple[str, bool], WordCodec] = {}
+    _held: dict[tuple[str, bool, int], WordCodec] = {}
 
     def __init__(self, path: str, plain: bool = False, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -67,11 +67,11 @@ class WordCodec:
         self.limit, self.words, self.pieces = limit, {}, {}
 
     @classmethod
-    def of(cls, path: str, plain: bool = False) -> WordCodec:
-        """One for each file and Python worker."""
-        if (path, plain) not in cls._held:
-            cls._held[path, plain] = cls(path, plain)
-        return cls._held[path, plain]
+    def of(cls, path: str, plain: bool = False, limit: int = 1_000_000) -> WordCodec:
+        """One for each file and Python worker. A worker that is reused holds its words until it ends."""
+        if (path, plain, limit) not in cls._held:
+            cls._held[path, plain, limit] = cls(path, plain, limit)
+        return cls._held[path, plain, limit]
 
     def _piece(self, piece: str) -> bytes:
         known = self.pieces.get(piece)

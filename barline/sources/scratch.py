@@ -25,9 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/barline-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, sort: list[str] | None = None) -> DataFrame:
-    """The same rows, written once as Parquet and read back, so that a lost executor costs no recomputation."""
+#: Rows of a file, where written() knows how many rows there are.
+FILE_ROWS = 4096
+
+
+def written(df: DataFrame, sort: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """The same rows, written once as Parquet and read back, so that a lost executor costs no recomputation.
+
+    rows: how many there are at most, if known. Few rows then go to few files: each file costs a task, and on a local
+    file system without Hadoop's native library some processes that set its mode. Rows that fill a file for each
+    shuffle partition are written as they are dealt.
+    """
     path = shared_dir(df.sparkSession)
+    if rows is not None and (files := rows // FILE_ROWS + 1) < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(files)
     (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -14,6 +14,19 @@ from barline.llm import packing, quality, secrets, simhash
 from barline.llm.shared import discard, fresh, named, written
 
 
+#: Rows that executor and Python worker hold at once, each on its side; Spark's own default is 10,000 whole texts.
+BATCH_ROWS = 500
+#: Words that a packing worker keeps: some 50 MB, where a million and their pieces are over 200.
+WORDS = 200_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session to hand rows to Python workers in batches of BATCH_ROWS at most; a smaller number stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects, with all columns of docs.
 
@@ -31,6 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by id and text, so rows that share an id both stay if unlike; of repeated rows one stays; null
     ids come last; null and empty texts are one group.
     """
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -48,7 +62,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is one end id, a null id stays null, repeated rows are packed each.
     """
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    small_batches(spark)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), words=WORDS)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("packing", pack)]

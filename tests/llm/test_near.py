@@ -74,3 +74,18 @@ def test_sets_cut_into_parts_link_alike(spark):
     for most in (2_000_000, 2_000):
         got = {r["node"]: r["root"] for r in simhash.components(simhash.confirmed(held, star, 0.8, most)).collect()}
         assert [got.get(k, k) for k in range(40)] == root
+
+
+def test_few_rows_go_to_few_files_and_link_alike(spark):
+    links = [(k, k + 1) for k in range(0, 400) if k % 20 != 19]
+    table = spark.createDataFrame(links, "u long, v long").repartition(9)
+    set_before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        made = simhash.components(table)
+        assert len(made.inputFiles()) == 1
+        assert {r["node"]: r["root"] for r in made.collect()} == {k: k - k % 20 for k in range(400)}
+    finally:
+        for k, v in set_before.items():
+            spark.conf.set(k, v)

@@ -106,6 +106,20 @@ def test_the_stages_reread_what_was_written(spark):
     assert ids < {r["doc_id"] for r in first.collect()} and len(ids) > 0.4 * first.count()
 
 
+@pytest.mark.parametrize("place", [1, 3])
+def test_stages_with_python_workers_take_rows_in_small_batches(spark, edge_docs, place):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, held in (("10000", pipeline.BATCH_ROWS), ("0", pipeline.BATCH_ROWS), ("7", 7)):
+            spark.conf.set(key, given)
+            made = pipeline.STAGES[place][1](spark, edge_docs, "")
+            sizes = made.select("doc_id").coalesce(1).mapInArrow(lambda batches: batches, "doc_id long")
+            assert sizes.count() == made.count() and int(spark.conf.get(key)) == held
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_every_operator_has_one_query():
     numbers = [n.split("_")[0] for n in QUERIES]
     assert sorted(numbers, key=lambda n: int(n[2:])) == [f"op{n}" for n in range(1, 14)]

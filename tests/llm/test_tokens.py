@@ -5,6 +5,7 @@ import json
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -87,6 +88,16 @@ def test_word_codec_equals_the_library(path, plain):
     check()
 
 
+def test_a_packing_worker_keeps_few_words():
+    codec, most, whole = WordCodec.of(BYTE, False, corpus_pipeline.WORDS), 0, library(BYTE, False)
+    for k in range(40):
+        text = " ".join(f"v{k}x{i}" for i in range(10_000))
+        ids = codec.encode(text)
+        most = max(most, len(codec.words), len(codec.pieces))
+    assert 100_000 < most <= 220_000
+    assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_byte_bpe_on_edge_rows(spark, edge_docs, no_docs, own):
     rows = bytebpe.encode_decode(edge_docs, RANKS, batch_bytes=1000).collect()
     assert len(rows) == edge_docs.count()
